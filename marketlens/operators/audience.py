@@ -1,8 +1,9 @@
 """Audience selection: behaviour sets, tag groups and their combination.
 
 Every behavioural tag names a set of members; the audience keeps (left semi join) or
-drops (left anti join) the members of that set. Sets are never collected or made
-distinct first: semi and anti joins need no distinct right side, and Catalyst picks
+drops (left anti join) the members of that set. A set is made distinct on the join key
+first: the partial aggregation takes out members with very many rows before the
+shuffle, and the join reuses the partitioning of that aggregation. Catalyst picks
 broadcast or shuffle from the size it sees.
 """
 

@@ -6,8 +6,6 @@ depends on the values set here except UTC as the session time zone.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -27,14 +25,3 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "marke
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="marketlens-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
