@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -18,7 +19,11 @@ TONES = (
 )
 # Full-width punctuation and its plain form.
 PUNCTUATION = {"，": ",", "。": ".", "！": "!", "？": "?", "：": ":", "“": '"', "”": '"', "‘": "'", "’": "'"}
-LETTERS = "üāēīōūǖáéíóúǘǎěǐǒǔǚàèìòùǜa-z"
+MARKED = "üāēīōūǖáéíóúǘǎěǐǒǔǚàèìòùǜ"
+# Character classes are split into an ASCII part, which is one table lookup, and the rest.
+BEYOND = r"\x{80}-\x{10FFFF}"
+DROPPED = r"(?:[\x00-\x08\x0A-\x1F\x7F$+<=>^`|~]|[" + BEYOND + r"&&[^\p{IsHan}\p{P}\p{Z}\p{M}\p{N}\p{L}]])+"
+BETWEEN_WORDS = f"(?:[^A-Za-z0-9{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}]])+"
 DELIMITERS = ("_", "-", ".", "")
 MAX_PHRASES = 500_000  # a phrase dictionary is held by every task; larger ones are refused
 
@@ -26,7 +31,7 @@ MAX_PHRASES = 500_000  # a phrase dictionary is held by every task; larger ones
 def prepare(text: Column) -> Column:
     """Latin words are set off by a tab; only letters, marks, digits, punctuation and spaces stay."""
     words = F.regexp_replace(text, "([A-Za-z0-9_-]+)", "\t$1")
-    return F.regexp_replace(words, r"[^\p{IsHan}\p{P}\p{Z}\p{M}\p{N}\p{L}\t]", "")
+    return F.regexp_replace(words, DROPPED, "")
 
 
 def dictionary(phrases: DataFrame) -> list[dict[str, str]]:
@@ -44,19 +49,26 @@ def dictionary(phrases: DataFrame) -> list[dict[str, str]]:
     return [parts[p] for p in sorted(parts)]
 
 
-def replace_longest(text: str, words: dict[str, str], longest: dict[str, int]) -> str:
-    """Leftmost longest phrases replaced; replaced text is not read again."""
-    out, i = [], 0
-    while i < len(text):
-        for size in range(min(longest.get(text[i], 0), len(text) - i), 0, -1):
+def replace_longest(text: str, words: dict[str, str], longest: dict[str, int], starts: re.Pattern) -> str:
+    """Leftmost longest phrases replaced; replaced text is not read again.
+
+    ``starts`` finds the next character that begins a phrase, ``longest`` bounds the
+    phrases that begin with it.
+    """
+    out, done = [], 0
+    found = starts.search(text)
+    while found:
+        i = found.start()
+        after = i + 1
+        for size in range(min(longest[text[i]], len(text) - i), 0, -1):
             reading = words.get(text[i : i + size])
             if reading is not None:
+                out.append(text[done:i])
                 out.append(reading)
-                i += size
+                done = after = i + size
                 break
-        else:
-            out.append(text[i])
-            i += 1
+        found = starts.search(text, after)
+    out.append(text[done:])
     return "".join(out)
 
 
@@ -69,20 +81,24 @@ def romanize(text: Column, parts: Sequence[dict[str, str]], surnames: Sequence[t
     if surnames:
         named = [F.when(F.startswith(prepared, F.lit(s)), F.concat(F.lit(r), F.substr(prepared, F.lit(len(s) + 1)))) for s, r in surnames]
         prepared = F.coalesce(*named, prepared)
-    lengths = []
+    lengths, starts = [], []
+    parts = [words for words in parts if words]
     for words in parts:
         longest: dict[str, int] = {}
         for phrase in words:
             longest[phrase[0]] = max(longest.get(phrase[0], 0), len(phrase))
         lengths.append(longest)
+        starts.append("[" + "".join(re.escape(c) for c in longest) + "]")
     if not parts:
         return prepared
 
     @pandas_udf("string")
     def read(values: pd.Series) -> pd.Series:
+        finders = [re.compile(s) for s in starts]
+
         def one(value):
-            for words, longest in zip(parts, lengths):
-                value = replace_longest(value, words, longest)
+            for words, longest, finder in zip(parts, lengths, finders):
+                value = replace_longest(value, words, longest, finder)
             return value
 
         return values.map(one, na_action="ignore")
@@ -111,10 +127,10 @@ def numbered_tones(text: Column) -> Column:
 
 def tokens(romanized: Column, option: str = "none") -> Column:
     """Words of a romanized text: plain (none), with tone numbers (ascii) or with tone marks (unicode)."""
-    words = F.filter(F.split(romanized, f"(?iu)[^{LETTERS}\\d]+"), lambda w: w != "")
-    if option == "unicode":
-        return words
-    return F.transform(words, numbered_tones if option == "ascii" else plain)
+    # A mark and its plain letter both belong to words, so the whole text is made plain before the split.
+    text = plain(romanized) if option == "none" else romanized
+    words = F.array_remove(F.split(text, BETWEEN_WORDS), "")
+    return F.transform(words, numbered_tones) if option == "ascii" else words
 
 
 def convert(text: Column, parts, option: str = "none") -> Column: return tokens(romanize(text, parts), option)
@@ -124,7 +140,8 @@ def name(text: Column, parts, surnames, option: str = "none") -> Column: return
 def permalink(text: Column, parts, delimiter: str = "-") -> Column:
     if delimiter not in DELIMITERS:
         raise ValueError("delimiter must be one of '_', '-', '.' or empty")
-    return F.array_join(convert(text, parts), delimiter)
+    joined = F.regexp_replace(plain(romanize(text, parts)), BETWEEN_WORDS, "\n")
+    return F.translate(F.trim(joined, F.lit("\n")), "\n", delimiter)
 
 
 def abbr(text: Column, parts, delimiter: str = "") -> Column:
@@ -133,8 +150,9 @@ def abbr(text: Column, parts, delimiter: str = "") -> Column:
 
 def sentence(text: Column, parts, with_tone: bool = False) -> Column:
     """Readable line: other characters out, punctuation plain, tabs and double spaces to one space."""
-    marks = "".join(PUNCTUATION) + "".join(dict.fromkeys(PUNCTUATION.values()))
-    kept = F.regexp_replace(romanize(text, parts), f"(?iu)[^{LETTERS}0-9{marks}\\s_]+", "")
+    ascii_marks = "".join(dict.fromkeys(PUNCTUATION.values()))
+    unwanted = f"(?:[^A-Za-z0-9{ascii_marks}\\s_{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}{''.join(PUNCTUATION)}]])+"
+    kept = F.regexp_replace(romanize(text, parts), unwanted, "")
     for full, simple in PUNCTUATION.items():
         kept = F.replace(kept, F.lit(full), F.lit(simple))
     kept = F.replace(F.replace(kept, F.lit("\t"), F.lit(" ")), F.lit("  "), F.lit(" "))

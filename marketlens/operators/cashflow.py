@@ -17,6 +17,7 @@ from marketlens.operators.ordered import join_keys
 
 MAX_ROUNDS = 128  # fixed value: steps of the bracket and of the bisection
 LOWEST_RATE = -1.0 + 1e-9
+PRECISION = 1e-14
 MAX_TIMES = 100_000  # distinct times of one investment: more than 270 years of days
 
 
@@ -85,6 +86,8 @@ def _roots(times: np.ndarray, amounts: np.ndarray, guess: float) -> np.ndarray:
         found = at_low * at_high <= 0
         for _ in range(MAX_ROUNDS):
             middle = (low + high) / 2
+            if np.all(np.abs(high - low) <= PRECISION * (1.0 + np.abs(middle))):
+                break
             at_middle = value(middle)
             left = at_low * at_middle <= 0
             high = np.where(left, middle, high)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from marketlens.functions import figures as G
 from marketlens.functions import predicates as P
 from marketlens.operators.audience import SETTLED
+from marketlens.operators.joins import salted_join
 
 
 @dataclass
@@ -34,7 +35,7 @@ def audience_trades(d: Deal) -> DataFrame:
         F.col("id").alias("product_id"), "product_name", "display_rate", G.term_days("due_date", "inception_date").alias("invest_days")
     )
     people = d.audience.groupBy("member_no").agg(F.count(F.lit(1)).alias("_times"))
-    return rows.join(named, "product_id").join(people, "member_no")
+    return salted_join(rows.join(named, "product_id"), people, ["member_no"], ["business_order_item_no"])
 
 
 def product_trades(d: Deal) -> DataFrame:

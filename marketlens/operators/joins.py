@@ -20,6 +20,8 @@ def salted_join(
     join does not reuse the salted partitioning, so adaptive execution may also split
     what is still too large. The result equals the plain join; no row is lost.
     """
+    if condition is not None and how != "inner":
+        raise ValueError("a condition is for inner joins only")
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = left.join(right, list(on) + ["_salt"], how)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketlens.functions.predicates import in_date_ranges
+from marketlens.operators.scratch import scratch_table
 
 TOTAL = "TOTAL"
 N = F.count(F.lit(1))
@@ -193,6 +194,7 @@ def channel_clusters(df: DataFrame, channel: str, measures: Sequence[str], k: in
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    df = scratch_table(df.select(channel, *measures), "channels")  # the fit reads it once per step
     stages = [
         VectorAssembler(inputCols=list(measures), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
