@@ -13,6 +13,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from marketlens.functions.criteria import condition, number
 
@@ -125,7 +126,7 @@ def logest(y, x) -> dict[str, Column]:
     return {"m": F.exp(F.regr_slope(ly, x)), "b": F.exp(F.regr_intercept(ly, x)), "r2": F.regr_r2(ly, x)}
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2)))
 

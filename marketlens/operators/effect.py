@@ -20,7 +20,9 @@ from marketlens.operators.joins import salted_join
 from marketlens.operators.scratch import scratch_table
 
 TOTAL = G.TOTAL
-N = F.count(F.lit(1))
+
+
+def N(): return F.count(F.lit(1))
 
 
 @dataclass
@@ -41,10 +43,10 @@ def issued(c: Campaign) -> DataFrame:
     """Pieces and first issue time per coupon and member of the audience."""
     rows = c.issues.filter(F.col("activity_coupon_id").isin(*c.ids) & P.in_date_ranges("create_time", c.issue_days))
     counts = rows.groupBy("activity_coupon_id", F.col("user_id").alias("member_no")).agg(
-        N.alias("cnt"), F.min("create_time").alias("create_time")
+        N().alias("cnt"), F.min("create_time").alias("create_time")
     )
     # Audience rows repeat the issues: one count per audience row of the member.
-    people = c.audience.groupBy("member_no").agg(N.alias("_times"))
+    people = c.audience.groupBy("member_no").agg(N().alias("_times"))
     joined = counts.join(people, "member_no")
     rows = joined.select("activity_coupon_id", "member_no", (F.col("cnt") * F.col("_times")).alias("cnt"), "create_time")
     return scratch_table(rows, "issued")
@@ -96,7 +98,7 @@ def member_days(trades: DataFrame) -> MemberDays:
     paid = (F.col("is_coupon_trans") == 1) & (F.col("coupon_trans_eq_issue") == 1)
     # One pass over the joined trades feeds both tables.
     base = rows.groupBy("member_no", "trans_time", "fund_trans_amount", "issue_coupon_id").agg(
-        N.alias("n"), F.count_if(paid).alias("paid_n"),
+        N().alias("n"), F.count_if(paid).alias("paid_n"),
         F.sum(F.when(paid, F.col("deduction_amt"))).alias("deduction"),
         F.sum(F.when(paid, F.col("add_rate_amt"))).alias("add_rate"),
     )
@@ -111,16 +113,17 @@ def member_days(trades: DataFrame) -> MemberDays:
     )
     spend_days = (
         base.select("member_no", "trans_time", "fund_trans_amount").distinct()
-        .groupBy("member_no", day).agg(F.sum("fund_trans_amount").alias("spend"), N.alias("spend_n"))
+        .groupBy("member_no", day).agg(F.sum("fund_trans_amount").alias("spend"), N().alias("spend_n"))
     )
     return MemberDays(scratch_table(coupon_days, "coupon-days"), scratch_table(spend_days, "spend-days"))
 
 
 def issue_totals(given: DataFrame) -> DataFrame:
-    return given.groupBy("activity_coupon_id").agg(F.sum("cnt").alias("issue_cnt"), N.alias("issue_user_cnt"))
+    return given.groupBy("activity_coupon_id").agg(F.sum("cnt").alias("issue_cnt"), N().alias("issue_user_cnt"))
 
 
-_INVESTED = (F.sum("amt").alias("trans_amt"), F.count_distinct("member_no").alias("trans_user_cnt"))
+def _invested():
+    return F.sum("amt").alias("trans_amt"), F.count_distinct("member_no").alias("trans_user_cnt")
 
 
 def _paid_figures():
@@ -135,7 +138,7 @@ def _paid_figures():
 
 def investment(days: MemberDays) -> DataFrame:
     """Invested amount and people per coupon and day."""
-    return days.coupon_days.groupBy("activity_coupon_id", "trans_date").agg(*_INVESTED)
+    return days.coupon_days.groupBy("activity_coupon_id", "trans_date").agg(*_invested())
 
 
 def paid_investment(days: MemberDays) -> DataFrame:
@@ -178,7 +181,7 @@ def per_coupon_day(given: DataFrame, days: MemberDays) -> DataFrame:
 def per_coupon(given: DataFrame, days: MemberDays) -> DataFrame:
     """Totals over all days, recomputed: distinct people do not add up over days."""
     key = "activity_coupon_id"
-    rows = issue_totals(given).join(days.coupon_days.groupBy(key).agg(*_INVESTED), key, "left")
+    rows = issue_totals(given).join(days.coupon_days.groupBy(key).agg(*_invested()), key, "left")
     rows = rows.join(days.coupon_days.filter(F.col("paid_n") > 0).groupBy(key).agg(*_paid_figures()), key, "left")
     spend = _user_days(days).groupBy(key).agg(F.sum("spend").alias("coupon_trans_amt_all"))
     rows = rows.join(spend, key, "left")

@@ -15,10 +15,12 @@ from marketlens.functions.predicates import in_date_ranges
 from marketlens.operators.scratch import scratch_table
 
 TOTAL = "TOTAL"
-N = F.count(F.lit(1))
 REGISTER, CERTIFY, BIND, DEAL, WITHDRAW = "register", "certify", "bind", "deal", "withdraw"
 
 
+def N(): return F.count(F.lit(1))
+
+
 def _is(kind: str) -> Column:
     return F.col("kind") == kind
 
@@ -61,7 +63,7 @@ def month_figures(activities: DataFrame, ref: dt.date, whole: bool = False) -> D
     per_member = deals.groupBy("member_no").agg(
         F.min("at").alias("at"), F.sum(F.when(inside, F.col("amount"))).alias("value"), F.count_if(inside).alias("deals")
     )
-    new = per_member.filter(in_date_ranges("at", [window])).agg(F.struct(N.alias("n"), F.sum("value").alias("value"))).scalar()
+    new = per_member.filter(in_date_ranges("at", [window])).agg(F.struct(N().alias("n"), F.sum("value").alias("value"))).scalar()
     return rows.agg(
         F.count_if(_is(REGISTER)).alias("register_nums"), F.count_if(_is(CERTIFY)).alias("realname_nums"), F.count_if(_is(BIND)).alias("bind_nums"),
         F.count_if(_is(DEAL)).alias("trans_nums"), _amount(DEAL).alias("trans_values"),
@@ -74,7 +76,7 @@ def coupon_use(activities: DataFrame, coupon_kind: Column, profit: Column) -> Da
     One exchange: members are reduced per coupon first, distinct people are counted on that.
     """
     rows = activities.filter(_is(DEAL)).select(coupon_kind.alias("coupon_kind"), F.col("coupon").cast("string").alias("coupon"), "member_no", "amount", profit.alias("profit"))
-    reduced = rows.groupBy("coupon_kind", "coupon", "member_no").agg(N.alias("n"), F.sum("amount").alias("amount"), F.sum("profit").alias("profit"))
+    reduced = rows.groupBy("coupon_kind", "coupon", "member_no").agg(N().alias("n"), F.sum("amount").alias("amount"), F.sum("profit").alias("profit"))
     return reduced.rollup("coupon_kind", "coupon").agg(
         F.grouping("coupon_kind").alias("_a"), F.grouping("coupon").alias("_b"), F.count_distinct("member_no").alias("coupon_users"),
         F.sum("n").alias("coupon_orders"), F.sum("amount").alias("coupon_order_values"), F.sum("profit").alias("coupon_profit_values"),
@@ -89,7 +91,7 @@ def withdrawals(activities: DataFrame, ref: dt.date) -> DataFrame:
     """Withdrawals per day of the month, with the sum of the month."""
     rows = activities.filter(_is(WITHDRAW) & in_date_ranges("at", [month_window(ref, whole=True)]))
     by_day = rows.withColumn("day", F.to_date("at").cast("string")).rollup("day")
-    return by_day.agg(F.grouping("day").alias("_g"), N.alias("n"), F.sum("amount").alias("amount")).select(_total("day", "_g"), "n", "amount")
+    return by_day.agg(F.grouping("day").alias("_g"), N().alias("n"), F.sum("amount").alias("amount")).select(_total("day", "_g"), "n", "amount")
 
 
 def channel_counts(activities: DataFrame) -> DataFrame:
@@ -106,11 +108,11 @@ def amount_ranges(df: DataFrame, amount: str, edges: Sequence[float]) -> DataFra
     label = F.when(x < edges[0], f"<{edges[0]:g}")
     for low, high in zip(edges, edges[1:]):
         label = label.when(x < high, f"{low:g}-{high:g}")
-    return df.groupBy(label.otherwise(f">={edges[-1]:g}").alias("amount_range")).agg(N.alias("n"), F.sum(x).alias("amount"))
+    return df.groupBy(label.otherwise(f">={edges[-1]:g}").alias("amount_range")).agg(N().alias("n"), F.sum(x).alias("amount"))
 
 
 def product_sums(df: DataFrame, product: str, amount: str) -> DataFrame:
-    return df.groupBy(product).agg(N.alias("n"), F.sum(amount).alias("amount"))
+    return df.groupBy(product).agg(N().alias("n"), F.sum(amount).alias("amount"))
 
 
 def hour_bands(df: DataFrame, at: str, term: str, amount: str, terms: Sequence[int] = (3, 6, 9, 12, 18, 24)) -> DataFrame:
@@ -207,7 +209,7 @@ def channel_clusters(df: DataFrame, channel: str, measures: Sequence[str], k: in
     gaps = F.zip_with(vector_to_array("_scaled"), centre, lambda a, b: (a - b) * (a - b))
     distance = F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v)
     rows = labelled.select(channel, "clus_label", *measures, distance.alias("_d"))
-    sizes = rows.groupBy("clus_label").agg(N.alias("channel_count"), F.min_by(channel, F.struct("_d", channel)).alias("cent_channel"))
+    sizes = rows.groupBy("clus_label").agg(N().alias("channel_count"), F.min_by(channel, F.struct("_d", channel)).alias("cent_channel"))
     return rows.drop("_d").join(sizes, "clus_label")
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from marketlens.operators.ordered import join_keys, numbered
 
@@ -94,7 +95,7 @@ def fit_statistics(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> D
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _solve(order: pd.Series, moments: pd.Series, products: pd.Series, mean: pd.Series, scale: pd.Series) -> pd.Series:
     out = []
     for k, m, p, mu, sd in zip(order, moments, products, mean, scale):

@@ -10,7 +10,14 @@ from marketlens.registry import add, query
 
 KEYS = ["l_returnflag", "l_linestatus"]
 GROUPS = ", ".join(KEYS)
-X, Y, D, TAX = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+
+
+def X(): return F.col("l_quantity")
+def Y(): return F.col("l_extendedprice")
+def D(): return F.col("l_discount")
+def TAX(): return F.col("l_tax")
+
+
 
 # A column of mixed cells: numbers, truth values, words, empty text and nulls.
 MIXED_SQL = """case when l_linenumber = 1 then 'TRUE' when l_linenumber = 2 then 'false' when l_linenumber = 3 then 'n/a'
@@ -19,64 +26,67 @@ MIXED_NUMBER_SQL = f"""case when ({MIXED_SQL}) is null or ({MIXED_SQL}) = '' the
     else coalesce(try_cast(({MIXED_SQL}) as double), 0) end"""
 
 
-def _mixed():
+def M():
     n = F.col("l_linenumber")
     return (
         F.when(n == 1, "TRUE").when(n == 2, "false").when(n == 3, "n/a").when(n == 4, "").when(n == 5, None)
-        .otherwise(X.cast("int").cast("string"))
+        .otherwise(X().cast("int").cast("string"))
     )
 
 
 def grouped(name: str, column, sql: str, digits: int | None = 6) -> None:
-    value = column if digits is None else F.round(column.cast("double"), digits)
     text = sql if digits is None else f"round(cast({sql} as double), {digits})"
-    add(name, lambda t: t.lineitem.groupBy(*KEYS).agg(value.alias("value")), f"select {GROUPS}, {text} as value from lineitem group by {GROUPS}")
-
-
-M = _mixed()
-grouped("agg_1_sum", A.sum_(Y), "sum(l_extendedprice)", 2)
-grouped("agg_2_sumif", A.sumif(F.lower("l_returnflag"), "n", X), "coalesce(sum(l_quantity) filter (where upper(l_returnflag) = 'N'), 0)")
-grouped("agg_3_sumsq", A.sumsq(X), "sum(l_quantity * l_quantity)", 2)
-grouped("agg_4_sumproduct", A.sumproduct(X, D), "sum(l_quantity * l_discount)", 4)
-grouped("agg_5_sumx2my2", A.sumx2my2(X, D), "sum(l_quantity * l_quantity - l_discount * l_discount)", 4)
-grouped("agg_6_sumx2py2", A.sumx2py2(X, D), "sum(l_quantity * l_quantity + l_discount * l_discount)", 4)
-grouped("agg_7_sumxmy2", A.sumxmy2(X, D), "sum((l_quantity - l_discount) * (l_quantity - l_discount))", 4)
-grouped("agg_8_product", A.product(1 + TAX / 1000), "product(1 + l_tax / 1000)")
-grouped("agg_10_count", A.count(M), f"count(try_cast(({MIXED_SQL}) as double))", None)
-grouped("agg_11_counta", A.counta(M), f"count({MIXED_SQL})", None)
-grouped("agg_12_countblank", A.countblank(M), f"count(*) filter (where ({MIXED_SQL}) is null or ({MIXED_SQL}) = '')", None)
-grouped("agg_13_countif", A.countif(X, ">=25"), "count(*) filter (where l_quantity >= 25)", None)
-grouped("agg_14_average", A.average(Y), "avg(l_extendedprice)", 4)
-grouped("agg_15_averagea", A.averagea(M), f"avg({MIXED_NUMBER_SQL})")
-grouped("agg_16_averageif", A.averageif(X, "<10", Y), "avg(l_extendedprice) filter (where l_quantity < 10)", 4)
-grouped("agg_17_max", A.max_(Y), "max(l_extendedprice)")
-grouped("agg_18_maxa", A.maxa(M), f"max({MIXED_NUMBER_SQL})")
-grouped("agg_19_maxif", A.maxif(X, "=7", Y), "max(l_extendedprice) filter (where l_quantity = 7)")
-grouped("agg_20_min", A.min_(Y), "min(l_extendedprice)")
-grouped("agg_21_mina", A.mina(M), f"min({MIXED_NUMBER_SQL})")
-grouped("agg_22_minif", A.minif(X, "<>7", Y), "min(l_extendedprice) filter (where l_quantity <> 7)")
-grouped("agg_31_devsq", A.devsq(X), "var_pop(l_quantity) * count(l_quantity)", 4)
-grouped("agg_32_stdev", A.stdev(X), "stddev_samp(l_quantity)")
-grouped("agg_33_stdeva", A.stdeva(M), f"stddev_samp({MIXED_NUMBER_SQL})")
-grouped("agg_34_stdevp", A.stdevp(X), "stddev_pop(l_quantity)")
-grouped("agg_35_stdevpa", A.stdevpa(M), f"stddev_pop({MIXED_NUMBER_SQL})")
-grouped("agg_36_var", A.var(X), "var_samp(l_quantity)")
-grouped("agg_37_vara", A.vara(M), f"var_samp({MIXED_NUMBER_SQL})")
-grouped("agg_38_varp", A.varp(X), "var_pop(l_quantity)")
-grouped("agg_39_varpa", A.varpa(M), f"var_pop({MIXED_NUMBER_SQL})")
-grouped("agg_40_skew", A.skew(Y), "skewness(l_extendedprice)", 5)
-grouped("agg_41_kurt", A.kurt(Y), "kurtosis(l_extendedprice)", 5)
-grouped("agg_42_geomean", A.geomean(Y), "exp(avg(ln(l_extendedprice)))", 4)
-grouped("agg_43_harmean", A.harmean(Y), "count(l_extendedprice) / sum(1 / l_extendedprice)", 4)
-grouped("agg_44_covar", A.covar(Y, X), "covar_pop(l_extendedprice, l_quantity)", 3)
-grouped("agg_45_correl", A.correl(Y, X), "corr(l_extendedprice, l_quantity)")
-grouped("agg_46_pearson", A.pearson(Y, D), "corr(l_extendedprice, l_discount)")
-grouped("agg_47_rsq", A.rsq(Y, X), "regr_r2(l_extendedprice, l_quantity)")
-grouped("agg_48_slope", A.slope(Y, X), "regr_slope(l_extendedprice, l_quantity)", 4)
-grouped("agg_49_intercept", A.intercept(Y, X), "regr_intercept(l_extendedprice, l_quantity)", 3)
-grouped("agg_50_steyx", A.steyx(Y, X), "sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (regr_count(l_extendedprice, l_quantity) - 2))", 3)
-grouped("agg_51_forecast", A.forecast(30, Y, X), "regr_intercept(l_extendedprice, l_quantity) + 30 * regr_slope(l_extendedprice, l_quantity)", 3)
-grouped("agg_57_confidence", A.confidence(X, 0.05), "1.959963984540054 * stddev_samp(l_quantity) / sqrt(count(l_quantity))")
+
+    def run(t):
+        value = column() if digits is None else F.round(column().cast("double"), digits)
+        return t.lineitem.groupBy(*KEYS).agg(value.alias("value"))
+
+    add(name, run, f"select {GROUPS}, {text} as value from lineitem group by {GROUPS}")
+
+
+grouped("agg_1_sum", lambda: A.sum_(Y()), "sum(l_extendedprice)", 2)
+grouped("agg_2_sumif", lambda: A.sumif(F.lower("l_returnflag"), "n", X()), "coalesce(sum(l_quantity) filter (where upper(l_returnflag) = 'N'), 0)")
+grouped("agg_3_sumsq", lambda: A.sumsq(X()), "sum(l_quantity * l_quantity)", 2)
+grouped("agg_4_sumproduct", lambda: A.sumproduct(X(), D()), "sum(l_quantity * l_discount)", 4)
+grouped("agg_5_sumx2my2", lambda: A.sumx2my2(X(), D()), "sum(l_quantity * l_quantity - l_discount * l_discount)", 4)
+grouped("agg_6_sumx2py2", lambda: A.sumx2py2(X(), D()), "sum(l_quantity * l_quantity + l_discount * l_discount)", 4)
+grouped("agg_7_sumxmy2", lambda: A.sumxmy2(X(), D()), "sum((l_quantity - l_discount) * (l_quantity - l_discount))", 4)
+grouped("agg_8_product", lambda: A.product(1 + TAX() / 1000), "product(1 + l_tax / 1000)")
+grouped("agg_10_count", lambda: A.count(M()), f"count(try_cast(({MIXED_SQL}) as double))", None)
+grouped("agg_11_counta", lambda: A.counta(M()), f"count({MIXED_SQL})", None)
+grouped("agg_12_countblank", lambda: A.countblank(M()), f"count(*) filter (where ({MIXED_SQL}) is null or ({MIXED_SQL}) = '')", None)
+grouped("agg_13_countif", lambda: A.countif(X(), ">=25"), "count(*) filter (where l_quantity >= 25)", None)
+grouped("agg_14_average", lambda: A.average(Y()), "avg(l_extendedprice)", 4)
+grouped("agg_15_averagea", lambda: A.averagea(M()), f"avg({MIXED_NUMBER_SQL})")
+grouped("agg_16_averageif", lambda: A.averageif(X(), "<10", Y()), "avg(l_extendedprice) filter (where l_quantity < 10)", 4)
+grouped("agg_17_max", lambda: A.max_(Y()), "max(l_extendedprice)")
+grouped("agg_18_maxa", lambda: A.maxa(M()), f"max({MIXED_NUMBER_SQL})")
+grouped("agg_19_maxif", lambda: A.maxif(X(), "=7", Y()), "max(l_extendedprice) filter (where l_quantity = 7)")
+grouped("agg_20_min", lambda: A.min_(Y()), "min(l_extendedprice)")
+grouped("agg_21_mina", lambda: A.mina(M()), f"min({MIXED_NUMBER_SQL})")
+grouped("agg_22_minif", lambda: A.minif(X(), "<>7", Y()), "min(l_extendedprice) filter (where l_quantity <> 7)")
+grouped("agg_31_devsq", lambda: A.devsq(X()), "var_pop(l_quantity) * count(l_quantity)", 4)
+grouped("agg_32_stdev", lambda: A.stdev(X()), "stddev_samp(l_quantity)")
+grouped("agg_33_stdeva", lambda: A.stdeva(M()), f"stddev_samp({MIXED_NUMBER_SQL})")
+grouped("agg_34_stdevp", lambda: A.stdevp(X()), "stddev_pop(l_quantity)")
+grouped("agg_35_stdevpa", lambda: A.stdevpa(M()), f"stddev_pop({MIXED_NUMBER_SQL})")
+grouped("agg_36_var", lambda: A.var(X()), "var_samp(l_quantity)")
+grouped("agg_37_vara", lambda: A.vara(M()), f"var_samp({MIXED_NUMBER_SQL})")
+grouped("agg_38_varp", lambda: A.varp(X()), "var_pop(l_quantity)")
+grouped("agg_39_varpa", lambda: A.varpa(M()), f"var_pop({MIXED_NUMBER_SQL})")
+grouped("agg_40_skew", lambda: A.skew(Y()), "skewness(l_extendedprice)", 5)
+grouped("agg_41_kurt", lambda: A.kurt(Y()), "kurtosis(l_extendedprice)", 5)
+grouped("agg_42_geomean", lambda: A.geomean(Y()), "exp(avg(ln(l_extendedprice)))", 4)
+grouped("agg_43_harmean", lambda: A.harmean(Y()), "count(l_extendedprice) / sum(1 / l_extendedprice)", 4)
+grouped("agg_44_covar", lambda: A.covar(Y(), X()), "covar_pop(l_extendedprice, l_quantity)", 3)
+grouped("agg_45_correl", lambda: A.correl(Y(), X()), "corr(l_extendedprice, l_quantity)")
+grouped("agg_46_pearson", lambda: A.pearson(Y(), D()), "corr(l_extendedprice, l_discount)")
+grouped("agg_47_rsq", lambda: A.rsq(Y(), X()), "regr_r2(l_extendedprice, l_quantity)")
+grouped("agg_48_slope", lambda: A.slope(Y(), X()), "regr_slope(l_extendedprice, l_quantity)", 4)
+grouped("agg_49_intercept", lambda: A.intercept(Y(), X()), "regr_intercept(l_extendedprice, l_quantity)", 3)
+grouped("agg_50_steyx", lambda: A.steyx(Y(), X()), "sqrt((regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / (regr_count(l_extendedprice, l_quantity) - 2))", 3)
+grouped("agg_51_forecast", lambda: A.forecast(30, Y(), X()), "regr_intercept(l_extendedprice, l_quantity) + 30 * regr_slope(l_extendedprice, l_quantity)", 3)
+grouped("agg_57_confidence", lambda: A.confidence(X(), 0.05), "1.959963984540054 * stddev_samp(l_quantity) / sqrt(count(l_quantity))")
 
 
 @query(
@@ -88,7 +98,7 @@ grouped("agg_57_confidence", A.confidence(X, 0.05), "1.959963984540054 * stddev_
 )
 def _(t):
     codes = [1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
-    figures = [(F.round(A.subtotal(c, X), 6) if c in (1, 7, 8, 10, 11) else A.subtotal(c, X)).alias(f"c{c}") for c in codes]
+    figures = [(F.round(A.subtotal(c, X()), 6) if c in (1, 7, 8, 10, 11) else A.subtotal(c, X())).alias(f"c{c}") for c in codes]
     rows = t.lineitem.rollup(*KEYS).agg(F.grouping("l_returnflag").alias("g1"), F.grouping("l_linestatus").alias("g2"), *figures)
     return rows.select(
         F.when(F.col("g1") == 1, "ALL").otherwise(F.col("l_returnflag")).alias("flag"),
@@ -130,7 +140,7 @@ add("agg_30_avedev", lambda t: O.mean_deviation(t.lineitem, PRICE, KEYS).select(
       round(sqrt((syy - sxy * sxy / sxx) / (n - 2)), 3) as residual_sd, cast(n as bigint) - 2 as df from s""",
 )
 def _(t):
-    fit = A.linest(Y, X)
+    fit = A.linest(Y(), X())
     digits = {"slope": 4, "intercept": 3, "slope_se": 4, "intercept_se": 3, "r2": 6, "residual_sd": 3}
     return t.lineitem.groupBy(*KEYS).agg(*[F.round(fit[k], d).alias(k) for k, d in digits.items()], fit["df"].alias("df"))
 
@@ -141,7 +151,7 @@ def _(t):
     round(regr_r2(ln(l_extendedprice), l_quantity), 6) as r2 from lineitem group by {GROUPS}""",
 )
 def _(t):
-    fit = A.logest(Y, X)
+    fit = A.logest(Y(), X())
     return t.lineitem.groupBy(*KEYS).agg(F.round(fit["m"], 6).alias("m"), F.round(fit["b"], 3).alias("b"), F.round(fit["r2"], 6).alias("r2"))
 
 
@@ -151,8 +161,8 @@ def _(t):
     x as (select distinct l_returnflag, l_quantity as x from lineitem) select l_returnflag, x, round(a + b * x, 3) as fitted from x join f using (l_returnflag)""",
 )
 def _(t):
-    fit = t.lineitem.groupBy("l_returnflag").agg(A.slope(Y, X).alias("b"), A.intercept(Y, X).alias("a"))
-    new_x = t.lineitem.select("l_returnflag", X.alias("x")).distinct()
+    fit = t.lineitem.groupBy("l_returnflag").agg(A.slope(Y(), X()).alias("b"), A.intercept(Y(), X()).alias("a"))
+    new_x = t.lineitem.select("l_returnflag", X().alias("x")).distinct()
     return new_x.join(fit, "l_returnflag").select("l_returnflag", "x", F.round(F.col("a") + F.col("b") * F.col("x"), 3).alias("fitted"))
 
 
@@ -162,9 +172,9 @@ def _(t):
     x as (select distinct l_returnflag, l_quantity as x from lineitem) select l_returnflag, x, round(exp(a) * power(exp(b), x), 3) as fitted from x join f using (l_returnflag)""",
 )
 def _(t):
-    fit = A.logest(Y, X)
+    fit = A.logest(Y(), X())
     fitted = t.lineitem.groupBy("l_returnflag").agg(fit["m"].alias("m"), fit["b"].alias("b"))
-    new_x = t.lineitem.select("l_returnflag", X.alias("x")).distinct()
+    new_x = t.lineitem.select("l_returnflag", X().alias("x")).distinct()
     return new_x.join(fitted, "l_returnflag").select("l_returnflag", "x", F.round(F.col("b") * F.pow("m", "x"), 3).alias("fitted"))
 
 
@@ -176,5 +186,5 @@ def _(t):
     select {GROUPS}, round(z, 6) as z, round(0.5 - sum(exp(-power(z * (i + 0.5) / 2000, 2) / 2)) * z / 2000 / sqrt(2 * pi()), 6) as p_value from s group by {GROUPS}, z""",
 )
 def _(t):
-    rows = t.lineitem.groupBy(*KEYS).agg(A.z_score(X, 25.4).alias("z"))
+    rows = t.lineitem.groupBy(*KEYS).agg(A.z_score(X(), 25.4).alias("z"))
     return rows.select(*KEYS, F.round("z", 6).alias("z"), F.round(A.one_sided_p(F.col("z")), 6).alias("p_value"))

@@ -14,25 +14,29 @@ CRITERIA = [
     {"p_type": "Promo"},
 ]
 WHERE = "(upper(p_type) = 'ECONOMY' or upper(p_type) = 'PROMO') and p_size >= 10 and upper(p_brand) <> 'BRAND#7'"
-X = F.col("p_retailprice")
+
+
+def X(): return F.col("p_retailprice")
 
 
 def db(name: str, column, sql: str, digits: int = 6) -> None:
-    value = F.round(column.cast("double"), digits).alias("value")
-    add(name, lambda t: t.part.filter(criteria_table(CRITERIA)).agg(value), f"select round(cast({sql} as double), {digits}) as value from part where {WHERE}")
-
-
-db("db_1_dsum", A.sum_(X), "sum(p_retailprice)", 3)
-db("db_2_daverage", A.average(X), "avg(p_retailprice)")
-db("db_3_dcount", A.count(F.col("p_size")), "count(p_size)")
-db("db_4_dcounta", F.count_if(F.col("p_name").isNotNull() & (F.col("p_name") != "")), "count(*) filter (where p_name <> '')")
-db("db_5_dmax", A.max_(X), "max(p_retailprice)")
-db("db_6_dmin", A.min_(X), "min(p_retailprice)")
-db("db_7_dproduct", A.product(1 + F.col("p_size") / 100000), "product(1 + p_size / 100000.0)")
-db("db_8_dstdev", A.stdev(X), "stddev_samp(p_retailprice)")
-db("db_9_dstdevp", A.stdevp(X), "stddev_pop(p_retailprice)")
-db("db_10_dvar", A.var(X), "var_samp(p_retailprice)")
-db("db_11_dvarp", A.varp(X), "var_pop(p_retailprice)")
+    def run(t):
+        return t.part.filter(criteria_table(CRITERIA)).agg(F.round(column().cast("double"), digits).alias("value"))
+
+    add(name, run, f"select round(cast({sql} as double), {digits}) as value from part where {WHERE}")
+
+
+db("db_1_dsum", lambda: A.sum_(X()), "sum(p_retailprice)", 3)
+db("db_2_daverage", lambda: A.average(X()), "avg(p_retailprice)")
+db("db_3_dcount", lambda: A.count(F.col("p_size")), "count(p_size)")
+db("db_4_dcounta", lambda: F.count_if(F.col("p_name").isNotNull() & (F.col("p_name") != "")), "count(*) filter (where p_name <> '')")
+db("db_5_dmax", lambda: A.max_(X()), "max(p_retailprice)")
+db("db_6_dmin", lambda: A.min_(X()), "min(p_retailprice)")
+db("db_7_dproduct", lambda: A.product(1 + F.col("p_size") / 100000), "product(1 + p_size / 100000.0)")
+db("db_8_dstdev", lambda: A.stdev(X()), "stddev_samp(p_retailprice)")
+db("db_9_dstdevp", lambda: A.stdevp(X()), "stddev_pop(p_retailprice)")
+db("db_10_dvar", lambda: A.var(X()), "var_samp(p_retailprice)")
+db("db_11_dvarp", lambda: A.varp(X()), "var_pop(p_retailprice)")
 
 
 def dget(df, column: str, criteria):

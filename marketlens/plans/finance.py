@@ -98,43 +98,50 @@ def loans(t):
         "o_orderkey", ((F.col("o_custkey") % 5) / 100).alias("r"), (3 + F.col("o_orderkey") % 10).cast("int").alias("n"), (100 * F.sqrt("o_totalprice")).alias("pv"))
 
 
-R, NP, PV, PER = (F.col(c) for c in ("r", "n", "pv", "period"))
+def R(): return F.col("r")
+def NP(): return F.col("n")
+def PV(): return F.col("pv")
+def PER(): return F.col("period")
 
 
 def loan(name, column, sql, digits=4):
-    add(name, lambda t: loans(t).select("o_orderkey", _r(column, digits).alias("value")), f"with {LOANS_SQL} select o_orderkey, round({sql}, {digits}) as value from loans")
+    add(name, lambda t: loans(t).select("o_orderkey", _r(column(), digits).alias("value")), f"with {LOANS_SQL} select o_orderkey, round({sql}, {digits}) as value from loans")
 
 
 def per_period(name, column, sql, digits=4):
-    add(name, lambda t: C.schedule(loans(t), "n").select("o_orderkey", "period", _r(column, digits).alias("value")),
+    add(name, lambda t: C.schedule(loans(t), "n").select("o_orderkey", "period", _r(column(), digits).alias("value")),
         f"{SCHEDULE_SQL} select o_orderkey, cast(per as integer) as period, round({sql}, {digits}) as value from parts")
 
 
 _ANN = "case when r = 0 then n else (power(1 + r, n) - 1) / r end"
-loan("fin_7_pmt", N.pmt(R, NP, PV, 500.0, 1), f"(-500 - pv * power(1 + r, n)) / ((1 + r) * ({_ANN}))")
-per_period("fin_8_ipmt", N.ipmt(R, PER, NP, PV), "interest")
-per_period("fin_9_ppmt", N.ppmt(R, PER, NP, PV), "p - interest")
-per_period("fin_10_ispmt", N.ispmt(R, PER, NP, PV), "case when per = n then 0 else -r * (pv - pv / n * per) end")
+loan("fin_7_pmt", lambda: N.pmt(R(), NP(), PV(), 500.0, 1), f"(-500 - pv * power(1 + r, n)) / ((1 + r) * ({_ANN}))")
+per_period("fin_8_ipmt", lambda: N.ipmt(R(), PER(), NP(), PV()), "interest")
+per_period("fin_9_ppmt", lambda: N.ppmt(R(), PER(), NP(), PV()), "p - interest")
+per_period("fin_10_ispmt", lambda: N.ispmt(R(), PER(), NP(), PV()), "case when per = n then 0 else -r * (pv - pv / n * per) end")
 
 
 def cumulative(name, column, sql):
     def run(t):
-        rows = C.schedule(loans(t), "n").filter(PER.between(2, 5))
-        return rows.groupBy("o_orderkey").agg(_r(F.sum(column), 3).alias("value"))
+        rows = C.schedule(loans(t), "n").filter(PER().between(2, 5))
+        return rows.groupBy("o_orderkey").agg(_r(F.sum(column()), 3).alias("value"))
 
     add(name, run, f"{SCHEDULE_SQL} select o_orderkey, round(sum({sql}), 3) as value from parts where per between 2 and 5 group by 1")
 
 
-cumulative("fin_11_cumipmt", N.ipmt(R, PER, NP, PV), "interest")
-cumulative("fin_12_cumprinc", N.ppmt(R, PER, NP, PV), "p - interest")
-loan("fin_13_fv", N.fv(R, NP, F.lit(-100.0), -PV), f"pv * power(1 + r, n) + 100 * ({_ANN})")
-loan("fin_14_pv", N.pv(R, NP, F.lit(-250.0), 1000.0, 1), f"(250 * (1 + r) * ({_ANN}) - 1000) / power(1 + r, n)")
-loan("fin_15_nper", N.nper(R, -PV * 0.09, PV), "case when r = 0 then 1 / 0.09::double else ln((-pv * 0.09::double / r) / (pv - pv * 0.09::double / r)) / ln(1 + r) end", 6)
-loan("fin_16_effect", N.effect(R + 0.01, NP), "power(1 + (r + 0.01) / n, n) - 1", 8)
-loan("fin_17_nominal", N.nominal(R + 0.01, NP), "n * (power(r + 1.01, 1.0::double / n) - 1)", 8)
-SALVAGE = PV * 0.1
-per_period("fin_18_sln", N.sln(PV, SALVAGE, NP), "(pv - pv * 0.1) / n")
-per_period("fin_19_syd", N.syd(PV, SALVAGE, NP, PER), "(pv - pv * 0.1) * (n - per + 1) * 2 / (n * (n + 1))")
+cumulative("fin_11_cumipmt", lambda: N.ipmt(R(), PER(), NP(), PV()), "interest")
+cumulative("fin_12_cumprinc", lambda: N.ppmt(R(), PER(), NP(), PV()), "p - interest")
+loan("fin_13_fv", lambda: N.fv(R(), NP(), F.lit(-100.0), -PV()), f"pv * power(1 + r, n) + 100 * ({_ANN})")
+loan("fin_14_pv", lambda: N.pv(R(), NP(), F.lit(-250.0), 1000.0, 1), f"(250 * (1 + r) * ({_ANN}) - 1000) / power(1 + r, n)")
+loan("fin_15_nper", lambda: N.nper(R(), -PV() * 0.09, PV()), "case when r = 0 then 1 / 0.09::double else ln((-pv * 0.09::double / r) / (pv - pv * 0.09::double / r)) / ln(1 + r) end", 6)
+loan("fin_16_effect", lambda: N.effect(R() + 0.01, NP()), "power(1 + (r + 0.01) / n, n) - 1", 8)
+loan("fin_17_nominal", lambda: N.nominal(R() + 0.01, NP()), "n * (power(r + 1.01, 1.0::double / n) - 1)", 8)
+
+
+def SALVAGE(): return PV() * 0.1
+
+
+per_period("fin_18_sln", lambda: N.sln(PV(), SALVAGE(), NP()), "(pv - pv * 0.1) / n")
+per_period("fin_19_syd", lambda: N.syd(PV(), SALVAGE(), NP(), PER()), "(pv - pv * 0.1) * (n - per + 1) * 2 / (n * (n + 1))")
 
 
 # Declining balances run period by period in SQL and by closed form in Spark.
@@ -144,7 +151,7 @@ def _declining(rate: str, step: str) -> str:
     select o_orderkey, cast(per as integer) as period, round(dep, 3) as value from walk where per > 0"""
 
 
-add("fin_20_db", lambda t: C.schedule(loans(t), "n").select("o_orderkey", "period", _r(N.db(PV, SALVAGE, NP, PER, 7), 3).alias("value")),
+add("fin_20_db", lambda t: C.schedule(loans(t), "n").select("o_orderkey", "period", _r(N.db(PV(), SALVAGE(), NP(), PER(), 7), 3).alias("value")),
     _declining("round(1 - power(0.1::double, 1.0::double / n), 3)", "case when per = 0 then pv * q * 7 / 12 else (pv - used) * q end"))
-add("fin_21_ddb", lambda t: C.schedule(loans(t), "n").select("o_orderkey", "period", _r(N.ddb(PV, SALVAGE, NP, PER), 3).alias("value")),
+add("fin_21_ddb", lambda t: C.schedule(loans(t), "n").select("o_orderkey", "period", _r(N.ddb(PV(), SALVAGE(), NP(), PER()), 3).alias("value")),
     _declining("2.0::double / n", "least((pv - used) * q, pv - salvage - used)"))

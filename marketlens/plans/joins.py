@@ -17,13 +17,15 @@ from marketlens.plans.deal import deal
 from marketlens.plans.runs import RANKS_SQL, USERS_SQL, ranks, users
 from marketlens.registry import query
 
-N = F.count(F.lit(1)).alias("n")
+
+
+def N(): return F.count(F.lit(1)).alias("n")
 
 
 @query("jn_1_fact_to_audience", S.cte("members", "issues") + "select i.activity_coupon_id, m.device_type, count(*) as n from issues i join members m on i.user_id = m.member_no group by all")
 def _(t):
     rows = S.issues(t).join(S.members(t).withColumnRenamed("member_no", "user_id"), "user_id")
-    return rows.groupBy("activity_coupon_id", "device_type").agg(N)
+    return rows.groupBy("activity_coupon_id", "device_type").agg(N())
 
 
 @query(
@@ -34,7 +36,7 @@ def _(t):
 def _(t):
     first = S.issues(t).groupBy(F.col("user_id").alias("member_no")).agg(F.min("create_time").alias("first_time"))
     rows = salted_join(S.trades(t), first, ["member_no"], ["business_order_item_no"], condition=F.col("trans_time") >= F.col("first_time"))
-    return rows.groupBy("member_no").agg(N, F.sum("fund_trans_amount").cast("double").alias("amount"))
+    return rows.groupBy("member_no").agg(N(), F.sum("fund_trans_amount").cast("double").alias("amount"))
 
 
 @query(
@@ -48,7 +50,7 @@ def _(t):
     r = S.rules(t).select(F.col("id").alias("rule_id"), "satisfied_amount")
     rows = S.trades(t).join(u, "business_order_item_no", "left").join(c, "activity_coupon_id", "left").join(r, "rule_id", "left")
     return rows.groupBy(F.coalesce("name", F.lit("none")).alias("name")).agg(
-        N, F.count("satisfied_amount").alias("ruled"), F.sum("deduction_amt").cast("double").alias("deduction"))
+        N(), F.count("satisfied_amount").alias("ruled"), F.sum("deduction_amt").cast("double").alias("deduction"))
 
 
 @query("jn_4_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
@@ -73,7 +75,7 @@ def _(t):
     rows = t.orders.select(F.col("o_orderpriority").alias("coupon"), F.to_date("o_orderdate").alias("day"), "o_orderstatus", "o_totalprice")
     keys = ["coupon", "day"]
     b = rows.filter(F.col("o_orderstatus") == "F").groupBy(*keys).agg(F.round(F.sum("o_totalprice"), 2).alias("amt"))
-    return rows.groupBy(*keys).agg(N).join(b, keys, "left").select("coupon", F.col("day").cast("string").alias("day"), "n", "amt")
+    return rows.groupBy(*keys).agg(N()).join(b, keys, "left").select("coupon", F.col("day").cast("string").alias("day"), "n", "amt")
 
 
 @query(
@@ -96,9 +98,9 @@ def _(t):
     (select count(distinct c_nationkey) from customer) as nations""",
 )
 def _(t):
-    li = t.lineitem.agg(F.struct(N, F.round(F.sum("l_extendedprice"), 2).alias("amount"))).scalar()
+    li = t.lineitem.agg(F.struct(N(), F.round(F.sum("l_extendedprice"), 2).alias("amount"))).scalar()
     c = t.customer.agg(F.count_distinct("c_nationkey")).scalar()
-    return t.orders.agg(N).select(
+    return t.orders.agg(N()).select(
         F.lit(G.TOTAL).alias("k"), F.col("n").alias("orders"), li["n"].alias("items"), li["amount"].alias("amount"), c.alias("nations"))
 
 
@@ -135,4 +137,4 @@ def _(t):
     d = deal(t)
     names = d.products.select(F.col("id").alias("product_id"), "product_name")
     rows = D.traded_details(d).join(d.details, "fund_detail_uuid").join(names, "product_id")
-    return rows.groupBy("product_name").agg(N, F.sum("expect_profit_amount").cast("double").alias("profit"))
+    return rows.groupBy("product_name").agg(N(), F.sum("expect_profit_amount").cast("double").alias("profit"))
