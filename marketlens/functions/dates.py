@@ -192,7 +192,10 @@ def weekday(d: Column, style: int = 1) -> Column:
 
 
 def weeknum(d: Column, method: int = 1) -> Column:
-    """Week of the year, week 1 holds 1 January; weeks start on Sunday (1) or Monday (2)."""
+    """Week of the year, week 1 holds 1 January; weeks start on Sunday (1) or Monday (2).
+
+    With Monday weeks, a 1 January on a Sunday is week 0.
+    """
     first = F.dayofweek(F.trunc(d, "year")) - 1
     in_first_week = 7 - (first + 2 - method) % 7
     return (F.ceil((F.dayofyear(d) - 1 - in_first_week) / 7) + 1).cast("int")

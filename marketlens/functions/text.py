@@ -54,7 +54,7 @@ _DATE_TOKENS = {
 
 def date_pattern(mask: str) -> str:
     """Spark pattern of a date mask; ``mm`` after hours or before seconds means minutes."""
-    tokens = re.findall(r"am/pm|y+|m+|d+|h+|s+|[^ymdhs]+", mask.lower())
+    tokens = re.findall(r"am/pm|y+|m+|d+|h+|s+|[^ymdhsa]+|a", mask.lower())
     out = []
     for i, token in enumerate(tokens):
         before = next((x for x in reversed(tokens[:i]) if x[0] in "ymdhs"), "")
