@@ -133,16 +133,24 @@ def _weekdays_to(d: Column) -> Column:
     return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)) + 1, F.lit(5))
 
 
+def _holidays_to(d: Column, free: Sequence[dt.date]) -> Column:
+    """Holidays up to and with the date: one look into an array with an entry per day of the holiday span."""
+    counts, seen = [], 0
+    for day in range((free[-1] - free[0]).days + 1):
+        seen += free[0] + dt.timedelta(days=day) == free[seen] if seen < len(free) else 0
+        counts.append(seen)
+    place = F.datediff(d, F.lit(free[0]))
+    found = F.get(F.expr("array(" + ",".join(map(str, counts)) + ")"), F.least(place, F.lit(len(counts) - 1)))
+    return F.when(place < 0, 0).otherwise(found)
+
+
 def networkdays(start: Column, end: Column, holidays: Sequence[dt.date] = ()) -> Column:
     """Working days from start to end, both included; negative where end is before start."""
     a, b = F.least(F.to_date(start), F.to_date(end)), F.greatest(F.to_date(start), F.to_date(end))
     count = _weekdays_to(b) - _weekdays_to(F.date_sub(a, 1))
     free = _holidays(holidays)
-    if len(free) <= 64:  # plain comparisons stay inside generated code
-        for h in free:
-            count = count - F.lit(h).between(a, b).cast("int")
-    else:
-        count = count - F.size(F.filter(F.array(*[F.lit(h) for h in free]), lambda h: (h >= a) & (h <= b)))
+    if free:
+        count = count - (_holidays_to(b, free) - _holidays_to(F.date_sub(a, 1), free))
     return F.when(F.to_date(start) > F.to_date(end), -count).otherwise(count)
 
 
