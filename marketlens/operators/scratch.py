@@ -1,34 +1,33 @@
 """Scratch tables: results that several later steps read, written once to shared storage.
 
 A written table cuts the lineage, survives lost executors and is read back with column
-pruning and known size. Tables go below the folder in ``spark.checkpoint.dir``; only
-where that is unset (tests) a temporary folder is taken.
+pruning and known size. Tables go below the folder in ``spark.checkpoint.dir``; where
+that is unset they go below the warehouse folder, which a cluster shares as well. No
+machine-local temporary folder is ever taken.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: str | None = None
-
 
 def shared_folder(spark: SparkSession) -> str:
-    global _fallback
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if _fallback is None:
-        _fallback = tempfile.mkdtemp(prefix="marketlens-")
-    return _fallback
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return it as a scan of the written files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
