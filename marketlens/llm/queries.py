@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe
+from marketlens.llm import bpe, pii, quality
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": lambda spark, folder: bpe.digest(Tables(spark, folder).documents),
+    "op7_importance_quality": quality.query,
+    "op8_personal_data": pii.query,
 }
 ORACLE_SQL: dict[str, str] = {}
