@@ -125,7 +125,7 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``doc_id, n, id, check``, and rows without them whose ``often`` holds frequent shingles and their counts."""
+    """``doc_id, text_hash, n, id, check``, and rows without them whose ``often`` holds frequent shingles and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, heap, held = Shingler(shingle, seed), [], 0
@@ -135,11 +135,11 @@ def sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(heap), return_counts=True)
             often = counts >= OFTEN
             rows = [{"s": int(s), "c": int(c)} for s, c in zip(values[often].view(np.int64), counts[often])]
-            return _batch({"doc_id": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "id": pa.array([None], pa.int64()), "check": pa.array([None], pa.int64()),
+            return _batch({"doc_id": pa.array([None], pa.int64()), "text_hash": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64()), "id": pa.array([None], pa.int64()), "check": pa.array([None], pa.int64()),
                            "often": pa.array([rows], pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())])))})
 
         for batch in batches:
-            ids, ns, names, checks = batch.column(0), [], [], []
+            ns, names, checks = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 low, high = class_of(s) if len(s) else (None, None)
@@ -156,11 +156,11 @@ def sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                         yield reported()
                         heap, held = [], 0
             empty = pa.array([None] * len(ns), pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())])))
-            yield _batch({"doc_id": ids, "n": pa.array(ns, pa.int64()), "id": pa.array(names, pa.int64()), "check": pa.array(checks, pa.int64()), "often": empty})
+            yield _batch({"doc_id": batch.column(0), "text_hash": batch.column(2), "n": pa.array(ns, pa.int64()), "id": pa.array(names, pa.int64()), "check": pa.array(checks, pa.int64()), "often": empty})
         if heap:
             yield reported()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, id bigint, check bigint, often array<struct<s:bigint,c:bigint>>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, id bigint, check bigint, often array<struct<s:bigint,c:bigint>>")
 
 
 def leading(docs: DataFrame, frequent: np.ndarray, percent: int, shingle: int, seed: int) -> DataFrame:
@@ -376,11 +376,11 @@ def groups(docs: DataFrame, chosen: DataFrame, percent: int, shingle: int, seed:
 
 
 def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     for seed in range(8):
         first = scratch_table(sets(source, shingle, seed), "shingle-sets")
-        rows = first.filter("n IS NOT NULL").select("doc_id", "n", "id", "check")
+        rows = first.filter("n IS NOT NULL").select("doc_id", "text_hash", "n", "id", "check")
         classes = scratch_table(rows.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("check").alias("x"), F.max("check").alias("y")), "classes")
         if classes.filter("x <> y").isEmpty():
             break
@@ -398,10 +398,27 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
     named = classes.join(labels, "id", "left").select("id", "doc_id", F.coalesce("label", "id").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch_table(named.join(least, "label").select("id", "component_id"), "components")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     return rows.filter("n > 0").join(of_class, "id").select(*columns).union(alone.select(*columns))
 
 
+def one_of_group(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a document with a smaller id.
+
+    Of rows with the same id and text one stays. Rows without an id stay if their group
+    has no row with one, one for each text.
+    """
+    rows = scratch_table(link(docs, percent, shingle), "linked")
+    same = [F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_hash")]
+    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    stay = docs.join(gone, same, "left_anti")
+    several = scratch_table(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    if several.isEmpty():
+        return stay
+    once = stay.join(several, same, "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return stay.join(several, same, "left_anti").unionByName(once)
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    return link(Tables(spark, folder).documents)
+    return link(Tables(spark, folder).documents).select("doc_id", "n_shingles", "component_id")

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, jaccard, pii, quality
+from marketlens.llm import bpe, jaccard, mixing, pii, quality
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": mixing.query,
     "op5_bpe_round_trip": lambda spark, folder: bpe.digest(Tables(spark, folder).documents),
     "op7_importance_quality": quality.query,
     "op8_personal_data": pii.query,
     "op10_shingle_groups": jaccard.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mix": mixing.SQL,
+}
