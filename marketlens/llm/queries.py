@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, jaccard, mixing, pii, quality
+from marketlens.llm import bpe, jaccard, mixing, pii, quality, url_filter
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_vocabulary": url_filter.query,
     "op2_source_mix": mixing.query,
     "op5_bpe_round_trip": lambda spark, folder: bpe.digest(Tables(spark, folder).documents),
     "op7_importance_quality": quality.query,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shingle_groups": jaccard.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_vocabulary": url_filter.SQL,
     "op2_source_mix": mixing.SQL,
 }
