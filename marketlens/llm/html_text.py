@@ -211,9 +211,9 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
     else:
         # linked text counts against a line; a last short line that ends no sentence is a stray one
         lengths = [max(0, len(t) - 2 * linked) for t, linked, _ in lines]
-        middle = sorted(lengths)[len(lengths) // 2]
+        stray = min(40, max(lengths, default=0) // 4)
         for i in range(len(lines) - 1, 0, -1):
-            if lengths[i] and (lengths[i] >= min(40, middle) or lines[i][0][-1] in _ENDS):
+            if lengths[i] and (lengths[i] >= stray or lines[i][0][-1] in _ENDS):
                 break
             lengths[i] = 0
     first, end = surge_and_dive(lengths, share, window)
