@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, html_text, jaccard, mixing, pii, quality, url_filter
+from marketlens.llm import bpe, html_text, jaccard, mixing, pii, quality, topk, url_filter
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": lambda spark, folder: bpe.digest(Tables(spark, folder).documents),
     "op7_importance_quality": quality.query,
     "op8_personal_data": pii.query,
+    "op9_uniform_threshold_topk": topk.query,
     "op10_shingle_groups": jaccard.query,
 }
 ORACLE_SQL: dict[str, str] = {
