@@ -155,54 +155,20 @@ def load_automaton(path: str) -> Automaton:
     return Automaton(labels, merges, specials)
 
 
-class Coder:
-    """Encoder and decoder of one Python worker, with its table of remembered words."""
+class WordCoder:
+    """Ids of whole texts from ids of words, with a table of remembered words of bounded size."""
 
-    def __init__(self, automaton: Automaton, remembered: int = REMEMBERED):
-        self.automaton, self.remembered = automaton, remembered
+    def __init__(self, specials: dict[str, int], remembered: int = REMEMBERED):
+        self.specials, self.remembered = specials, remembered
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
-        self.arcs: dict[int, bool] = {}
         self.words = regex.compile(WORDS)
         self.uneven = regex.compile(r"\A\s|\s\Z| \s|\s ")
-        marks = sorted(automaton.specials, key=len, reverse=True)
+        marks = sorted(specials, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
     def word_ids(self, word: bytes) -> list[int]:
-        """Arcs of the only accepted path of a word.
-
-        Long arcs are tried first. A path that can't go on steps back; places where that
-        happened are marked, so every state is left at most once at each place.
-        """
-        a = self.automaton
-        ids, arcs, target, labels, has_arc, reach = a.ids, self.arcs, a.target, a.labels, a.has_arc, a.reach
-        n, at, state, out, closed = len(word), 0, 0, [], set()
-        width = min(n, reach.get(word[:2], 1))
-        while at < n:
-            while width:
-                token = ids.get(word[at : at + width])
-                if token is not None:
-                    key = state << 20 | token
-                    there = arcs.get(key)
-                    if there is None:
-                        if len(arcs) >= self.remembered:
-                            arcs.clear()
-                        there = arcs[key] = has_arc(state, token)
-                    if there and (not closed or (at + width, target[token]) not in closed):
-                        break
-                width -= 1
-            if width:
-                out.append(token)
-                at, state = at + width, target[token]
-                width = min(n - at, reach.get(word[at : at + 2], 1))
-            elif out:
-                closed.add((at, state))
-                width = len(labels[out.pop()])
-                at -= width
-                width, state = width - 1, target[out[-1]] if out else 0
-            else:
-                raise ValueError("the vocabulary lacks a byte of the text")
-        return out
+        raise NotImplementedError
 
     def _piece(self, table: dict[str, bytes], key: str, text: str) -> bytes:
         ids: list[int] = []
@@ -235,10 +201,55 @@ class Coder:
             return b""
         if self.marks is None or not self.marks.search(text):
             return self._plain(text)
-        specials = self.automaton.specials
+        specials = self.specials
         parts = self.marks.split(text)
         return b"".join(np.array([specials[x]], "<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts))
 
+
+class Coder(WordCoder):
+    """Encoder and decoder by the automaton."""
+
+    def __init__(self, automaton: Automaton, remembered: int = REMEMBERED):
+        super().__init__(automaton.specials, remembered)
+        self.automaton = automaton
+        self.arcs: dict[int, bool] = {}
+
+    def word_ids(self, word: bytes) -> list[int]:
+        """Arcs of the only accepted path of a word.
+
+        Long arcs are tried first. A path that can't go on steps back; places where that
+        happened are marked, so every state is left at most once at each place.
+        """
+        a = self.automaton
+        ids, arcs, target, labels, has_arc, reach = a.ids, self.arcs, a.target, a.labels, a.has_arc, a.reach
+        n, at, state, out, closed = len(word), 0, 0, [], set()
+        width = min(n, reach.get(word[:2], 1))
+        while at < n:
+            while width:
+                token = ids.get(word[at : at + width])
+                if token is not None:
+                    key = state << 20 | token
+                    there = arcs.get(key)
+                    if there is None:
+                        if len(arcs) >= self.remembered:
+                            arcs.clear()
+                        there = arcs[key] = has_arc(state, token)
+                    if there and (not closed or (at + width, target[token]) not in closed):
+                        break
+                width -= 1
+            if width:
+                out.append(token)
+                at, state = at + width, target[token]
+                width = min(n - at, reach.get(word[at : at + 2], 1))
+            elif out:
+                closed.add((at, state))
+                width = len(labels[out.pop()])
+                at -= width
+                width, state = width - 1, target[out[-1]] if out else 0
+            else:
+                raise ValueError("the vocabulary lacks a byte of the text")
+        return out
+
     def decode(self, ids: bytes | None) -> str:
         labels = self.automaton.labels
         return b"".join([labels[i] for i in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace")

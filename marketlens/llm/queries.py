@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, html_text, jaccard, mixing, pii, quality, topk, url_filter
+from marketlens.llm import bpe, html_text, jaccard, mixing, pii, quality, token_blocks, topk, url_filter
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_vocabulary": url_filter.query,
     "op2_source_mix": mixing.query,
     "op3_line_block_text": html_text.query,
+    "op4_token_blocks": token_blocks.query,
     "op5_bpe_round_trip": lambda spark, folder: bpe.digest(Tables(spark, folder).documents),
     "op7_importance_quality": quality.query,
     "op8_personal_data": pii.query,
