@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, html_text, jaccard, mixing, pii, quality, token_blocks, topk, url_filter
+from marketlens.llm import bpe, html_text, jaccard, lm, mixing, pii, quality, token_blocks, topk, url_filter
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_block_text": html_text.query,
     "op4_token_blocks": token_blocks.query,
     "op5_bpe_round_trip": lambda spark, folder: bpe.digest(Tables(spark, folder).documents),
+    "op6_log_bilinear_scores": lm.query,
     "op7_importance_quality": quality.query,
     "op8_personal_data": pii.query,
     "op9_uniform_threshold_topk": topk.query,
