@@ -12,7 +12,7 @@ the last stage, which returns ids and tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketlens.llm import bpe, jaccard, mixing, pii, quality
 from marketlens.operators.scratch import scratch_table
@@ -21,8 +21,8 @@ from marketlens.tables import Tables
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    judged = quality.judge(docs, Tables(spark, sf_dir).labels)
-    return judged.filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # so that no column meets one of the results
+    return quality.judge(rows, Tables(spark, sf_dir).labels).filter("kept").select("_row.*")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -412,12 +412,12 @@ def one_of_group(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE
     rows = scratch_table(link(docs, percent, shingle), "linked")
     same = [F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_hash")]
     gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    stay = docs.join(gone, same, "left_anti")
+    stay = docs.select(F.struct("*").alias("_row"), "doc_id", "text").join(gone, same, "left_anti")
     several = scratch_table(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
     if several.isEmpty():
-        return stay
+        return stay.select("_row.*")
     once = stay.join(several, same, "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return stay.join(several, same, "left_anti").unionByName(once)
+    return stay.join(several, same, "left_anti").unionByName(once).select("_row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -134,9 +134,10 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
 def mixed_documents(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken."""
     made = scratch_table(plan(scratch_table(measured(docs), "mix-rows"), share, most), "mix-plan")
-    placed = join_keys(with_key(docs), made, ["source"]).withColumn("_copies", _copies().cast("int"))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")
+    placed = join_keys(with_key(rows), made, ["source"]).withColumn("_copies", _copies().cast("int"))
     repeated = placed.filter("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select("_row.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
