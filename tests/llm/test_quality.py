@@ -27,7 +27,7 @@ def measures(text):
 
 
 def grams(text, buckets):
-    tokens = regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+", text or "", flags=regex.ASCII if False else 0)
+    tokens = regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]+", text or "")
     ones = [signed_and([t], buckets) for t in tokens]
     return ones + [signed_and(tokens[i : i + 2], buckets) for i in range(len(tokens))]
 
