@@ -36,6 +36,7 @@ class Warehouse:
     trades: DataFrame | None = None
     products: DataFrame | None = None
     current_products: DataFrame | None = None
+    white_lists: DataFrame | None = None  # member_no, white_list_group; where it is not given, a column of the members
     first_current_product: int = FIRST_CURRENT_PRODUCT
 
 
@@ -91,9 +92,14 @@ def bought(w: Warehouse, words: Sequence[str] | None, days: Sequence[tuple] | No
 
 def white_listed(w: Warehouse, groups: Sequence[str]) -> DataFrame:
     """Members whose comma list of white-list groups holds one of the groups."""
-    rows = w.members.filter(F.col("white_list_group").isNotNull() & (F.col("white_list_group") != ""))
-    each = rows.select("member_no", F.explode(F.split("white_list_group", ",")).alias("white_list_id"))
-    return each.filter(F.col("white_list_id").isin(*[str(g) for g in groups])).select("member_no")
+    table = w.members if w.white_lists is None else w.white_lists
+    return table.filter(in_white_lists(groups)).select("member_no")
+
+
+def in_white_lists(groups: Sequence[str]) -> Column:
+    """The comma list of a row holds one of the groups; rows without a list hold none."""
+    listed = F.arrays_overlap(F.split("white_list_group", ","), F.array(*[F.lit(str(g)) for g in groups]))
+    return F.coalesce(listed, F.lit(False))
 
 
 def fixed_term_due(w: Warehouse, days: Sequence[tuple]) -> DataFrame:
@@ -119,7 +125,7 @@ def best_by_score(frame: DataFrame, n: int, key: str = "member_no") -> DataFrame
 
     Planned as a top-k per task followed by a merge of k rows, not as a full sort.
     """
-    return frame.orderBy(F.col("score_tag_result").desc(), F.xxhash64(key), key).limit(n)
+    return frame.orderBy(F.col("score_tag_result").desc(), F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)
 
 
 def united(frames: Sequence[DataFrame]) -> DataFrame:
@@ -197,8 +203,13 @@ def group_members(w: Warehouse, group: Group) -> DataFrame:
     """Members of one tag group, with the six audience columns."""
     predicate = P.group_predicate(*_wide_table_terms(group.tags))
     frame = w.members if predicate is None else w.members.filter(predicate)
-    frame = frame.select(*AUDIENCE_COLUMNS)
     given = {tag.type: tag for tag in group.tags}
+    if w.white_lists is None:  # the lists are a column of the members, so this is a test of their own row
+        for kind in (17, 18):
+            if kind in given:
+                listed = in_white_lists(given.pop(kind).values)
+                frame = frame.filter(listed if kind == 17 else ~listed)
+    frame = frame.select(*AUDIENCE_COLUMNS)
     for name, (list_type, day_type) in _SETS.items():
         if list_type in given or day_type in given:
             chosen, combine = _SET_OPERATORS[name]

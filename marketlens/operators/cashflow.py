@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from marketlens.operators.ordered import join_keys
+from marketlens.operators.scratch import scratch_table
 
 MAX_ROUNDS = 128  # fixed value: steps of the bracket and of the bisection
 LOWEST_RATE = -1.0 + 1e-9
 PRECISION = 1e-14
-MAX_TIMES = 100_000  # distinct times of one investment: more than 270 years of days
+LISTED_TIMES = 10_000  # an investment with more distinct times is solved by sums over its rows
+GRID = 32  # growth rates tried in one pass over such rows
 
 
 def npv(flows: DataFrame, keys: Sequence[str], period: str, amount: str, rate: Column | float, name: str = "npv") -> DataFrame:
@@ -111,17 +113,44 @@ def _rates(guess: float):
 
 
 def _solved(flows: DataFrame, keys: Sequence[str], time: Column, amount: str, guess: float, name: str) -> DataFrame:
-    """Flows of one time are summed map-side first, so an investment holds one entry per time.
-
-    That number is bounded by the calendar; beyond ``MAX_TIMES`` the job stops with an error.
-    """
+    """Flows of one time are summed first. Few times are solved as one list, many by passes of sums over the rows."""
     summed = flows.groupBy(*keys, time.alias("_time")).agg(F.sum(amount).alias("_amount"))
-    lists = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_time", "_amount"))).alias("_flows"))
-    size_ok = F.assert_true(F.size("_flows") <= MAX_TIMES, F.lit("too many distinct times in one investment"))
-    lists = lists.filter(F.coalesce(size_ok.cast("boolean"), F.lit(True)))
-    solve = _rates(guess)
-    rate = solve(F.col("_flows._time"), F.col("_flows._amount"))
-    return lists.select(*keys, F.nanvl(rate, F.lit(None).cast("double")).alias(name))
+    sizes = summed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = scratch_table(sizes.filter(F.col("_n") > LISTED_TIMES).select(*keys), "long-flows")
+    some_long = not long.isEmpty()
+    short = join_keys(summed.withColumn("_short", F.lit(True)), long.withColumn("_long", F.lit(True)), keys, "left").filter("_long IS NULL") if some_long else summed
+    lists = short.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_time", "_amount"))).alias("_flows"))
+    rate = _rates(guess)(F.col("_flows._time"), F.col("_flows._amount"))
+    solved = lists.select(*keys, F.nanvl(rate, F.lit(None).cast("double")).alias(name))
+    if not some_long:
+        return solved
+    rows = scratch_table(join_keys(summed, long.withColumn("_long", F.lit(True)), keys).drop("_long"), "long-flow-rows")
+    return solved.union(_solved_by_passes(rows, keys, guess).select(*keys, F.col("_rate").alias(name)))
+
+
+def _solved_by_passes(rows: DataFrame, keys: Sequence[str], guess: float) -> DataFrame:
+    """Rates from sums of discounted amounts at GRID growth rates for every investment at once.
+
+    The first pass looks over all growth rates from -1 to the largest the bracket can
+    reach, and keeps the change of sign nearest to the guess; every further pass divides
+    that interval by GRID - 1.
+    """
+    first = rows.groupBy(*keys).agg(F.min("_time").alias("_first"))
+    rows = join_keys(rows, first, keys).withColumn("_time", F.col("_time") - F.col("_first")).drop("_first")
+    top = float(np.log(guess) + MAX_ROUNDS * np.log(2.6))
+    places = rows.select(*keys).distinct().select(*keys, F.lit(float(np.log1p(LOWEST_RATE))).alias("_low"), F.lit(top).alias("_high"))
+    passes = 1 + int(np.ceil(np.log((top + 21) / PRECISION) / np.log(GRID - 1)))
+    for _ in range(passes):
+        step = (F.col("_high") - F.col("_low")) / (GRID - 1)
+        sums = [F.sum(F.col("_amount") * F.exp(-(F.col("_low") + i * step) * F.col("_time"))).alias(f"_v{i}") for i in range(GRID)]
+        values = join_keys(rows, places, keys).groupBy(*keys, "_low", "_high").agg(*sums)
+        changes = F.array_compact(F.array(*[
+            F.when(F.col(f"_v{i}") * F.col(f"_v{i + 1}") <= 0, F.struct(F.abs(F.col("_low") + (i + 0.5) * step - float(np.log1p(guess))).alias("far"), (F.col("_low") + i * step).alias("low"), (F.col("_low") + (i + 1) * step).alias("high")))
+            for i in range(GRID - 1)
+        ]))
+        nearest = F.array_min(changes)
+        places = scratch_table(values.select(*keys, nearest["low"].alias("_low"), nearest["high"].alias("_high")), "growth-rates")
+    return places.select(*keys, F.expm1((F.col("_low") + F.col("_high")) / 2).alias("_rate"))
 
 
 def irr(flows: DataFrame, keys: Sequence[str], period: str, amount: str, guess: float = 0.1, name: str = "irr") -> DataFrame:

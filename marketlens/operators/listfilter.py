@@ -15,8 +15,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-TOP_MAX = 500  # fixed value: the largest N of a top/bottom filter
-
+from marketlens.operators import ordered
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
@@ -28,9 +27,25 @@ def in_values(c: Column, values: Sequence, blanks: bool = False) -> Column:
 
 
 def in_date_groups(ts: Column, prefixes: Sequence[str], blanks: bool = False) -> Column:
-    """The timestamp starts with one of the prefixes, e.g. '2024', '202401', '2024011512'."""
-    text = F.date_format(ts, "yyyyMMddHHmmss")
-    return F.when(ts.isNull(), F.lit(blanks)).otherwise(reduce(or_, [F.startswith(text, F.lit(p)) for p in prefixes]))
+    """The timestamp starts with one of the prefixes, e.g. '2024', '202401', '2024011512'.
+
+    Every prefix is a range of the raw column, so the test reaches the scan.
+    """
+    within = reduce(or_, [(ts >= F.lit(start)) & (ts < F.lit(end)) for start, end in map(_span_of, prefixes)])
+    return within | ts.isNull() if blanks else within
+
+
+def _span_of(prefix: str) -> tuple[dt.datetime, dt.datetime]:
+    """First moment of a year, month, day, hour, minute or second written as digits, and of the next one."""
+    sizes = {4: "years", 6: "months", 8: "days", 10: "hours", 12: "minutes", 14: "seconds"}
+    if len(prefix) not in sizes:
+        raise ValueError(f"not a date prefix: {prefix}")
+    start = dt.datetime(int(prefix[:4]), int(prefix[4:6] or 1), int(prefix[6:8] or 1), *(int(prefix[i : i + 2] or 0) for i in (8, 10, 12)))
+    if len(prefix) == 4:
+        return start, start.replace(year=start.year + 1)
+    if len(prefix) == 6:
+        return start, start.replace(year=start.year + start.month // 12, month=start.month % 12 + 1)
+    return start, start + dt.timedelta(**{sizes[len(prefix)]: 1})
 
 
 def wildcard_regex(pattern: str) -> str:
@@ -132,17 +147,13 @@ def beside_average(df: DataFrame, column: str, above: bool = True, keys: Sequenc
     return joined.filter(x > F.col("_mean") if above else x < F.col("_mean")).drop("_mean")
 
 
-def _clamped(n: Column | int):
-    return F.greatest(F.least(n, F.lit(TOP_MAX)), F.lit(1)) if isinstance(n, Column) else max(1, min(TOP_MAX, n))
-
-
 def top_n(df: DataFrame, column: str, n: int, top: bool = True, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows at or beyond the n-th value (1..500), ties kept.
+    """Rows at or beyond the n-th value, ties kept.
 
     Zeros and blanks are left out when the n-th value is taken. Per group the row
     numbers are limited before the shuffle, so no group reaches one task whole.
     """
-    n = _clamped(n)
+    n = max(1, n)
     x = F.col(column)
     valued = df.filter(x.isNotNull() & (x != 0))
     pick = F.min if top else F.max
@@ -160,15 +171,18 @@ def top_n(df: DataFrame, column: str, n: int, top: bool = True, keys: Sequence[s
 
 
 def top_percent(df: DataFrame, column: str, percent: float, top: bool = True) -> DataFrame:
-    """As ``top_n`` with N = floor(percent * rows / 100), clamped to 1..500."""
+    """As ``top_n`` with N = floor(percent * rows / 100), at least 1, however many rows that are.
+
+    The n-th value comes from the counts of equal values, totalled over range partitions.
+    """
     x = F.col(column)
-    n = df.agg(_clamped(F.floor(F.lit(percent) * F.count(F.lit(1)) / 100))).scalar()
-    order = x.desc() if top else x.asc()
-    largest = df.filter(x.isNotNull() & (x != 0)).select(column).orderBy(order).limit(TOP_MAX)
-    w = Window.orderBy(order)  # over at most TOP_MAX rows
-    numbered = largest.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
-    edge = numbered.agg((F.min if top else F.max)(column)).scalar()
-    return df.filter(x >= edge) if top else df.filter(x <= edge)
+    n = df.agg(F.greatest(F.floor(F.lit(percent) * F.count(F.lit(1)) / 100), F.lit(1))).scalar()
+    counts = ordered.positions(df.filter(x.isNotNull() & (x != 0)).select(column), column)
+    if top:
+        edge = counts.filter(F.col("before") + F.col("n") > F.col("total") - n).agg(F.min(column)).scalar()
+        return df.filter(x >= edge)
+    edge = counts.filter(F.col("before") < n).agg(F.max(column)).scalar()
+    return df.filter(x <= edge)
 
 
 # Row validation: every rule is one Column that is true for a valid row.

@@ -195,7 +195,7 @@ def _(t):
     select 'top' as kind, count(*) as n, cast(sum(l_quantity) as double) as total from v where l_quantity >= (select min(l_quantity) from q where d <= 20)
     union all select 'bottom', count(*), round(sum(l_extendedprice), 2) from v where l_extendedprice <= (select max(l_extendedprice) from q where a <= 15)
     union all select 'grouped', count(*), round(sum(l_extendedprice), 2) from v join g on l_returnflag = f where l_extendedprice >= e
-    union all select 'percent', count(*), cast(sum(l_quantity) as double) from v where l_quantity >= (select min(l_quantity) from q where d <= (select greatest(1, least(500, floor(0.5 * count(*) / 100))) from v))""",
+    union all select 'percent', count(*), cast(sum(l_quantity) as double) from v where l_quantity >= (select min(l_quantity) from q where d <= (select greatest(1, floor(0.5 * count(*) / 100)) from v))""",
 )
 def _(t):
     li = t.lineitem.select("l_returnflag", "l_quantity", "l_extendedprice")

@@ -6,7 +6,7 @@ sums are square roots, so that no rounded figure lies exactly between two digits
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from marketlens.functions import finance as N
 from marketlens.operators import cashflow as C
@@ -20,7 +20,9 @@ FLOWS_SQL = f"""flows as (select l_orderkey, i, l_shipdate, case when i = 1 then
 
 
 def flows(t):
-    placed = O.numbered(t.lineitem, _ORDER.split(", "), KEY, "i")
+    # an order has a handful of lines, so they are numbered in one window per order
+    line = Window.partitionBy(*KEY).orderBy(*_ORDER.split(", "))
+    placed = t.lineitem.select(*KEY, *_ORDER.split(", ")).withColumn("i", F.row_number().over(line))
     amount = F.when(F.col("i") == 1, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") * 0.4)
     return placed.select("l_orderkey", "i", "l_shipdate", amount.alias("v"))
 
@@ -52,21 +54,28 @@ def _(t):
     return C.mirr(flows(t), KEY, "i", "v", 0.1, 0.12).select("l_orderkey", _r("mirr", 6).alias("mirr"))
 
 
-# Bisection in SQL: one outgoing first flow makes the value fall in the rate, so the root is unique.
+# Bisection in SQL over the logarithm of growth: one outgoing first flow makes the value fall in the
+# rate, so the root is unique. Rates outside the range that the bracket can reach are null, as are
+# those of investments that never pay back. Growth is compared as well as the rate, which may be huge.
 def _bisection(flows_sql: str, time: str, name: str) -> str:
     return f"""with recursive {flows_sql},
-    timed as (select l_orderkey, list({time}) as tm, list(v) as v from flows group by 1 having max(v) > 0),
-    steps as (select 0 as k, l_orderkey, tm, v, -0.999999::double as lo, 1000.0::double as hi from timed
+    timed as (select l_orderkey, list({time}) as tm, list(v) as v, max(v) > 0 and min(v) < 0 as pays from flows group by 1),
+    steps as (select 0 as k, l_orderkey, tm, v, pays, -25.0::double as lo, 130.0::double as hi from timed
       union all
-      select k + 1, l_orderkey, tm, v, case when f > 0 then (lo + hi) / 2 else lo end, case when f > 0 then hi else (lo + hi) / 2 end
-      from (select *, list_sum([x[1] * power(1 + (lo + hi) / 2, -x[2]) for x in list_zip(v, tm)]) as f from steps) where k < 70)
-    select l_orderkey, round((lo + hi) / 2, 6) as {name} from steps where k = 70 and (lo + hi) / 2 between -0.99 and 100"""
+      select k + 1, l_orderkey, tm, v, pays, case when f > 0 then (lo + hi) / 2 else lo end, case when f > 0 then hi else (lo + hi) / 2 end
+      from (select *, list_sum([x[1] * exp(-x[2] * (lo + hi) / 2) for x in list_zip(v, [t - list_min(tm) for t in tm])]) as f from steps) where k < 60),
+    roots as (select l_orderkey, case when pays and (lo + hi) / 2 between ln(1e-9) and ln(0.1) + 128 * ln(2.6) then (lo + hi) / 2 end as g from steps where k = 60)
+    select l_orderkey, case when g < 5 then round(exp(g) - 1, 6) end as {name}, round(g, 6) as growth from roots"""
+
+
+def _with_growth(rows, name):
+    growth = F.log1p(F.col(name))
+    return rows.select("l_orderkey", F.when(growth < 5, _r(name, 6)).alias(name), _r(growth, 6).alias("growth"))
 
 
 @query("fin_4_irr", _bisection(FLOWS_SQL, "cast(i as double)", "irr"))
 def _(t):
-    rows = C.irr(flows(t), KEY, "i", "v").filter(F.col("irr").between(-0.99, 100))
-    return rows.select("l_orderkey", _r("irr", 6).alias("irr"))
+    return _with_growth(C.irr(flows(t), KEY, "i", "v"), "irr")
 
 
 DATED_SQL = """flows as (select l_orderkey, date_diff('day', d0, l_shipdate) / 365.0::double as years, case when l_shipdate = d0 then -l_extendedprice else l_extendedprice * 0.4 end as v
@@ -78,8 +87,7 @@ def _(t):
     first = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("d0"))
     amount = F.when(F.col("l_shipdate") == F.col("d0"), -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") * 0.4)
     dated = t.lineitem.join(first, "l_orderkey").select("l_orderkey", "l_shipdate", amount.alias("v"))
-    rows = C.xirr(dated, KEY, "l_shipdate", "v").filter(F.col("xirr").between(-0.99, 100))
-    return rows.select("l_orderkey", _r("xirr", 6).alias("xirr"))
+    return _with_growth(C.xirr(dated, KEY, "l_shipdate", "v"), "xirr")
 
 
 @query("fin_6_fvschedule", "select l_orderkey, round(100 * sqrt(l_orderkey + 2) * product(1 + l_tax), 4) as fv from lineitem group by 1")

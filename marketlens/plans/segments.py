@@ -94,17 +94,12 @@ def _(t):
     return one_group(t, A.Tag(18, ("3", "12")))
 
 
-# Ties at the cut-off are broken by a hash on Spark only, so the score is compared.
 @query(
     "seg_9_best_by_score",
-    S.cte("members") + """select score_tag_result, count(*) as n from
-    (select * from members order by score_tag_result desc limit 100) group by score_tag_result""",
+    S.cte("members") + f"select {SIX} from members m order by score_tag_result desc, md5(member_no), member_no limit 100",
 )
 def _(t):
-    from pyspark.sql import functions as F
-
-    best = one_group(t, A.Tag(19, ("100",)))
-    return best.groupBy("score_tag_result").agg(F.count(F.lit(1)).alias("n"))
+    return one_group(t, A.Tag(19, ("100",)))
 
 
 @query("seg_10_fixed_term_due", _sql("in", _due, "trades", "products"))

@@ -63,9 +63,9 @@ def _(t):
 _SURNAMED = "case " + " ".join(f"when starts_with(p, '{s}') then '{r}' || substr(p, {len(s) + 1})" for s, r in SURNAMES) + " else p end"
 
 
-@query("text_2_name", f"with q as (select doc_id, {_PREPARED.format('left(text, 40)')} as p from documents) select doc_id, {_plain('array_to_string(' + _SPLIT.format(_read(_SURNAMED)) + ', chr(32))')} as name from q")
+@query("text_2_name", f"with q as (select doc_id, {_PREPARED.format('text')} as p from documents) select doc_id, {_plain('array_to_string(' + _SPLIT.format(_read(_SURNAMED)) + ', chr(32))')} as name from q")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(X.name(F.left("text", F.lit(40)), _parts(t), SURNAMES), " ").alias("name"))
+    return t.documents.select("doc_id", F.array_join(X.name(F.col("text"), _parts(t), SURNAMES), " ").alias("name"))
 
 
 @query("text_3_permalink", f"select doc_id, {_plain(f'array_to_string({_WORDS}, chr(45))')} as slug from documents")

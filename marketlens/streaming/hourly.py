@@ -22,13 +22,18 @@ def hourly_totals(events: DataFrame, at: str = "at", amount: str = "amount", del
     )
 
 
-def run_available(totals: DataFrame, path: str, checkpoint: str, timeout: int = 600) -> None:
-    """Process what is there, append finished hours to ``path`` and stop. A restart goes on from the checkpoint."""
+def run_available(totals: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
+    """Process what is there, append finished hours to ``path`` and stop. A restart goes on from the checkpoint.
+
+    Waits as long as it takes, or ``timeout`` seconds where one is given.
+    """
     query = (
         totals.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("the stream did not finish in time")
 

@@ -114,3 +114,23 @@ def test_masked_trend_and_clusters(spark):
     assert got["a"] == got["b"] == (3, "b") and got["d"][0] == 2
     order = [r["m"] for r in M.sorted_by(points, "m", ascending=False).collect()]
     assert order == sorted(order, reverse=True)
+
+
+def test_many_flow_times_by_passes(spark, monkeypatch):
+    """Investments with many times are solved by sums over rows, with the same rates."""
+    import random
+
+    from marketlens.operators import cashflow
+
+    rng, rows = random.Random(4), []
+    for key in range(6):
+        rows += [(key, i, -1000.0 if i == 0 else rng.uniform(0, 400)) for i in range(rng.randint(3, 30))]
+    rows += [(99, 0, -5.0), (99, 1, -1.0)]
+    flows = spark.createDataFrame(rows, "k int, i int, v double")
+    listed = {r.k: r.irr for r in cashflow.irr(flows, ["k"], "i", "v").collect()}
+    monkeypatch.setattr(cashflow, "LISTED_TIMES", 10)
+    passes = {r.k: r.irr for r in cashflow.irr(flows, ["k"], "i", "v").collect()}
+    assert listed.keys() == passes.keys() and listed[99] is None and passes[99] is None
+    assert all(listed[k] is None or abs(listed[k] - passes[k]) < 1e-9 * (1 + abs(listed[k])) for k in listed)
+    monkeypatch.setattr(cashflow, "LISTED_TIMES", 1)
+    assert {r.k: r.irr for r in cashflow.irr(flows, ["k"], "i", "v").collect()}[99] is None

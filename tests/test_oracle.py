@@ -35,7 +35,7 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, con, name):
     verdict, _, _, note = compare(spark, con, name, FOLDER, QUERIES, ORACLES)
-    assert verdict in ("ok", "EMPTY"), note
+    assert verdict == "ok", note or verdict
 
 
 def test_every_oracle_has_a_query():
