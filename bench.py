@@ -12,6 +12,7 @@ import statistics
 import time
 
 from marketlens.plans import catalogue
+from marketlens.operators.scratch import clear_scratch
 from marketlens.session import local_session
 
 HEADLINE = (
@@ -42,6 +43,7 @@ def main() -> None:
         "metric": "headline queries, sum of medians", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": folder.rsplit("sf", 1)[-1],
     }))
+    clear_scratch(spark)
     spark.stop()
 
 

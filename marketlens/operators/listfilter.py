@@ -143,7 +143,7 @@ def beside_average(df: DataFrame, column: str, above: bool = True, keys: Sequenc
         mean = df.agg(F.avg(column)).scalar()
         return df.filter(x > mean) if above else df.filter(x < mean)
     means = df.groupBy(*keys).agg(F.avg(column).alias("_mean"))
-    joined = df.join(means, list(keys))
+    joined = ordered.beside(df, means, keys)
     return joined.filter(x > F.col("_mean") if above else x < F.col("_mean")).drop("_mean")
 
 
@@ -161,15 +161,17 @@ def top_n(df: DataFrame, column: str, n: int, top: bool = True, keys: Sequence[s
     if not keys:
         edge = valued.select(column).orderBy(order).limit(n).agg(pick(column)).scalar()
         return df.filter(x >= edge) if top else df.filter(x <= edge)
-    w = Window.partitionBy(*keys).orderBy(order)
-    edges = (
-        valued.select(*keys, column).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
-        .groupBy(*keys).agg(pick(column).alias("_edge"))
-    )
-    joined = df.join(edges, list(keys))
+    joined = ordered.beside(df, group_edges(valued, column, n, top, keys), keys)
     return joined.filter(x >= F.col("_edge") if top else x <= F.col("_edge")).drop("_edge")
 
 
+def group_edges(valued: DataFrame, column: str, n: int, top: bool, keys: Sequence[str]) -> DataFrame:
+    """The n-th value of every group as ``_edge``; only n rows of a task's group are shuffled."""
+    w = Window.partitionBy(*keys).orderBy(F.col(column).desc() if top else F.col(column).asc())
+    numbered = valued.select(*keys, column).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
+    return numbered.groupBy(*keys).agg((F.min if top else F.max)(column).alias("_edge"))
+
+
 def top_percent(df: DataFrame, column: str, percent: float, top: bool = True) -> DataFrame:
     """As ``top_n`` with N = floor(percent * rows / 100), at least 1, however many rows that are.
 

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketlens.operators.scratch import scratch_table
 
+#: Groups whose figures may be sent to all rows.
+FEW_GROUPS = 10_000
+
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join that also matches null keys; with no keys the right side must be one row."""
@@ -24,6 +27,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def beside(df: DataFrame, figures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the figures of their group; rows of groups without figures are dropped.
+
+    Groups are counted first: up to FEW_GROUPS rows of figures are sent to the rows, so
+    a few large groups need no shuffle of the rows. More groups are joined on the keys,
+    where adaptive execution splits the large ones.
+    """
+    figures = scratch_table(figures, "figures")
+    few = figures.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return join_keys(df, F.broadcast(figures) if few else figures, keys)
+
+
 def spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "ordered") -> DataFrame:
     """Rows range-partitioned by (keys, order) with the part number ``_part``, written once."""
     ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
@@ -158,7 +173,7 @@ def standardized(df: DataFrame, column: str, keys: Sequence[str] = (), name: str
         s = df.agg(figures).scalar()
         return df.withColumn(name, F.try_divide(F.col(column) - s["mean"], s["sd"]))
     s = df.groupBy(*keys).agg(figures.alias("_s"))
-    return join_keys(df, s, keys).withColumn(name, F.try_divide(F.col(column) - F.col("_s.mean"), F.col("_s.sd"))).drop("_s")
+    return beside(df, s, keys).withColumn(name, F.try_divide(F.col(column) - F.col("_s.mean"), F.col("_s.sd"))).drop("_s")
 
 
 def mean_deviation(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
@@ -167,7 +182,7 @@ def mean_deviation(df: DataFrame, column: str, keys: Sequence[str] = (), name: s
         mean = df.agg(F.avg(column)).scalar()
         return df.select(F.abs(F.col(column) - mean).alias("_d")).agg(F.avg("_d").alias(name))
     means = df.groupBy(*keys).agg(F.avg(column).alias("_mean"))
-    rows = join_keys(df.select(*keys, column), means, keys)
+    rows = beside(df.select(*keys, column), means, keys)
     return rows.groupBy(*keys).agg(F.avg(F.abs(F.col(column) - F.col("_mean"))).alias(name))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from marketlens.operators.ordered import join_keys, numbered
+from marketlens.operators.ordered import beside, numbered
 
 KINDS = ("linear", "logarithmic", "exponential", "power")
 
@@ -124,7 +124,7 @@ def polynomial(df: DataFrame, y: str, x: str, order: int, keys: Sequence[str] =
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     figures = F.struct(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.avg("_y").alias("ymean"))
     if keys:
-        rows = join_keys(rows, rows.groupBy(*keys).agg(figures.alias("_s")), keys)
+        rows = beside(rows, rows.groupBy(*keys).agg(figures.alias("_s")), keys)
     else:
         rows = rows.withColumn("_s", rows.agg(figures).scalar())
     rows = rows.select(

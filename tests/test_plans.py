@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+from marketlens.operators import listfilter
 from marketlens.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,4 +32,19 @@ def test_no_pair_wise_joins_and_no_python_rows(spark):
 
 def test_top_rows_are_limited_before_the_shuffle(spark):
     assert "TakeOrderedAndProject" in plan(spark, "cat_1_visible_newest")
-    assert "WindowGroupLimit" in plan(spark, "flt_17_top_and_bottom")
+    edges = listfilter.group_edges(spark.read.parquet(f"{FOLDER}/lineitem.parquet"), "l_extendedprice", 10, True, ["l_returnflag"])
+    assert "WindowGroupLimit" in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_figures_need_no_shuffle_of_the_rows(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("agg_30_avedev", "win_3_standardize", "trd_5_polynomial", "flt_17_top_and_bottom"):
+            assert "SortMergeJoin" not in plan(spark, name) and "ShuffledHashJoin" not in plan(spark, name), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_date_groups_reach_the_scan(spark):
+    assert "GreaterThanOrEqual(ts" in plan(spark, "flt_12_date_groups")
