@@ -96,8 +96,10 @@ def steyx(y, x):
 def forecast(at, y, x): return F.regr_intercept(y, x) + F.regr_slope(y, x) * at
 
 
-def linest(y, x) -> dict[str, Column]:
-    """Linear fit: coefficients and statistics, all from one aggregation."""
+def linest(y, x, const: bool = True) -> dict[str, Column]:
+    """Linear fit: coefficients and statistics, all from one aggregation. Without ``const`` the line goes through the origin."""
+    if not const:
+        return _linest_through_origin(y, x)
     n = F.regr_count(y, x)
     sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
     explained = F.try_divide(sxy * sxy, sxx)
@@ -120,9 +122,26 @@ def linest(y, x) -> dict[str, Column]:
     }
 
 
-def logest(y, x) -> dict[str, Column]:
-    """Exponential fit y = b * m^x over the positive y."""
+def _linest_through_origin(y, x) -> dict[str, Column]:
+    paired = x.isNotNull() & y.isNotNull()
+    n = F.count(F.when(paired, 1))
+    sxx, syy, sxy = (F.sum(F.when(paired, v)) for v in (x * x, y * y, x * y))
+    explained = F.try_divide(sxy * sxy, sxx)
+    rest = syy - explained
+    deviation = F.when(n > 1, F.sqrt(F.try_divide(F.greatest(rest, F.lit(0.0)), (n - 1).cast("double"))))
+    return {
+        "slope": F.try_divide(sxy, sxx), "intercept": F.lit(0.0), "slope_se": F.try_divide(deviation, F.sqrt(sxx)), "intercept_se": F.lit(None).cast("double"),
+        "r2": F.try_divide(explained, syy), "residual_sd": deviation, "f": F.try_divide(explained, F.try_divide(rest, (n - 1).cast("double"))), "df": n - 1,
+        "ss_reg": explained, "ss_res": rest, "covariance": F.covar_pop(y, x), "correlation": F.corr(y, x),
+    }
+
+
+def logest(y, x, const: bool = True) -> dict[str, Column]:
+    """Exponential fit y = b * m^x over the positive y; without ``const`` b is 1."""
     ly = F.ln(F.when(y > 0, y))
+    if not const:
+        fit = _linest_through_origin(ly, x)
+        return {"m": F.exp(fit["slope"]), "b": F.lit(1.0), "r2": fit["r2"]}
     return {"m": F.exp(F.regr_slope(ly, x)), "b": F.exp(F.regr_intercept(ly, x)), "r2": F.regr_r2(ly, x)}
 
 

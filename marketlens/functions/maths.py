@@ -40,15 +40,15 @@ def floor(x: Column, significance) -> Column:
 def int_(x: Column) -> Column: return F.floor(x)
 
 
-def _scaled(x: Column, digits: int, cut) -> Column:
-    scale = 10.0 ** digits
+def _scaled(x: Column, digits: Column | int, cut) -> Column:
+    scale = F.pow(F.lit(10.0), digits) if isinstance(digits, Column) else 10.0 ** digits
     return F.signum(x) * cut(F.abs(x) * scale) / scale
 
 
-def trunc(x: Column, digits: int = 0) -> Column: return _scaled(x, digits, F.floor)
-def round_(x: Column, digits: int = 0) -> Column: return F.round(x, digits)
-def roundup(x: Column, digits: int = 0) -> Column: return _scaled(x, digits, F.ceil)
-def rounddown(x: Column, digits: int = 0) -> Column: return _scaled(x, digits, F.floor)
+def trunc(x: Column, digits: Column | int = 0) -> Column: return _scaled(x, digits, F.floor)
+def round_(x: Column, digits: Column | int = 0) -> Column: return _scaled(x, digits, F.round) if isinstance(digits, Column) else F.round(x, digits)
+def roundup(x: Column, digits: Column | int = 0) -> Column: return _scaled(x, digits, F.ceil)
+def rounddown(x: Column, digits: Column | int = 0) -> Column: return _scaled(x, digits, F.floor)
 
 
 def mround(x: Column, multiple) -> Column:

@@ -82,22 +82,22 @@ def text_of_number(x: Column, mask: str) -> Column:
 def text_of_date(x: Column, mask: str) -> Column: return F.date_format(x, date_pattern(mask))
 
 
-def find(needle, x: Column, start: int = 1) -> Column:
-    place = F.call_function("locate", _col(needle), x, F.lit(start))
+def find(needle, x: Column, start: Column | int = 1) -> Column:
+    place = F.call_function("locate", _col(needle), x, _col(start))
     return F.when(place > 0, place)
 
 
-def search(needle, x: Column, start: int = 1) -> Column: return find(F.lower(_col(needle)), F.lower(x), start)
-def left(x: Column, chars: int = 1) -> Column: return F.left(x, F.lit(chars)) if chars >= 0 else F.lit(None).cast("string")
+def search(needle, x: Column, start: Column | int = 1) -> Column: return find(F.lower(_col(needle)), F.lower(x), start)
+def left(x: Column, chars: Column | int = 1) -> Column: return F.when(_col(chars) >= 0, F.left(x, _col(chars)))
 
 
-def mid(x: Column, start: int = 1, chars: int | None = None) -> Column:
-    if start < 1 or (chars is not None and chars < 0):
-        return F.lit(None).cast("string")
-    return F.substr(x, F.lit(start)) if chars is None else F.substr(x, F.lit(start), F.lit(chars))
+def mid(x: Column, start: Column | int = 1, chars: Column | int | None = None) -> Column:
+    if chars is None:
+        return F.when(_col(start) >= 1, F.substr(x, _col(start)))
+    return F.when((_col(start) >= 1) & (_col(chars) >= 0), F.substr(x, _col(start), _col(chars)))
 
 
-def right(x: Column, chars: int = 1) -> Column: return F.right(x, F.lit(chars)) if chars >= 0 else F.lit(None).cast("string")
+def right(x: Column, chars: Column | int = 1) -> Column: return F.when(_col(chars) >= 0, F.right(x, _col(chars)))
 def length(x: Column) -> Column: return F.length(x)
 def lower(x: Column) -> Column: return F.lower(x)
 def upper(x: Column) -> Column: return F.upper(x)
@@ -109,7 +109,7 @@ def proper(x: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
 
 
-def replace(x: Column, start: int, chars: int, new) -> Column: return F.overlay(x, _col(new), F.lit(start), F.lit(chars))
+def replace(x: Column, start: Column | int, chars: Column | int, new) -> Column: return F.overlay(x, _col(new), _col(start), _col(chars))
 
 
 def substitute(x: Column, old: str, new: str, instance: int = 0) -> Column:
@@ -122,7 +122,7 @@ def substitute(x: Column, old: str, new: str, instance: int = 0) -> Column:
     return F.when(F.size(parts) > instance, F.concat(head, F.lit(new), tail)).otherwise(x)
 
 
-def rept(x: Column, times: int) -> Column: return F.repeat(x, times)
+def rept(x: Column, times: Column | int) -> Column: return F.repeat(x, _col(times))
 
 
 def t(x: Column) -> Column:

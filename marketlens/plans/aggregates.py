@@ -146,6 +146,19 @@ def _(t):
     return t.lineitem.groupBy(*KEYS).agg(*[F.round(fit[k], d).alias(k) for k, d in digits.items()], fit["df"].alias("df"))
 
 
+@query(
+    "agg_52_linest_through_origin",
+    f"""with s as (select {GROUPS}, count(*) as n, sum(l_quantity * l_quantity) as sxx, sum(l_extendedprice * l_extendedprice) as syy, sum(l_quantity * l_extendedprice) as sxy,
+      sum(l_quantity * ln(l_extendedprice)) as sxl from lineitem group by all)
+    select {GROUPS}, round(sxy / sxx, 4) as slope, round(sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx), 4) as slope_se, round(sxy * sxy / sxx / syy, 6) as r2,
+      cast(n as bigint) - 1 as df, round(exp(sxl / sxx), 6) as m from s""",
+)
+def _(t):
+    fit, growth = A.linest(Y(), X(), const=False), A.logest(Y(), X(), const=False)
+    digits = {"slope": 4, "slope_se": 4, "r2": 6}
+    return t.lineitem.groupBy(*KEYS).agg(*[F.round(fit[k], d).alias(k) for k, d in digits.items()], fit["df"].alias("df"), F.round(growth["m"], 6).alias("m"))
+
+
 @query(
     "agg_53_logest",
     f"""select {GROUPS}, round(exp(regr_slope(ln(l_extendedprice), l_quantity)), 6) as m, round(exp(regr_intercept(ln(l_extendedprice), l_quantity)), 3) as b,

@@ -78,6 +78,13 @@ def _(t):
     return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r").between(3, 9)).alias("inside"))
 
 
+# Digits from a column.
+D, SD = lambda: (F.col("o_orderkey") % 3).cast("int"), "power(10::double, o_orderkey % 3)"
+row("math_17_roundup_by_column", lambda: M.roundup(P(), D()), f"ceil(o_totalprice * {SD}) / {SD}", 4)
+row("math_18_rounddown_by_column", lambda: M.rounddown(P(), D()), f"floor(o_totalprice * {SD}) / {SD}", 4)
+row("math_16_round_by_column", lambda: M.round_(P(), D()), f"round(o_totalprice * {SD}) / {SD}", 4)
+
+
 row("math_41_convert", lambda: M.convert(P(), "lbm", "kg"), f"{SP} * 4.5359230974881148e2 / 1e3", 5)
 row("math_41_convert_temperature", lambda: M.convert(V(), "F", "C"), f"({SV} - 32) / 1.8", 6)
 

@@ -67,3 +67,18 @@ doc(
 )
 part("txt_27_rept", lambda: X.rept(NAME(), 3), "repeat(p_name, 3)")
 part("txt_28_t", lambda: X.t(F.when(F.col("p_size") % 2 == 0, NAME()).otherwise(F.col("p_size").cast("string"))), "case when p_size % 2 = 0 then p_name else '' end")
+
+
+# Arguments from columns: the part's own size says where and how much.
+_A, _B = "cast(p_size % 7 as integer)", "cast(1 + p_size % 3 as integer)"
+
+
+def A(): return (F.col("p_size") % 7).cast("int")
+def B(): return (1 + F.col("p_size") % 3).cast("int")
+
+
+part("txt_10_left_by_column", lambda: X.left(NAME(), A()), f"left(p_name, {_A})")
+part("txt_12_right_by_column", lambda: X.right(NAME(), A()), f"right(p_name, {_A})")
+part("txt_11_mid_by_column", lambda: X.mid(NAME(), B(), A()), f"substr(p_name, {_B}, {_A})")
+part("txt_24_replace_by_column", lambda: X.replace(NAME(), B(), A(), F.lit("-")), f"substr(p_name, 1, {_B} - 1) || '-' || substr(p_name, {_B} + {_A})")
+part("txt_27_rept_by_column", lambda: X.rept(F.lit("ab"), A()), f"repeat('ab', {_A})")
