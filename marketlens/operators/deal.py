@@ -11,6 +11,7 @@ from marketlens.functions import figures as G
 from marketlens.functions import predicates as P
 from marketlens.operators.audience import SETTLED
 from marketlens.operators.joins import salted_join
+from marketlens.operators.scratch import scratch_table
 
 
 @dataclass
@@ -38,10 +39,10 @@ def audience_trades(d: Deal) -> DataFrame:
     return salted_join(rows.join(named, "product_id"), people, ["member_no"], ["business_order_item_no"])
 
 
-def product_trades(d: Deal) -> DataFrame:
+def product_trades(d: Deal, trades: DataFrame | None = None) -> DataFrame:
     """Times, orders, people and amounts per product, rate and term."""
     keys = ["product_id", "product_name", "display_rate", "invest_days"]
-    return audience_trades(d).groupBy(*keys).agg(
+    return (audience_trades(d) if trades is None else trades).groupBy(*keys).agg(
         F.min("trans_time").alias("min_trans_time"),
         F.max("trans_time").alias("max_trans_time"),
         F.sum("_times").alias("trans_cnt"),
@@ -51,20 +52,20 @@ def product_trades(d: Deal) -> DataFrame:
     )
 
 
-def traded_details(d: Deal) -> DataFrame:
+def traded_details(d: Deal, trades: DataFrame | None = None) -> DataFrame:
     """Distinct (fund detail, member) of those trades; orders are made distinct before the join."""
-    orders = audience_trades(d).select("fund_trans_order_no", "member_no").distinct()
+    orders = (audience_trades(d) if trades is None else trades).select("fund_trans_order_no", "member_no").distinct()
     altered = d.alterations.select(F.col("ftc_order_no").alias("fund_trans_order_no"), "fund_detail_uuid")
     return orders.join(altered, "fund_trans_order_no").select("fund_detail_uuid", "member_no").distinct()
 
 
-def expected_income(d: Deal) -> DataFrame:
+def expected_income(d: Deal, trades: DataFrame | None = None) -> DataFrame:
     """Expected bonus and profit per product of the fund details.
 
     Details are summed per (detail, product) first, members are counted per detail; the
     product of both sums equals the sum over the joined rows.
     """
-    members = traded_details(d).groupBy("fund_detail_uuid").agg(F.count(F.lit(1)).alias("_members"))
+    members = traded_details(d, trades).groupBy("fund_detail_uuid").agg(F.count(F.lit(1)).alias("_members"))
     amounts = d.details.groupBy("fund_detail_uuid", "product_id").agg(
         F.sum("expect_bonus_amount").alias("bonus"), F.sum("expect_profit_amount").alias("profit")
     )
@@ -77,5 +78,6 @@ def expected_income(d: Deal) -> DataFrame:
 
 
 def report(d: Deal) -> DataFrame:
-    income = expected_income(d).select("product_id", "invest_income", "invest_addrate")
-    return product_trades(d).join(income, "product_id")
+    trades = scratch_table(audience_trades(d), "audience-trades")  # read and joined once for both parts
+    income = expected_income(d, trades).select("product_id", "invest_income", "invest_addrate")
+    return product_trades(d, trades).join(income, "product_id")

@@ -55,19 +55,21 @@ def issued(c: Campaign) -> DataFrame:
 def recipient_trades(c: Campaign, given: DataFrame | None = None) -> DataFrame:
     """Trades of recipients at or after the first issue, with coupon, product and subsidy.
 
-    A trade appears once per coupon issued to its member. Dimensions are joined before
-    the issues, so that this repetition comes last.
+    A trade appears once per coupon issued to its member. Trades of other members are
+    dropped first; coupons and rules are joined to the uses, so trades without a coupon
+    never meet on a null key; the issues, which repeat the trades, come last.
     """
     given = issued(c) if given is None else given
     t = c.trades.filter(F.col("status").isin(*SETTLED_OR_PENDING) & P.in_date_ranges("trans_time", c.trade_days))
+    t = t.join(given.select("member_no").distinct(), "member_no", "left_semi")
     p = c.products.select(F.col("id").alias("product_id"), "product_name", "inception_date", "due_date")
     u = c.uses.select(
         F.col("order_no").alias("business_order_item_no"), F.col("activity_coupon_id").alias("trans_coupon_id"), "deduction_amt"
     )
     e = c.coupons.select(F.col("id").alias("trans_coupon_id"), "name", "rule_id", "max_allowance_amount")
     r = c.rules.select(F.col("id").alias("rule_id"), "satisfied_amount", "raise_interest_rates")
-    rows = t.join(p, "product_id").join(u, "business_order_item_no", "left")
-    rows = rows.join(e, "trans_coupon_id", "left").join(r, "rule_id", "left")
+    used = u.join(e, "trans_coupon_id", "left").join(r, "rule_id", "left")
+    rows = t.join(p, "product_id").join(used, "business_order_item_no", "left")
     first = given.select("member_no", F.col("activity_coupon_id").alias("issue_coupon_id"), "create_time")
     joined = salted_join(
         rows, first, ["member_no"], ["business_order_item_no"], condition=F.col("trans_time") >= F.col("create_time")
