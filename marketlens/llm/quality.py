@@ -38,7 +38,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def let(value: str, name: str, body: str) -> str:
-    """SQL text that computes ``value`` once and uses it by name, also inside other lambdas."""
+    """SQL text that computes ``value`` once and uses it by name, also inside other lambdas.
+
+    Without it the optimizer may put the computation of a column inside a lambda, for
+    instance when it pushes a filter down, and do it again for every element.
+    """
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
@@ -49,12 +53,12 @@ def words(text: Column) -> Column:
 
 def repeated_words(name: str) -> Column:
     """Words that lie in a three-word window found twice or more, from an array column of words."""
-    windows = f"transform(sequence(0, size({name}) - 3), i -> xxhash64(get({name}, i), get({name}, i + 1), get({name}, i + 2)))"
+    windows = "transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))"
     placed = let("sort_array(transform(h, (x, i) -> struct(x AS x, i AS i)))", "s",
                  "sort_array(transform(filter(s, (a, j) -> a.x = get(s, j + 1).x OR a.x = get(s, j - 1).x), a -> a.i))")
     covered = f"aggregate({placed}, struct(0L AS n, -3 AS last), (c, p) -> struct(c.n + least(3, p - c.last) AS n, p AS last), c -> c.n)"
     counted = let(windows, "h", f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {covered} END")
-    return F.expr(f"CASE WHEN size({name}) < 3 THEN 0L ELSE {counted} END")
+    return F.expr(let(name, "w", f"CASE WHEN size(w) < 3 THEN 0L ELSE {counted} END"))
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -83,10 +87,10 @@ def _bucket(*parts: str, buckets: int) -> str:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``bucket, raw, target``: n-grams of all and of trusted documents in every bucket that has any."""
     flagged = docs.select(F.col(key).alias("_key"), tokens(F.col(text)).alias("_tokens")).join(F.broadcast(trusted), F.col("_key") == F.col("_trusted"), "left")
-    ones, pairs = _bucket("x", buckets=buckets), _bucket("x", "get(_tokens, i + 1)", buckets=buckets)
+    ones, pairs = _bucket("x", buckets=buckets), _bucket("x", "get(k, i + 1)", buckets=buckets)
     grams = flagged.select(
         F.col("_trusted").isNotNull().cast("bigint").alias("_target"),
-        F.explode(F.expr(f"concat(transform(_tokens, x -> {ones}), transform(_tokens, (x, i) -> {pairs}))")).alias("bucket"),
+        F.explode(F.expr(let("_tokens", "k", f"concat(transform(k, x -> {ones}), transform(k, (x, i) -> {pairs}))"))).alias("bucket"),
     )
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
 
@@ -111,9 +115,9 @@ def with_score(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, text
         raise ValueError("buckets must be a power of two")
     ratios = log_ratios(bucket_counts(docs, trusted, buckets, text, key), buckets).scalar()
     with_tokens = docs.withColumns({"_tokens": tokens(F.col(text)), "_ratios": ratios})
-    ones, pairs = _bucket("x", buckets=buckets), _bucket("x", "get(_tokens, i + 1)", buckets=buckets)
-    total = f"aggregate(transform(_tokens, (x, i) -> get(_ratios, {ones}) + get(_ratios, {pairs})), 0D, (a, x) -> a + x)"
-    mean = F.expr(f"CASE WHEN size(_tokens) = 0 THEN 0D ELSE {total} / (2 * size(_tokens)) END")
+    ones, pairs = _bucket("x", buckets=buckets), _bucket("x", "get(k, i + 1)", buckets=buckets)
+    total = f"aggregate(transform(k, (x, i) -> get(_ratios, {ones}) + get(_ratios, {pairs})), 0D, (a, x) -> a + x)"
+    mean = F.expr(let("_tokens", "k", f"CASE WHEN size(k) = 0 THEN 0D ELSE {total} / (2 * size(k)) END"))
     return with_tokens.withColumn("score", mean).drop("_tokens", "_ratios")
 
 
