@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketlens.tables import Tables
 
-#: Characters that separate words.
-BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+#: Characters that separate words, as a part of patterns.
+BLANKS = r"\x20\x09-\x0D"
+SYMBOLS = r"[#*$%&|<>]"
 BUCKETS = 1 << 14
 #: Documents with a lower mean log ratio are rejected. Text like the trusted documents lies
 #: near 0 or above; -0.4 means n-grams that are on average two thirds as likely there.
@@ -48,7 +48,7 @@ def let(value: str, name: str, body: str) -> str:
 
 def words(text: Column) -> Column:
     """Runs of characters other than white space."""
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(text, f"[{BLANKS}]+"), "")
 
 
 def repeated_words(name: str) -> Column:
@@ -64,13 +64,13 @@ def repeated_words(name: str) -> Column:
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the plain measures and ``base_failed``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(f"[^{BLANKS}]"))
     first = docs.drop(*MEASURES, "base_failed").withColumns({"_words": words(body), "_lines": lines})
     return first.select(
         *[c for c in first.columns if c not in ("_words", "_lines")],
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(F.translate(body, BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count(body, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words("_words").alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
