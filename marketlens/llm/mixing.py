@@ -18,7 +18,7 @@ above.
 
 Defined results: size counts words (runs without white space), null texts have size 0; a
 null source is a source of its own; repeated rows are documents of their own; documents
-of size 0 take nothing; columns of the input with the name of a result are replaced.
+of size 0 are not taken; columns of the input with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def _copies() -> Column:
     """How often a document is taken, from its ``_size, _key, _bin`` and the plan of its source."""
     here = F.struct(F.col("_key").alias("key"), F.col("doc_id"), F.col("_size").alias("size"))
     extra = F.when(F.col("_bin") < F.col("last_bin"), 1).when((F.col("_bin") == F.col("last_bin")) & (here <= F.col("cut")), 1).otherwise(0)
-    return F.col("epochs") + extra
+    return F.when(F.col("_size") == 0, 0).otherwise(F.col("epochs") + extra).cast("bigint")
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -176,7 +176,7 @@ WITH rows AS (
 ), decided AS (
   SELECT *, target - epochs * source_size AS remainder FROM ordered
 ), counted AS (
-  SELECT *, CAST(epochs AS BIGINT) + CASE WHEN upto <= remainder OR (upto - tied <= remainder AND upto - remainder <= remainder - (upto - tied)) THEN 1 ELSE 0 END AS copies FROM decided
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(epochs AS BIGINT) END + CASE WHEN size > 0 AND (upto <= remainder OR (upto - tied <= remainder AND upto - remainder <= remainder - (upto - tied))) THEN 1 ELSE 0 END AS copies FROM decided
 )
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(copies * size AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM counted
 """
