@@ -31,7 +31,7 @@ from marketlens.tables import Tables
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-BINS = 1 << 16
+BINS = 1 << 12
 #: Signs that count against a text's quality, next to its words.
 SYMBOLS = "#*$%&|<>!"
 
