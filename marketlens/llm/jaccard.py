@@ -220,21 +220,28 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pd.DataF
         yield rest, long
 
 
-def shared_shingles(postings: DataFrame) -> DataFrame:
-    """The rows of shingles that at least two classes have, from rows (shingle, id) in that order."""
+def shared_shingles(postings: DataFrame, percent: int) -> DataFrame:
+    """Rows with another class of the same shingle and of a size that allows the similarity.
+
+    Rows (shingle, n, id) come in that order, so if any class has a fitting size, a
+    neighbouring row has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.RecordBatch | None = None  # first row of the last run, which may go on
+        waiting: pa.RecordBatch | None = None  # the last row, whose next neighbour is not known yet
+        told = False  # it was returned already, for its neighbour before
         for batch in batches:
             if not batch.num_rows:
                 continue
             whole = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-            shingle, name = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            starts = np.append(0, np.flatnonzero(shingle[1:] != shingle[:-1]) + 1)
-            lengths = np.diff(np.append(starts, len(name)))
-            several = np.logical_or.reduceat(name != np.repeat(name[starts], lengths), starts)
-            out = whole.filter(pa.array(np.repeat(several, lengths)))
-            waiting = whole.slice(int(starts[-1]), 1)
+            shingle, size, name = (whole.column(i).to_numpy() for i in range(3))
+            fits = (shingle[1:] == shingle[:-1]) & (name[1:] != name[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            keep = np.append(False, fits) | np.append(fits, False)
+            told_now = bool(keep[-1]) and (len(name) > 1 or told)
+            if told and waiting is not None:
+                keep[0] = False
+            out = whole.filter(pa.array(keep))
+            waiting, told = whole.slice(len(name) - 1, 1), told_now
             if out.num_rows:
                 yield out
 
@@ -273,8 +280,8 @@ def candidate_blocks(lead: DataFrame, percent: int) -> DataFrame:
     often = lead.select("id", F.explode("frequent").alias("shingle"))
     least = often.groupBy("shingle").agg(F.min("id").alias("a"))  # at most FREQUENT rows
     links = often.join(F.broadcast(least), "shingle").filter("id <> a").select("a", F.col("id").alias("b"))
-    rare = lead.select(F.explode("rare").alias("shingle"), "id").repartition("shingle").sortWithinPartitions("shingle", "id")
-    shared = scratch_table(shared_shingles(rare), "shared-shingles")
+    rare = lead.select(F.explode("rare").alias("shingle"), "n", "id").repartition("shingle").sortWithinPartitions("shingle", "n", "id")
+    shared = scratch_table(shared_shingles(rare, percent).select("shingle", "id"), "shared-shingles")
     known = lead.groupBy("id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
     members = shared.join(known, "id").select("shingle", "id", "n", "bitmap")
     links = links.union(tied(members.repartition("shingle").sortWithinPartitions("shingle", "id"), percent))
