@@ -173,8 +173,7 @@ class Corpus:
         self.counts = scratch_table(word_counts(docs), "word-counts")
         ids = docs.select((F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).alias("learned"))
         self.texts = ids.filter("learned").count()
-        short = self.counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(LISTED)
-        listed = short.toArrow()
+        listed = self._frequent().toArrow()
         self.listed = dict(zip(listed.column("word").to_pylist(), listed.column("c").to_pylist()))
         self.own = {w: 1 + i for i, w in enumerate(sorted(self.listed, key=lambda w: (-self.listed[w], w))[:OWN])}
         kind = F.lit(1 + OWN) + F.crc32(F.substring("word", -ENDING, ENDING)) % (CLASSES - 1 - OWN)
@@ -190,6 +189,18 @@ class Corpus:
         self.tokens = int(self.tokens_of.sum()) + self.texts
         self.words = int(self.words_of.sum()) + (self.texts > 0)
 
+    def _frequent(self) -> DataFrame:
+        """At most LISTED words: those with counts above a limit taken from a histogram of counts, so nothing is sorted as a whole."""
+        step = F.floor(64 * F.log2("c")).cast("int")
+        short = self.counts.filter(F.octet_length("word") <= LONGEST).withColumn("step", step)
+        taken, least = 0, None
+        for r in sorted(short.groupBy("step").count().collect(), reverse=True):  # a few thousand steps at most
+            taken += r["count"]
+            if taken > LISTED:
+                break
+            least = r["step"]
+        return short.filter(F.lit(False) if least is None else F.col("step") >= least).select("word", "c")
+
     def base(self, c):
         """log10 of the plain probability of a token with count c."""
         return np.log10((np.asarray(c) + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
