@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -60,9 +61,10 @@ class Automaton:
         special_ids = set(self.specials.values())
         merged = {t for _, _, t in merges}
         self.ids = {x: i for i, x in enumerate(labels) if x and i not in special_ids and (len(x) == 1 or i in merged)}
-        self.reach: dict[bytes, int] = {}  # longest token by its first two bytes
+        self.reach: dict[bytes, int] = {}  # longest token by its first four bytes; other tokens are shorter
         for x in self.ids:
-            self.reach[x[:2]] = max(self.reach.get(x[:2], 1), len(x))
+            if len(x) > 3:
+                self.reach[x[:4]] = max(self.reach.get(x[:4], 4), len(x))
         self.target = [0] * size
         self.left = [-1] * size
         self.rank = [0] * size
@@ -155,6 +157,11 @@ def load_automaton(path: str) -> Automaton:
     return Automaton(labels, merges, specials)
 
 
+def _little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordCoder:
     """Ids of whole texts from ids of words, with a table of remembered words of bounded size."""
 
@@ -162,6 +169,7 @@ class WordCoder:
         self.specials, self.remembered = specials, remembered
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.words = regex.compile(WORDS)
         self.uneven = regex.compile(r"\A\s|\s\Z| \s|\s ")
         marks = sorted(specials, key=len, reverse=True)
@@ -171,12 +179,25 @@ class WordCoder:
         raise NotImplementedError
 
     def _piece(self, table: dict[str, bytes], key: str, text: str) -> bytes:
-        ids: list[int] = []
-        for word in self.words.findall(text):
-            ids += self.word_ids(word.encode())
+        known, found = self.known, b""
+        # letters alone are one word, and so is one mark after them: no pattern is needed
+        core = key[:-1]
+        if key.isalpha():
+            words = (text,)
+        elif core.isalpha() and key[-1] in ".,;:!?)":
+            words = (text[:-1], key[-1])
+        else:
+            words = self.words.findall(text)
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                if len(known) >= self.remembered:
+                    known.clear()
+                ids = known[word] = _little(self.word_ids(word.encode()))
+            found += ids
         if len(table) >= self.remembered:
             table.clear()
-        found = table[key] = np.array(ids, "<u4").tobytes()
+        table[key] = found
         return found
 
     def _plain(self, text: str) -> bytes:
@@ -203,7 +224,7 @@ class WordCoder:
             return self._plain(text)
         specials = self.specials
         parts = self.marks.split(text)
-        return b"".join(np.array([specials[x]], "<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts))
+        return b"".join(_little([specials[x]]) if i % 2 else self._plain(x) for i, x in enumerate(parts))
 
 
 class Coder(WordCoder):
@@ -223,7 +244,7 @@ class Coder(WordCoder):
         a = self.automaton
         ids, arcs, target, labels, has_arc, reach = a.ids, self.arcs, a.target, a.labels, a.has_arc, a.reach
         n, at, state, out, closed = len(word), 0, 0, [], set()
-        width = min(n, reach.get(word[:2], 1))
+        width = min(n, reach.get(word[:4], 3))
         while at < n:
             while width:
                 token = ids.get(word[at : at + width])
@@ -240,7 +261,7 @@ class Coder(WordCoder):
             if width:
                 out.append(token)
                 at, state = at + width, target[token]
-                width = min(n - at, reach.get(word[at : at + 2], 1))
+                width = min(n - at, reach.get(word[at : at + 4], 3))
             elif out:
                 closed.add((at, state))
                 width = len(labels[out.pop()])

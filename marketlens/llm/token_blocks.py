@@ -47,7 +47,8 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of bytes with the low ``width`` bits of every value."""
     if not width:
         return np.zeros((len(values), 0), np.uint8)
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(*values.shape, 4), axis=2, bitorder="little")
+    size = 2 if width <= 16 else 4
+    bits = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(*values.shape, size), axis=2, bitorder="little")
     return np.packbits(bits[:, :, :width].reshape(len(values), -1), axis=1, bitorder="little")
 
 
@@ -55,9 +56,21 @@ def _unpacked(rows: np.ndarray, width: int, n: int) -> np.ndarray:
     if not width:
         return np.zeros((len(rows), n), np.uint32)
     bits = np.unpackbits(rows, axis=1, count=n * width, bitorder="little").reshape(len(rows), n, width)
-    whole = np.zeros((len(rows), n, 32), np.uint8)
+    size = 2 if width <= 16 else 4
+    whole = np.zeros((len(rows), n, 8 * size), np.uint8)
     whole[:, :, :width] = bits
-    return np.packbits(whole, axis=2, bitorder="little").view("<u4").reshape(len(rows), n)
+    return np.packbits(whole, axis=2, bitorder="little").view(f"<u{size}").reshape(len(rows), n).astype(np.uint32)
+
+
+_LENGTHS = np.frexp(np.arange(1 << 16).astype(float))[1].astype(np.uint8)
+
+
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits of every value, by a table of 16-bit numbers."""
+    if not len(values) or values.max() < 1 << 16:
+        return _LENGTHS[values]
+    high = values >> np.uint32(16)
+    return np.where(high > 0, _LENGTHS[high] + np.uint8(16), _LENGTHS[values & np.uint32(0xFFFF)])
 
 
 def _encoded_rows(ids: np.ndarray) -> list[bytes]:
@@ -65,10 +78,10 @@ def _encoded_rows(ids: np.ndarray) -> list[bytes]:
     count, n = ids.shape
     least = ids.min(axis=1)
     rest = (ids - least[:, None]).astype(np.uint32)
-    lengths = np.frexp(rest.astype(float))[1]  # bits of every value
+    lengths = _bit_lengths(rest)
     ranked = np.sort(lengths, axis=1)
     places = [-(-n * p // 100) - 1 for p in PERCENTILES]
-    widths = ranked[:, places]
+    widths = ranked[:, places].astype(np.int64)
     exceptions = np.stack([(lengths > widths[:, i : i + 1]).sum(axis=1) for i in range(len(places))], axis=1)
     best = np.argmin(n * widths + 48 * exceptions, axis=1)
     width = widths[np.arange(count), best]
