@@ -20,7 +20,8 @@ MAX_ROUNDS = 128  # fixed value: steps of the bracket and of the bisection
 LOWEST_RATE = -1.0 + 1e-9
 PRECISION = 1e-14
 LISTED_TIMES = 10_000  # an investment with more distinct times is solved by sums over its rows
-GRID = 32  # growth rates tried in one pass over such rows
+GRID = 32  # rates tried in one pass over such rows
+WIDER = 1.6  # growth of the bracket in one round, as a share of its width
 
 
 def npv(flows: DataFrame, keys: Sequence[str], period: str, amount: str, rate: Column | float, name: str = "npv") -> DataFrame:
@@ -65,32 +66,40 @@ def _roots(times: np.ndarray, amounts: np.ndarray, guess: float) -> np.ndarray:
 
     All lines of equal length are solved together: widen [0, guess] on the side of the
     smaller value until the sign changes, then halve. Times count from the first flow,
-    which leaves the rates as they are and lets negative rates be bracketed.
+    which leaves the rates as they are and lets negative rates be bracketed. Sums are
+    scaled by their largest exponent, so that late flows can't overflow.
     """
     times = times - times[:, :1]
-
-    def value(rate: np.ndarray) -> np.ndarray:
-        return np.sum(amounts * (1.0 + rate)[:, None] ** -times, axis=1)
-
-    low, high = np.zeros(len(times)), np.full(len(times), guess)
+    some = amounts != 0
+    first = np.where(some, times, np.inf).min(axis=1)
+    last = np.where(some, times, -np.inf).max(axis=1)
+    whole = np.isfinite(times).all(axis=1) & np.isfinite(amounts).all(axis=1)
+
+    def value(rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        growth = np.log1p(rate)
+        top = np.where(some.any(axis=1), np.maximum(-growth * first, -growth * last), 0.0)
+        sums = np.sum(np.where(some, amounts * np.exp(-growth[:, None] * times - top[:, None]), 0.0), axis=1)
+        return np.sign(sums), np.log(np.abs(sums)) + top
+
+    low, high = np.zeros(len(times)), np.full(len(times), float(guess))
     with np.errstate(all="ignore"):
-        at_low, at_high = value(low), value(high)
+        (at_low, size_low), (at_high, size_high) = value(low), value(high)
         for _ in range(MAX_ROUNDS):
             wide = ~(at_low * at_high <= 0)
             if not wide.any():
                 break
-            down = wide & (np.abs(at_low) < np.abs(at_high))
+            down = wide & (size_low < size_high)
             up = wide & ~down
-            step = 1.6 * (high - low)
+            step = WIDER * (high - low)
             low = np.where(down, np.maximum(low - step, LOWEST_RATE), low)
-            high = np.where(up, high + step, high)
-            at_low, at_high = value(low), value(high)
-        found = at_low * at_high <= 0
+            high = np.where(up, np.maximum(high + step, LOWEST_RATE), high)
+            (at_low, size_low), (at_high, size_high) = value(low), value(high)
+        found = (at_low * at_high <= 0) & whole
         for _ in range(MAX_ROUNDS):
             middle = (low + high) / 2
             if np.all(np.abs(high - low) <= PRECISION * (1.0 + np.abs(middle))):
                 break
-            at_middle = value(middle)
+            at_middle = value(middle)[0]
             left = at_low * at_middle <= 0
             high = np.where(left, middle, high)
             low, at_low = np.where(left, low, middle), np.where(left, at_low, at_middle)
@@ -128,29 +137,110 @@ def _solved(flows: DataFrame, keys: Sequence[str], time: Column, amount: str, gu
     return solved.union(_solved_by_passes(rows, keys, guess).select(*keys, F.col("_rate").alias(name)))
 
 
+def _bracket_rates(low: float, high: float) -> list[float]:
+    """The rates that the next widening rounds can ask for: the high ends of rounds that all go up, and the low end after each."""
+    rates = [low, high]
+    while len(rates) < GRID:
+        step = WIDER * (high - low)
+        down, high = max(low - step, LOWEST_RATE), max(high + step, LOWEST_RATE)
+        rates += [r for r in dict.fromkeys((down, high)) if r not in rates] or [high]
+    return rates[:GRID]
+
+
+def _middle_rates(low: float, high: float, rounds: int) -> list[float]:
+    """The middles that the next halving rounds can ask for."""
+    middle = (low + high) / 2
+    return [middle, *_middle_rates(low, middle, rounds - 1), *_middle_rates(middle, high, rounds - 1)] if rounds else []
+
+
+def _advanced(low: float, high: float, at_low: float | None, rounds: int, known: dict[float, tuple[float, float]]) -> tuple[float, float, float | None, int, list[float], float | None]:
+    """As many rounds of ``_roots`` as the known signs and sizes allow; then the rates to ask for, or the rate found.
+
+    ``at_low`` is the sign at the low end once the bracket is found.
+    """
+    while at_low is None:
+        if low not in known or high not in known:
+            return low, high, None, rounds, _bracket_rates(low, high), None
+        (sign_low, size_low), (sign_high, size_high) = known[low], known[high]
+        if sign_low * sign_high <= 0:
+            at_low, rounds = sign_low, 0
+            break
+        step = WIDER * (high - low)
+        ends = (max(low - step, LOWEST_RATE), high) if size_low < size_high else (low, max(high + step, LOWEST_RATE))
+        if rounds == MAX_ROUNDS or ends == (low, high):  # an end that can't move never will
+            return low, high, None, rounds, [], None
+        (low, high), rounds = ends, rounds + 1
+    while True:
+        middle = (low + high) / 2
+        if rounds == MAX_ROUNDS or abs(high - low) <= PRECISION * (1.0 + abs(middle)):
+            return low, high, at_low, rounds, [], middle
+        if middle not in known:
+            asked = _middle_rates(low, high, GRID.bit_length() - 1)
+            return low, high, at_low, rounds, asked + asked[-1:] * (GRID - len(asked)), None
+        if at_low * known[middle][0] <= 0:
+            high = middle
+        else:
+            low, at_low = middle, known[middle][0]
+        rounds += 1
+
+
+_PLACE = "low double, high double, at_low double, rounds int, rates array<double>, growths array<double>, tops array<double>, rate double"
+
+
+def _next_place(*columns: str | Column) -> Column:
+    """The place after the sums at its rates, from the place, the sums and the times of the first and last amount."""
+
+    @pandas_udf(_PLACE)
+    def move(place: pd.DataFrame, sums: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+        out = []
+        for low, high, at_low, rounds, rates, tops, values, t0, t1 in zip(place.low, place.high, place.at_low, place.rounds, place.rates, place.tops, sums, first, last):
+            with np.errstate(divide="ignore"):
+                known = dict(zip(map(float, rates), zip(np.sign(values), np.log(np.abs(values)) + tops)))
+            low, high, at_low, rounds, asked, rate = _advanced(low, high, None if pd.isna(at_low) else at_low, int(rounds), known)
+            growths = [float(np.log1p(r)) for r in asked]
+            out.append((low, high, at_low, rounds, asked, growths, [max(-g * t0, -g * t1) for g in growths], rate))
+        done = pd.DataFrame(out, columns=["low", "high", "at_low", "rounds", "rates", "growths", "tops", "rate"])
+        return done.astype({"low": "float64", "high": "float64", "at_low": "float64", "rounds": "int32", "rate": "float64"})
+
+    return move(*columns)
+
+
 def _solved_by_passes(rows: DataFrame, keys: Sequence[str], guess: float) -> DataFrame:
-    """Rates from sums of discounted amounts at GRID growth rates for every investment at once.
+    """The rounds of ``_roots`` for every investment at once, from sums of discounted amounts over the rows.
 
-    The first pass looks over all growth rates from -1 to the largest the bracket can
-    reach, and keeps the change of sign nearest to the guess; every further pass divides
-    that interval by GRID - 1.
+    One pass sums at GRID rates, which holds many rounds of widening or five of halving,
+    so the same ends and middles are tried as for a list and the same rate is found.
     """
-    first = rows.groupBy(*keys).agg(F.min("_time").alias("_first"))
-    rows = join_keys(rows, first, keys).withColumn("_time", F.col("_time") - F.col("_first")).drop("_first")
-    top = float(np.log(guess) + MAX_ROUNDS * np.log(2.6))
-    places = rows.select(*keys).distinct().select(*keys, F.lit(float(np.log1p(LOWEST_RATE))).alias("_low"), F.lit(top).alias("_high"))
-    passes = 1 + int(np.ceil(np.log((top + 21) / PRECISION) / np.log(GRID - 1)))
-    for _ in range(passes):
-        step = (F.col("_high") - F.col("_low")) / (GRID - 1)
-        sums = [F.sum(F.col("_amount") * F.exp(-(F.col("_low") + i * step) * F.col("_time"))).alias(f"_v{i}") for i in range(GRID)]
-        values = join_keys(rows, places, keys).groupBy(*keys, "_low", "_high").agg(*sums)
-        changes = F.array_compact(F.array(*[
-            F.when(F.col(f"_v{i}") * F.col(f"_v{i + 1}") <= 0, F.struct(F.abs(F.col("_low") + (i + 0.5) * step - float(np.log1p(guess))).alias("far"), (F.col("_low") + i * step).alias("low"), (F.col("_low") + (i + 1) * step).alias("high")))
-            for i in range(GRID - 1)
-        ]))
-        nearest = F.array_min(changes)
-        places = scratch_table(values.select(*keys, nearest["low"].alias("_low"), nearest["high"].alias("_high")), "growth-rates")
-    return places.select(*keys, F.expm1((F.col("_low") + F.col("_high")) / 2).alias("_rate"))
+    some = F.when(F.col("_amount") != 0, F.col("_time"))
+    whole = F.col("_time").isNotNull() & F.col("_amount").isNotNull() & (F.abs("_time") < float("inf")) & (F.abs("_amount") < float("inf"))
+    figures = scratch_table(
+        rows.groupBy(*keys).agg(
+            F.min("_time").alias("_start"), F.min(some).alias("_first"), F.max(some).alias("_last"), F.bool_and(whole).alias("_whole"),
+            F.min("_amount").alias("_least"), F.max("_amount").alias("_most"),
+        ), "long-flow-figures",
+    )
+    # amounts of one sign have no rate; amounts that are all zero have the rate 0, as in a list
+    solvable = F.col("_whole") & (F.col("_least") < 0) & (F.col("_most") > 0)
+    settled = figures.filter(~solvable).select(*keys, F.when(F.col("_whole") & (F.col("_least") == 0) & (F.col("_most") == 0), 0.0).alias("_rate"))
+    ends = figures.filter(solvable).select(*keys, "_start", (F.col("_first") - F.col("_start")).alias("_first"), (F.col("_last") - F.col("_start")).alias("_last"))
+    rows = rows.filter(F.col("_amount") != 0)
+    nothing = F.array().cast("array<double>")
+    begin = F.struct(
+        F.lit(0.0).alias("low"), F.lit(float(guess)).alias("high"), F.lit(None).cast("double").alias("at_low"), F.lit(0).alias("rounds"),
+        nothing.alias("rates"), nothing.alias("growths"), nothing.alias("tops"), F.lit(None).cast("double").alias("rate"),
+    )
+    places = ends.withColumn("_place", begin).withColumn("_place", _next_place("_place", nothing, "_first", "_last"))
+    open_ = scratch_table(places, "growth-rates")
+    while not open_.isEmpty():
+        asked = open_.select(*keys, "_start", "_place.growths", "_place.tops")
+        time = F.col("_time") - F.col("_start")
+        sums = [F.sum(F.col("_amount") * F.exp(-(F.col("growths")[i] * time) - F.col("tops")[i])) for i in range(GRID)]
+        values = join_keys(rows, asked, keys).groupBy(*keys).agg(F.array(*sums).alias("_sums"))
+        moved = join_keys(open_, values, keys).withColumn("_place", _next_place("_place", "_sums", "_first", "_last")).drop("_sums")
+        moved = scratch_table(moved, "growth-rates")
+        settled = settled.union(moved.filter(F.size("_place.rates") == 0).select(*keys, F.nanvl("_place.rate", F.lit(None).cast("double")).alias("_rate")))
+        open_ = moved.filter(F.size("_place.rates") > 0)
+    return settled
 
 
 def irr(flows: DataFrame, keys: Sequence[str], period: str, amount: str, guess: float = 0.1, name: str = "irr") -> DataFrame:

@@ -134,3 +134,27 @@ def test_many_flow_times_by_passes(spark, monkeypatch):
     assert all(listed[k] is None or abs(listed[k] - passes[k]) < 1e-9 * (1 + abs(listed[k])) for k in listed)
     monkeypatch.setattr(cashflow, "LISTED_TIMES", 1)
     assert {r.k: r.irr for r in cashflow.irr(flows, ["k"], "i", "v").collect()}[99] is None
+
+
+def test_passes_bear_late_flows_of_both_signs(spark, monkeypatch):
+    """More than 10,000 times: the sums don't overflow, and lists and passes find the same rate."""
+    from marketlens.operators import cashflow
+
+    rows = []
+    for i in range(12_000):
+        rows.append((1, i, -100.0 if i == 0 else (1.0, -0.9)[(i - 1) % 2]))  # just above 0
+        rows.append((2, i, -1000.0 if i == 0 else (1.0, -0.95)[(i - 1) % 2]))  # below 0
+        rows.append((3, i, -1.0 if i == 0 else 7.0))  # far above the guess
+        rows.append((4, i, 1.0 if i % 2 else 2.0))  # one sign
+        rows.append((5, i, 0.0 if i > 400 or i < 3 else -90.0 if i == 3 else (1.0, -0.7)[i % 2]))  # zeros at both ends
+        rows.append((6, i, None if i == 7 else (-5.0, 6.0)[i % 2]))
+    flows = spark.createDataFrame(rows, "k int, i int, v double").repartition(8).cache()
+    passes = {r.k: r.irr for r in cashflow.irr(flows, ["k"], "i", "v").collect()}
+    monkeypatch.setattr(cashflow, "LISTED_TIMES", 20_000)
+    listed = {r.k: r.irr for r in cashflow.irr(flows, ["k"], "i", "v").collect()}
+    flows.unpersist()
+    assert passes.keys() == listed.keys() == {1, 2, 3, 4, 5, 6}
+    assert passes[4] is listed[4] is None and passes[6] is listed[6] is None
+    for k in (1, 2, 3, 5):
+        assert passes[k] == pytest.approx(listed[k], rel=1e-7, abs=1e-10), k
+    assert 0 < passes[1] < 0.001 and -0.01 < passes[2] < 0 and passes[3] == pytest.approx(7.0)
