@@ -7,11 +7,14 @@ element, in page order. Text lengths are summed over windows of ``WINDOW`` lines
 begins where the sums surge and ends where they dive back for good, and everything
 between is kept.
 
-A page that marks its article (``article``, ``main``, or a container named so) has length
-0 on all other lines, so surge and dive are the ends of the article. On other pages
-linked text counts against a line and the sums must reach a share of the highest one, so
+Linked text counts against a line, and a sum must reach a share of the highest one, so
 lists of links and stray short lines before and after the text stay out.
 
+What a page marks as its article (``article``, ``main``, or a container named so) weighs
+the lines: those of the strongest mark always reach the level, links or not, those of
+weaker marks count with their length and unmarked ones with half of it, and their sums do
+not borrow from stronger lines. No line between surge and dive is dropped for its mark.
+
 Text is decoded (character references), white space inside a block becomes one space,
 blocks are trimmed and joined by a line feed. Unclosed and truncated markup is read as
 browsers do: a cut tag or comment at the end is dropped, an element ends with its parent.
@@ -24,6 +27,7 @@ replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html import unescape
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from marketlens.tables import Tables
 
 WINDOW = 3
-#: On pages without a marked article a window sum counts from this share of the highest sum.
+#: A window sum counts from this share of the highest sum.
 SHARE = 0.25
 
 _BLOCKS = frozenset(
@@ -59,6 +63,8 @@ _REMARKS = frozenset("comment comments disqus replies reply".split())
 _ARTICLE = frozenset("article articlebody post postbody story entry main content".split())
 _ENDS = frozenset(".!?…:;\"'”’»)")
 _SPACE = re.compile(r"\s+")
+#: What is no tag of the page, and the start and end tags of elements that may be left open.
+_OPENED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|noscript|iframe|noembed)\b.*?(?:</\1\b|\Z)|<(/?)(div|span|section)\b", re.I | re.S)
 
 
 class Line:
@@ -98,6 +104,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     stack: list[tuple[str, bool, int, bool]] = []
     dropped, rank, links = False, 0, 0
     at, end = 0, len(page)
+    lacking: set[str] | None = None  # elements without an end tag, looked for when needed
 
     def finish() -> None:
         nonlocal text, linked
@@ -164,9 +171,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         remarks = bool(words & _REMARKS)
         furniture = name in _DROPPED and not (name == "header" and rank == 3) or hidden or bool(words & _FURNITURE) and name not in ("body", "html") and not (name == "article" and not remarks)
         if dropped and name in ("article", "main") and not remarks and all(x[3] for x in stack if x[1]):
-            while stack and stack[-1][1]:  # an advert or notice that was never closed
-                stack.pop()
-            dropped, rank = False, stack[-1][2] if stack else 0
+            lacking = left_open(page) if lacking is None else lacking
+            if all(x[0] in lacking for x in stack if x[1]):
+                while stack and stack[-1][1]:  # an advert or notice that was never closed
+                    stack.pop()
+                dropped, rank = False, stack[-1][2] if stack else 0
         inner = rank
         if not furniture and not dropped:
             inner = max(rank, 3 if name == "article" else 2 if name == "main" or "main" in words and "role" in attributes else 1 if words & _ARTICLE and name in ("div", "section") else 0)
@@ -176,6 +185,14 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
+def left_open(page: str) -> set[str]:
+    """Names of the elements that have fewer end tags than start tags."""
+    balance: Counter[str] = Counter()
+    for _, closing, name in _OPENED.findall(page):
+        balance[name.lower()] += -1 if closing else 1
+    return {name for name, n in balance.items() if name and n > 0}
+
+
 def window_sums(lengths: Sequence[int], window: int = WINDOW) -> list[int]:
     """Sum of the lengths of each line and the lines after it, ``window`` lines in all."""
     sums, running = [], sum(lengths[:window])
@@ -185,40 +202,42 @@ def window_sums(lengths: Sequence[int], window: int = WINDOW) -> list[int]:
     return sums
 
 
-def surge_and_dive(lengths: Sequence[int], share: float, window: int = WINDOW) -> tuple[int, int]:
+def surge_and_dive(lengths: Sequence[int], share: float, window: int = WINDOW, ranks: Sequence[int] = ()) -> tuple[int, int]:
     """First line of the text and the line after its last; equal where there is no text.
 
-    The surge is the first line with text whose window reaches ``share`` of the highest sum
-    and that is followed by text; the dive is after the last line with text whose window,
-    taken backwards, reaches it.
+    The surge is the first line with text whose window reaches ``share`` of the highest sum;
+    the dive is after the last line with text whose window, taken backwards, reaches it. Lines
+    of the highest rank above 0 always reach it; windows hold no lines of higher rank.
     """
     if not any(lengths):
         return 0, 0
-    ahead = window_sums(lengths, window)
-    behind = window_sums(lengths[::-1], window)[::-1]
-    least = max(1.0, share * max(ahead))
-    surge = next(i for i, n in enumerate(lengths) if n and ahead[i] >= least)
-    dive = next(i for i in range(len(lengths) - 1, -1, -1) if lengths[i] and behind[i] >= least)
-    return min(surge, dive), dive + 1
+    ranks = ranks or [0] * len(lengths)
+    best = max(r for n, r in zip(lengths, ranks) if n)
+    ahead, behind = {}, {}
+    for rank in set(ranks):
+        own = [n if r <= rank else 0 for n, r in zip(lengths, ranks)]
+        ahead[rank], behind[rank] = window_sums(own, window), window_sums(own[::-1], window)[::-1]
+    least = max(1.0, share * max(window_sums(lengths, window)))
+    reach = [i for i, (n, r) in enumerate(zip(lengths, ranks)) if n and (r == best > 0 or max(ahead[r][i], behind[r][i]) >= least)]
+    surge = next((i for i in reach if ranks[i] == best > 0 or ahead[ranks[i]][i] >= least), 0)
+    dive = next((i for i in reversed(reach) if ranks[i] == best > 0 or behind[ranks[i]][i] >= least), -1)
+    return min(surge, dive + 1), dive + 1
 
 
 def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
     lines = lines_of(page or "")
-    best = max((r for _, _, r in lines), default=0)
-    if best:
-        lengths = [len(t) if r == best else 0 for t, _, r in lines]
-        share = 0.0
-    else:
-        # linked text counts against a line; a last short line that ends no sentence is a stray one
-        lengths = [max(0, len(t) - 2 * linked) for t, linked, _ in lines]
-        stray = min(40, max(lengths, default=0) // 4)
-        for i in range(len(lines) - 1, 0, -1):
-            if lengths[i] and (lengths[i] >= stray or lines[i][0][-1] in _ENDS):
-                break
-            lengths[i] = 0
-    first, end = surge_and_dive(lengths, share, window)
-    kept = [t for (t, _, r) in lines[first:end] if r == best]
-    return "\n".join(kept)
+    ranks = [r for _, _, r in lines]
+    best = max(ranks, default=0)
+    # linked text counts against a line, but not under the strongest mark; unmarked lines of a marked page weigh half
+    lengths = [len(t) if r == best > 0 else max(0, len(t) - 2 * linked) // (2 if r == 0 < best else 1) for t, linked, r in lines]
+    # a last short line that ends no sentence is a stray one
+    stray = min(40, max(lengths, default=0) // 4)
+    for i in range(len(lines) - 1 if not best else 0, 0, -1):
+        if lengths[i] and (lengths[i] >= stray or lines[i][0][-1] in _ENDS):
+            break
+        lengths[i] = 0
+    first, end = surge_and_dive(lengths, share, window, ranks)
+    return "\n".join(t for t, _, _ in lines[first:end])
 
 
 def extract(pages: DataFrame, html: str = "html", window: int = WINDOW, share: float = SHARE) -> DataFrame:

@@ -47,3 +47,13 @@ def test_operator(spark, folder):
     html = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in H.query(spark, folder).collect():
         assert r.text == H.main_text(html[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_marks_weigh_lines_and_drop_none_between():
+    assert H.main_text("<main><p>Body</p></main><section><article>teaser</article></section>") == "Body\nteaser"
+    assert H.main_text("<main><p>Lead one.</p><p>Lead two.</p><article><p>text</p></article></main>") == "Lead one.\nLead two.\ntext"
+    body = "<p>" + "A long unmarked paragraph. " * 20 + "</p>"
+    assert H.main_text(f"{body}<article><p>One.</p></article><p>between</p><article><p>Two.</p></article>").split("\n")[1:] == ["One.", "between", "Two."]
+    assert H.main_text("<p>stray</p><article>" + body * 3 + "</article><p>stray</p>").count("\n") == 2
+    assert H.main_text("<div class=ad><article><p>buy</p></article></div><p>The body of the page") == "The body of the page"
+    assert H.main_text("<div><div class=ad>x<article><p>kept</article></div>") == "kept"
