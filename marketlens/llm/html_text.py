@@ -7,8 +7,10 @@ element, in page order. Text lengths are summed over windows of ``WINDOW`` lines
 begins where the sums surge and ends where they dive back for good, and everything
 between is kept.
 
-Linked text counts against a line, and a sum must reach a share of the highest one, so
-lists of links and stray short lines before and after the text stay out.
+Linked text counts against a line. A sum must reach a share of the median sum, which one
+long block can't raise. From the dive on the text runs to the next line of links or the
+end of the element it stands in, so closing lists of short lines stay in; short lines at
+the end of a page are stray only behind a line of links.
 
 What a page marks as its article (``article``, ``main``, or a container named so) weighs
 the lines: those of the strongest mark always reach the level, links or not, those of
@@ -31,13 +33,14 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from marketlens.tables import Tables
 
 WINDOW = 3
-#: A window sum counts from this share of the highest sum.
+#: A window sum counts from this share of the median sum.
 SHARE = 0.25
 
 _BLOCKS = frozenset(
@@ -205,8 +208,9 @@ def window_sums(lengths: Sequence[int], window: int = WINDOW) -> list[int]:
 def surge_and_dive(lengths: Sequence[int], share: float, window: int = WINDOW, ranks: Sequence[int] = ()) -> tuple[int, int]:
     """First line of the text and the line after its last; equal where there is no text.
 
-    The surge is the first line with text whose window reaches ``share`` of the highest sum;
-    the dive is after the last line with text whose window, taken backwards, reaches it. Lines
+    The surge is the first line with text whose window reaches ``share`` of the median sum;
+    the dive is after the last line with text whose window, taken backwards, reaches it,
+    and after the lines with text of the same rank that follow it without a break. Lines
     of the highest rank above 0 always reach it; windows hold no lines of higher rank.
     """
     if not any(lengths):
@@ -217,10 +221,12 @@ def surge_and_dive(lengths: Sequence[int], share: float, window: int = WINDOW, r
     for rank in set(ranks):
         own = [n if r <= rank else 0 for n, r in zip(lengths, ranks)]
         ahead[rank], behind[rank] = window_sums(own, window), window_sums(own[::-1], window)[::-1]
-    least = max(1.0, share * max(window_sums(lengths, window)))
+    least = max(1.0, share * float(np.median([x for n, x in zip(lengths, window_sums(lengths, window)) if n])))
     reach = [i for i, (n, r) in enumerate(zip(lengths, ranks)) if n and (r == best > 0 or max(ahead[r][i], behind[r][i]) >= least)]
     surge = next((i for i in reach if ranks[i] == best > 0 or ahead[ranks[i]][i] >= least), 0)
     dive = next((i for i in reversed(reach) if ranks[i] == best > 0 or behind[ranks[i]][i] >= least), -1)
+    while 0 <= dive < len(lengths) - 1 and lengths[dive + 1] and ranks[dive + 1] == ranks[dive]:
+        dive += 1
     return min(surge, dive + 1), dive + 1
 
 
@@ -230,12 +236,12 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
     best = max(ranks, default=0)
     # linked text counts against a line, but not under the strongest mark; unmarked lines of a marked page weigh half
     lengths = [len(t) if r == best > 0 else max(0, len(t) - 2 * linked) // (2 if r == 0 < best else 1) for t, linked, r in lines]
-    # a last short line that ends no sentence is a stray one
-    stray = min(40, max(lengths, default=0) // 4)
-    for i in range(len(lines) - 1 if not best else 0, 0, -1):
-        if lengths[i] and (lengths[i] >= stray or lines[i][0][-1] in _ENDS):
-            break
-        lengths[i] = 0
+    # behind a line of links, last short lines that end no sentence are stray
+    stray, at = min(40, max(lengths, default=0) // 4), len(lines)
+    while at > 1 and ranks[at - 1] == 0 and (lengths[at - 1] < stray and lines[at - 1][0][-1] not in _ENDS or not lengths[at - 1]):
+        at -= 1
+    links = next((i for i in range(at, len(lines)) if not lengths[i] and lines[i][1]), len(lines))
+    lengths[links:] = [0] * (len(lines) - links)
     first, end = surge_and_dive(lengths, share, window, ranks)
     return "\n".join(t for t, _, _ in lines[first:end])
 

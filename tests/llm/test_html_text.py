@@ -57,3 +57,12 @@ def test_marks_weigh_lines_and_drop_none_between():
     assert H.main_text("<p>stray</p><article>" + body * 3 + "</article><p>stray</p>").count("\n") == 2
     assert H.main_text("<div class=ad><article><p>buy</p></article></div><p>The body of the page") == "The body of the page"
     assert H.main_text("<div><div class=ad>x<article><p>kept</article></div>") == "kept"
+
+
+def test_one_long_block_and_closing_lists_lose_nothing():
+    sizes = [300, 300, 300, 300, 20_000, 300, 300, 300, 300]
+    text = H.main_text("".join(f"<p>{'x' * n}.</p>" for n in sizes))
+    assert [len(t) - 1 for t in text.split("\n")] == sizes
+    recipe = "<p>" + "Mix it all and bake it. " * 20 + "</p><p>" + "Serve it warm. " * 20 + "</p><ul>" + "".join(f"<li>item {i}</li>" for i in range(20)) + "</ul>"
+    assert H.main_text(recipe).count("\n") == 21
+    assert H.main_text(recipe + "<div><a>Link one</a> <a>Link two</a></div><p>&copy; 2020</p>") == H.main_text(recipe)
