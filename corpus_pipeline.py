@@ -26,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: the one with the group's smallest id."""
-    return jaccard.one_of_group(docs)
+    """One document of every group of near copies (80% of five-word shingles): the one with the group's smallest id."""
+    return jaccard.one_of_group(docs, percent=80, shingle=5)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ from marketlens.operators.scratch import scratch_table
 from marketlens.tables import Tables
 
 PERCENT, SHINGLE = 85, 4
+#: What counts as near copies when one document of a group is kept.
+COPIES_PERCENT, COPIES_SHINGLE = 80, 5
 #: Shingles that may be called frequent: 8 bytes each for every worker.
 FREQUENT = 1 << 18
 #: A shingle is reported as frequent by a stretch of some million shingles that holds it so often.
@@ -410,7 +412,7 @@ def link(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Dat
     return rows.filter("n > 0").join(of_class, "id").select(*columns).union(alone.select(*columns))
 
 
-def one_of_group(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def one_of_group(docs: DataFrame, percent: int = COPIES_PERCENT, shingle: int = COPIES_SHINGLE) -> DataFrame:
     """The rows of ``docs`` without those that are linked to a document with a smaller id.
 
     Of rows with the same id and text one stays. Rows without an id stay if their group

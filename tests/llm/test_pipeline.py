@@ -52,3 +52,17 @@ def test_stages_bear_odd_rows(spark, odd, nothing, folder):
             assert done.count() <= 2 * docs.count(), name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert done.columns == docs.columns, name
+
+
+def test_near_copies_of_five_word_shingles_leave_one(spark, folder):
+    base = [f"word{i}" for i in range(194)]
+    near, far = list(base), list(base)
+    for i in (30, 70, 110, 150):
+        near[i] = f"other{i}"  # 170 of 210 five-word shingles, but 175 of 207 four-word ones
+    for i in (20, 50, 80, 110, 140, 170):
+        far[i] = f"far{i}"
+    five, four = (test_jaccard.shingles(" ".join(base), k) for k in (5, 4))
+    five_near, four_near = (test_jaccard.shingles(" ".join(near), k) for k in (5, 4))
+    assert 0.80 < len(five & five_near) / len(five | five_near) < 0.82 and len(four & four_near) / len(four | four_near) < 0.85
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_group(spark, docs, folder).collect()) == [1, 3]
