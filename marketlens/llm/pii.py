@@ -12,11 +12,13 @@ are chosen together.
 Every entity holds a digit or ``@``, so the recursion runs only near those characters:
 elsewhere all segments are single tokens of score 0 and the sum falls apart.
 
-Training text is a bounded sample: at most ``SAMPLE`` windows around digits and ``@``,
-those with the smallest hash, from all documents. Their spans by the plain patterns are
-the labels; phone numbers are learned again without the leading ``+`` and country code,
-so the field knows national forms, and as dates and plain numbers, which it leaves
-alone. Decoding covers whole texts.
+Training text is a bounded sample of all documents: at most ``SAMPLE`` windows around
+digits and ``@``, in equal parts those with the smallest hash among the windows that hold
+a span of each kind and among those that hold none, so no kind is missed where other
+digits are common. Their spans by the plain patterns are the labels; the digits of every
+phone number, in whatever form it is written, are learned again without ``+`` and country
+code in several national groupings, and as dates, plain numbers and amounts, which the
+field leaves alone. Decoding covers whole texts.
 
 Defined results: a null text counts as empty and has no spans; positions are code points,
 the end is exclusive; spans of the field that touch a span of the patterns are dropped;
@@ -32,8 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from marketlens.operators.scratch import scratch_table
 from marketlens.tables import Tables
 
 KINDS = ("email", "ip", "card", "phone")
@@ -53,8 +57,10 @@ _WHOLE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _WHOLE_IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _PHONE_SHAPE = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}")
 _CARD_SHAPE = re.compile(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{5}")
-_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-_NUMBERS = re.compile(r"[0-9 ().+-]+")
+_DATE = re.compile(r"[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}(?![0-9])|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}(?![0-9])")
+_THOUSANDS = re.compile(r"[1-9][0-9]{0,2}(?:[ .][0-9]{3})+")
+_LOOSE_SHAPE = re.compile(r"(?:\(0?[0-9]{2,4}\)|0[0-9]{1,4})[ ./-]?[0-9]{2,8}(?:[ .-][0-9]{2,5}){0,4}")
+_NUMBERS = re.compile(r"[0-9 ()./+-]+")
 
 Span = tuple[int, int, str]
 
@@ -155,11 +161,14 @@ def features(text: str, start: int, end: int) -> list[int]:
         after == " " and text[end + 1 : end + 2].isdigit(),
         bool(_DATE.match(span)),
         span.isdigit(),
+        bool(_THOUSANDS.fullmatch(span)),
+        span[0] in "0(",
+        bool(_LOOSE_SHAPE.fullmatch(span)),
     )
     return [i for i, x in enumerate(holds) if x]
 
 
-N_FEATURES = 24
+N_FEATURES = 27
 
 
 def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
@@ -293,30 +302,101 @@ SPAN = "array<struct<start:bigint,end:bigint,kind:string,base:boolean>>"
 
 
 def training_windows(docs: DataFrame, limit: int = SAMPLE, text: str = "text") -> list[str]:
-    """At most ``limit`` different windows of all documents, those with the smallest hash."""
+    """At most ``limit`` different windows of all documents: those with the smallest hash for each kind, and of those without any."""
+    share = max(1, limit // (len(KINDS) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, int]] = [{} for _ in range(len(KINDS) + 1)]
+        highest = [1 << 64] * len(held)  # hashes from here on can't be among the smallest
         for batch in batches:
-            found = [x[s:e] for x in batch.column(0).to_pylist() for s, e in windows(x) if e - s <= 6 * MAX_CHARS]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["window"])
-
-    some = docs.filter(F.col(text).rlike("[0-9@]")).select(text).mapInArrow(run, "window string").distinct()
-    return [r.window for r in some.orderBy(F.xxhash64("window"), "window").limit(limit).collect()]
-
-
-_ABROAD = re.compile(r"\+[0-9]{1,2}[ .-](?=\([0-9]{3}\) [0-9]{3}-[0-9]{4})")
-_AT_HOME = re.compile(r"\(([0-9]{3})\) ([0-9]{3})-([0-9])([0-9]{3})(?![0-9])")
+            for x in batch.column(0).to_pylist():
+                for s, e in windows(x):
+                    window = x[s:e]
+                    h = xxhash.xxh64_intdigest(window.encode(errors="surrogatepass"))
+                    if e - s > 6 * MAX_CHARS or h >= max(highest):
+                        continue
+                    for k in {KINDS.index(kind) for _, _, kind in base_spans(window)} or {len(KINDS)}:
+                        if h < highest[k]:
+                            held[k][window] = h
+                            if len(held[k]) >= 4 * share:
+                                held[k] = dict(sorted(held[k].items(), key=lambda o: (o[1], o[0]))[:share])
+                                highest[k] = max(held[k].values()) + 1
+        rows = [(k, h - (1 << 63), w) for k, some in enumerate(held) for w, h in sorted(some.items(), key=lambda o: (o[1], o[0]))[:share]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.string()))], names=["kind", "hash", "window"])
+
+    some = docs.filter(F.col(text).rlike("[0-9@]")).select(text).mapInArrow(run, "kind int, hash bigint, window string")
+    # at most `share` rows a kind and task are left
+    least = some.groupBy("kind", "hash", "window").agg(F.lit(1).alias("_one")).drop("_one")
+    least = scratch_table(least, "training-windows")
+    chosen = [r.window for k in range(len(KINDS) + 1) for r in least.filter(F.col("kind") == k).orderBy("hash", "window").limit(share).collect()]
+    return list(dict.fromkeys(chosen))
+
+
+_DIGITS = re.compile(r"[0-9]+")
+#: Sizes of the groups of a national number, after its leading 0 if it has one; the last takes the other digits.
+_HOME = (("({}) {}-{}", 3, 3), ("{}-{}-{}", 3, 3), ("{}.{}.{}", 3, 3), ("{} {} {}", 3, 3), ("0{} {}", 3), ("0{}/{}", 2), ("0{} {} {} {} {}", 1, 2, 2, 2), ("({}) {} {}", 2, 4), ("0{}-{}-{}", 2, 4))
+_NO_PHONE = ("2{0}-1{1}-0{2} 1{1}:3{2}", "0{1}.0{2}.2{0} 1{1}.0{2}.2{0}", "{3}", "{4}")
+
+
+def national(phone: str) -> tuple[str, str]:
+    """Digits of a phone number with ``+`` after its country code, and how they are written there."""
+    digits = "".join(_DIGITS.findall(phone))
+    first = _DIGITS.search(phone).group()
+    code = len(first) if len(first) <= 3 and len(digits) - len(first) >= 7 else min(3, max(1, len(digits) - 10))
+    at = left = 0
+    while left < code:
+        left += phone[at].isdigit()
+        at += 1
+    return digits[code:], phone[at:].lstrip(" .-)")
+
+
+def at_home(digits: str, form: tuple) -> str:
+    """The digits in a national form."""
+    groups, at = [], 0
+    for size in form[1:]:
+        groups.append(digits[at : at + size])
+        at += size
+    return form[0].format(*groups, digits[at:])
+
+
+def no_phone(digits: str, form: str) -> str:
+    """The digits as a date with time, a plain number or an amount with groups of thousands."""
+    amount = re.sub(r"(?<=[0-9])(?=(?:[0-9]{3})+$)", " ", digits.lstrip("0") or "0")
+    return form.format(digits[:3], digits[3], digits[-1], digits, amount)
+
+
+def _rewritten(text: str, written: list[tuple[int, int, str]]) -> tuple[str, list[Span]]:
+    """The text with spans replaced, and where the new spans are."""
+    out, at, size, spans = [], 0, 0, []
+    for start, end, new in written:
+        if start < at:
+            continue
+        out += [text[at:start], new]
+        size += start - at
+        spans.append((size, size + len(new), "phone"))
+        size += len(new)
+        at = end
+    return "".join([*out, text[at:]]), spans
 
 
 def labelled_windows(samples: list[str]) -> list[tuple[str, list[Span]]]:
-    """Windows with the pattern spans as labels; phones also in national form, and as dates and plain numbers, which are no phones."""
+    """Windows with the pattern spans as labels; phones also in national forms, and as dates, numbers and amounts, which are no phones."""
     labelled = [(x, base_spans(x)) for x in samples]
-    for x in filter(_ABROAD.search, samples):
-        home = _ABROAD.sub("", x)
-        labelled.append((home, base_spans(home) + [(*m.span(), "phone") for m in _AT_HOME.finditer(home)]))
-        for other in (r"2\1-1\3-0\3 1\3:3\3", r"\1\2\3\4"):
-            changed = _AT_HOME.sub(other, home)
+    turn = 0
+    for x, spans in list(labelled):
+        phones = [(s, e, *national(x[s:e])) for s, e, kind in spans if kind == "phone"]
+        if not phones:
+            continue
+        # as written after the country code, the most common form, and one of the others in turn
+        other = _HOME[1 + turn % (len(_HOME) - 1)]
+        for write in (lambda d, own: own, lambda d, own: at_home(d, _HOME[0]), lambda d, own: at_home(d, other)):
+            changed, new = _rewritten(x, [(s, e, write(d, own)) for s, e, d, own in phones])
+            base = base_spans(changed)
+            labelled.append((changed, base + [n for n in new if not changed[n[0] : n[1]].isdigit() and all(e <= n[0] or n[1] <= s for s, e, _ in base)]))
+        for form in _NO_PHONE:
+            changed, _ = _rewritten(x, [(s, e, no_phone(d, form)) for s, e, d, _ in phones])
             labelled.append((changed, base_spans(changed)))
+        turn += 1
     return labelled
 
 

@@ -90,3 +90,21 @@ def test_training_learns_the_patterns_and_national_phones():
     weights = P.fit(P.labelled_windows(samples))
     got = P.field_spans("call (912) 555-0199 or mail me@some.example.org from 10.2.3.4 now", weights)
     assert [k for _, _, k in got] == ["phone", "email", "ip"]
+
+
+def test_training_windows_of_each_kind_and_phones_of_other_forms(spark):
+    """Phones of another written form among far more dates, prices and page numbers."""
+    rng = random.Random(5)
+    fill = " ".join(["word"] * 40)
+    rows = [f"{fill} paid {rng.randint(10, 9999)}.{rng.randint(0, 99):02d} on 2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} page {i} {fill}" for i in range(3000)]
+    rows += [f"{fill} ring +49 {rng.randint(30, 999)} {rng.randint(1000000, 99999999)} or not {i} {fill}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string").repartition(8)
+    chosen = P.training_windows(docs)
+    phones = [x for x in chosen if any(k == "phone" for _, _, k in P.base_spans(x))]
+    assert len(phones) >= 40 and len(chosen) <= P.SAMPLE and any(not P.base_spans(x) for x in chosen)
+    weights = P.fit(P.labelled_windows(chosen))
+    for number in ("(912) 555-0199", "912-555-0199", "030 12345678", "06 12 34 56 78"):
+        text = f"please ring {number} now"
+        assert P.field_spans(text, weights) == [(12, 12 + len(number), "phone")], number
+    for text in ("on 2024-01-02 10:30 and 01.02.2024 03.04.2024", "cost 1 234 567 890 in total, 1234567890 units", "years 1998-2004 and pages 112 113 114 115"):
+        assert P.field_spans(text, weights) == [], text
