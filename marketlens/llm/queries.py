@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, chat, html_text, jaccard, lm, mixing, pii, quality, token_blocks, topk, url_filter
+from marketlens.llm import bpe, chat, html_text, jaccard, lm, mixing, pii, quality, token_blocks, topk, url_filter, whitening
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": pii.query,
     "op9_uniform_threshold_topk": topk.query,
     "op10_shingle_groups": jaccard.query,
+    "op11_polynomial_whitening": whitening.query,
     "op13_chat_columns": chat.query,
 }
 ORACLE_SQL: dict[str, str] = {
