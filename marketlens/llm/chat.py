@@ -252,6 +252,34 @@ def digests(pieces: DataFrame, template: Template = CHAT) -> DataFrame:
 PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def _sql(template: Template = CHAT) -> str:
+    """SQL for the query's rows: the length of the escaped contents and the marks, hashes of the ordered turns."""
+
+    def escaped(column: str) -> str:
+        for pattern in template._patterns(r"\\*)"):
+            column = f"regexp_replace({column}, '{pattern}', '\\1\\\\\\2', 'g')"
+        return column
+
+    planted = ", ".join(f"({i}, {n}, '{r}', '{t}')" for i, n, r, t in PLANTED)
+    marks = len(template.start + template.middle + template.end)
+    learned = ", ".join(f"'{r}'" for r in template.learned)
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {planted}) AS x(conv_id, turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role IN ({learned})), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role IN ({learned})), '')) AS loss_sha256,
+  sum({marks} + length({escaped("role")}) + length({escaped("text")}))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+SQL = _sql()
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     table = Tables(spark, folder).conversations.select("conv_id", "turn", "role", "text")
     return digests(formatted(table.union(spark.createDataFrame(PLANTED, "conv_id bigint, turn bigint, role string, text string"))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, chat, html_text, jaccard, lm, mixing, pii, quality, token_blocks, topk, url_filter, whitening
+from marketlens.llm import bpe, chat, html_text, jaccard, lm, mixing, pii, quality, ranking, token_blocks, topk, url_filter, whitening
 from marketlens.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,9 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_uniform_threshold_topk": topk.query,
     "op10_shingle_groups": jaccard.query,
     "op11_polynomial_whitening": whitening.query,
+    "op12_treap_ranking": ranking.query,
     "op13_chat_columns": chat.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_vocabulary": url_filter.SQL,
     "op2_source_mix": mixing.SQL,
+    "op12_treap_ranking": ranking.SQL,
+    "op13_chat_columns": chat.SQL,
 }
