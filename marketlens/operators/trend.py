@@ -13,6 +13,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 from marketlens.operators.ordered import beside, numbered
 
 KINDS = ("linear", "logarithmic", "exponential", "power")
+ORDERS = (2, 3, 4, 5, 6)
+#: A matrix beyond this condition has fewer distinct x than unknowns, but for rounding.
+MOST_CONDITION = 1e12
 
 
 def signed_log(x: Column) -> Column:
@@ -32,22 +35,39 @@ def with_order_as_x(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (
     return numbered(df, order, keys, name)
 
 
-def fit_columns(kind: str, y: Column, x: Column) -> dict[str, Column]:
-    """Aggregates of one fit. Linear and logarithmic: a + b x; exponential: a b^x; power: a x^b."""
+def fit_columns(kind: str, y: Column, x: Column, const: bool = True) -> dict[str, Column]:
+    """Aggregates of one fit. Linear and logarithmic: a + b x; exponential: a b^x; power: a x^b.
+
+    Without ``const`` the line goes through the origin of the scales it is fitted on, so a
+    is 0, or 1 where y is a logarithm, and r2 is measured against the sum of squares.
+    """
     v, u = _scales(kind, y, x)
-    slope, intercept = F.regr_slope(v, u), F.regr_intercept(v, u)
+    if const:
+        slope, intercept, r2 = F.regr_slope(v, u), F.regr_intercept(v, u), F.regr_r2(v, u)
+    else:
+        paired = u.isNotNull() & v.isNotNull()
+        suu, svv, suv = (F.sum(F.when(paired, p)) for p in (u * u, v * v, u * v))
+        slope, r2 = F.try_divide(suv, suu), F.try_divide(suv * suv, suu * svv)
+        intercept = F.when(slope.isNotNull(), 0.0)
     if kind == "exponential":
         slope = F.exp(slope)
     if kind in ("exponential", "power"):
         intercept = F.exp(intercept)
-    return {"slope": slope, "intercept": intercept, "r2": F.regr_r2(v, u)}
+    return {"slope": slope, "intercept": intercept, "r2": r2}
 
 
-def fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), kind: str = "linear") -> DataFrame:
-    columns = fit_columns(kind, F.col(y), F.col(x))
+def fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), kind: str = "linear", const: bool = True) -> DataFrame:
+    columns = fit_columns(kind, F.col(y), F.col(x), const)
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()])
 
 
+def fitted(df: DataFrame, y: str, x: str, at: DataFrame, keys: Sequence[str] = (), kind: str = "linear", const: bool = True, name: str = "fitted") -> DataFrame:
+    """Rows of ``at`` (with the keys and x) and the y that the fit of their group gives there."""
+    line = fit(df, y, x, keys, kind, const).select(*keys, F.struct("slope", "intercept").alias("_line"))
+    rows = beside(at, line, keys) if keys else at.withColumn("_line", line.scalar())
+    return rows.withColumn(name, predict(kind, F.col("_line.slope"), F.col("_line.intercept"), F.col(x))).drop("_line")
+
+
 def predict(kind: str, slope: Column, intercept: Column, x: Column) -> Column:
     """y at x."""
     return {
@@ -71,18 +91,30 @@ def invert(kind: str, slope: Column, intercept: Column, y: Column) -> Column:
     }[kind]()
 
 
-def all_fits(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
+def _kinds(y: Column, x: Column, const: bool) -> list[Column]:
+    return [F.struct(F.lit(k).alias("kind"), *[c.alias(n) for n, c in fit_columns(k, y, x, const).items()]).alias(k) for k in KINDS]
+
+
+def all_fits(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), const: bool = True) -> DataFrame:
     """Every kind of fit in one pass, one row per group and kind."""
-    figures = [F.struct(F.lit(k).alias("kind"), *[c.alias(n) for n, c in fit_columns(k, F.col(y), F.col(x)).items()]).alias(k) for k in KINDS]
-    wide = df.groupBy(*keys).agg(*figures)
+    wide = df.groupBy(*keys).agg(*_kinds(F.col(y), F.col(x), const))
     return wide.select(*keys, F.explode(F.array(*KINDS)).alias("f")).select(*keys, "f.*")
 
 
-def best_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), orders: Sequence[int] = ()) -> DataFrame:
-    """The fit of the highest r2 per group; polynomials of the given orders compete as well."""
-    fits = all_fits(df, y, x, keys).select(*keys, "kind", F.array("intercept", "slope").alias("coefficients"), "r2")
-    for order in orders:
-        fits = fits.unionByName(polynomial(df, y, x, order, keys).withColumn("kind", F.lit(f"polynomial_{order}")).select(fits.columns))
+def best_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), orders: Sequence[int] = ORDERS, const: bool = True) -> DataFrame:
+    """The fit of the highest r2 per group among all kinds and the polynomials of the given orders.
+
+    Lines and polynomials come from the same pass over the rows. Polynomials always have
+    a constant; without ``const`` their r2 is measured like that of the lines.
+    """
+    if not orders:
+        fits = all_fits(df, y, x, keys, const).select(*keys, "kind", F.array("intercept", "slope").alias("coefficients"), "r2")
+    else:
+        sums = _sums(df, y, x, max(orders), keys, _kinds(F.col(y), F.col(x), const))
+        total = "_syy" if const else "_square"
+        lines = F.transform(F.array(*KINDS), lambda f: F.struct(f["kind"].alias("kind"), F.array(f["intercept"], f["slope"]).alias("coefficients"), f["r2"].alias("r2")))
+        curves = F.transform(_curves(orders, total), lambda c: F.struct(F.concat(F.lit("polynomial_"), c["order"].cast("string")).alias("kind"), c["coefficients"].alias("coefficients"), c["r2"].alias("r2")))
+        fits = sums.select(*keys, F.inline(F.concat(lines, curves)))
     best = fits.filter(F.col("r2").isNotNull()).groupBy(*keys).agg(F.max_by(F.struct("kind", "coefficients", "r2"), "r2").alias("_b"))
     return best.select(*keys, "_b.*")
 
@@ -95,54 +127,84 @@ def fit_statistics(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> D
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()])
 
 
-@pandas_udf(ArrayType(DoubleType()))
-def _solve(order: pd.Series, moments: pd.Series, products: pd.Series, mean: pd.Series, scale: pd.Series) -> pd.Series:
+@pandas_udf(ArrayType(ArrayType(DoubleType())))
+def _solve(orders: pd.Series, sums: pd.Series, products: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    """For every order: the explained sum of squares and the ascending coefficients; empty where there is no fit."""
     out = []
-    for k, m, p, mu, sd in zip(order, moments, products, mean, scale):
-        normal = np.array([[m[i + j] for j in range(k + 1)] for i in range(k + 1)], dtype=float)
-        try:
-            scaled = np.linalg.solve(normal, np.asarray(p[: k + 1], dtype=float))
-        except np.linalg.LinAlgError:
-            out.append(None)
-            continue
-        line = np.polynomial.Polynomial([-mu / sd, 1.0 / sd])
-        total = np.polynomial.Polynomial([0.0])
-        for power, c in enumerate(scaled):
-            total = total + c * line**power
-        out.append(np.pad(total.coef, (0, k + 1 - len(total.coef))))
+    for wanted, s, p, a, b in zip(orders, sums, products, low, high):
+        found, s, p = [], np.asarray(s, dtype=float), np.asarray(p, dtype=float)
+        for k in wanted:
+            at = np.arange(k + 1)
+            matrix = (s[at[:, None] + at] + s[np.abs(at[:, None] - at)]) / 2  # of products of two basis polynomials
+            if not np.isfinite(matrix).all() or np.linalg.cond(matrix) > MOST_CONDITION:
+                found.append([])
+                continue
+            c = np.linalg.solve(matrix, p[: k + 1])
+            powers = np.polynomial.Chebyshev(c, domain=[a, b]).convert(kind=np.polynomial.Polynomial).coef
+            found.append([float(c @ p[: k + 1]), *np.pad(powers, (0, k + 1 - len(powers)))])
+        out.append(found)
     return pd.Series(out)
 
 
-def polynomial(df: DataFrame, y: str, x: str, order: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Polynomial fit of order 2..6: ascending coefficients and r2.
+def _chebyshev(angle: Column, degree: int) -> list[Column]:
+    """Polynomials in the cosine of the angle that stay between -1 and 1; the product of two is the mean of two others."""
+    return [F.cos(F.lit(i) * angle) for i in range(degree + 1)]
+
+
+def _sums(df: DataFrame, y: str, x: str, order: int, keys: Sequence[str], others: Sequence[Column] = ()) -> DataFrame:
+    """Per group, what polynomials up to ``order`` need and the ``others``, in one pass over the rows.
 
-    Sums of powers of the standardised x are plain aggregates; only the small system of
-    each group is solved in Python. Groups with too few points have no fit.
+    An earlier pass takes the range of x and the mean of y, so that x is mapped to -1..1.
     """
-    if not 2 <= order <= 6:
-        raise ValueError("order must be 2..6")
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    figures = F.struct(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.avg("_y").alias("ymean"))
+    paired = F.col(x).isNotNull() & F.col(y).isNotNull()
+    x_, y_ = F.when(paired, F.col(x).cast("double")), F.when(paired, F.col(y).cast("double"))
+    figures = F.struct(F.min(x_).alias("low"), F.max(x_).alias("high"), F.avg(y_).alias("mean"))
+    needed = df.select(*dict.fromkeys([*keys, x, y]))
     if keys:
-        rows = beside(rows, rows.groupBy(*keys).agg(figures.alias("_s")), keys)
+        rows = beside(needed, needed.groupBy(*keys).agg(figures.alias("_s")), keys)
     else:
-        rows = rows.withColumn("_s", rows.agg(figures).scalar())
-    rows = rows.select(
-        *keys, F.try_divide(F.col("_x") - F.col("_s.mean"), F.col("_s.sd")).alias("_u"), "_y", F.col("_s.mean").alias("_mean"),
-        F.col("_s.sd").alias("_sd"), F.col("_s.ymean").alias("_ymean"),
+        rows = needed.withColumn("_s", needed.agg(figures).scalar())
+    low, high = F.col("_s.low"), F.col("_s.high")
+    u = F.try_divide(2 * x_ - low - high, high - low)
+    u = F.when(u > 1, 1.0).when(u < -1, -1.0).otherwise(u)
+    rows = rows.withColumns({"_angle": F.acos(u), "_c": y_ - F.col("_s.mean")})
+    basis = _chebyshev(F.col("_angle"), 2 * order)
+    return rows.groupBy(*keys).agg(
+        F.array(*[F.sum(t) for t in basis]).alias("_m"), F.array(*[F.sum(F.col("_c") * t) for t in basis[: order + 1]]).alias("_p"),
+        F.sum(F.col("_c") * F.col("_c")).alias("_syy"), F.sum(y_ * y_).alias("_square"), F.count(y_).alias("_n"), F.max(F.col("_s")).alias("_s"), *others,
     )
-    centred = F.col("_y") - F.col("_ymean")
-    sums = rows.groupBy(*keys).agg(
-        F.array(*[F.sum(F.pow("_u", F.lit(i))) for i in range(2 * order + 1)]).alias("_m"),
-        F.array(*[F.sum(centred * F.pow("_u", F.lit(i))) for i in range(order + 1)]).alias("_p"),
-        F.sum(centred * centred).alias("_syy"), F.count(F.lit(1)).alias("_n"), F.max("_mean").alias("_mean"), F.max("_sd").alias("_sd"),
-        F.max("_ymean").alias("_ymean"),
-    )
-    able = sums.filter((F.col("_n") > order) & (F.col("_sd") > 0))
-    raw = able.withColumn("_c", _solve(F.lit(order), "_m", "_p", "_mean", "_sd")).withColumn("_cu", _solve(F.lit(order), "_m", "_p", F.lit(0.0), F.lit(1.0)))
-    explained = F.aggregate(F.zip_with("_cu", "_p", lambda c, p: c * p), F.lit(0.0), lambda a, v: a + v)
-    shifted = F.transform("_c", lambda c, i: F.when(i == 0, c + F.col("_ymean")).otherwise(c))
-    return raw.select(*keys, shifted.alias("coefficients"), F.try_divide(explained, F.col("_syy")).alias("r2"))
+
+
+def _curves(orders: Sequence[int], total: str = "_syy") -> Column:
+    """Order, ascending coefficients and r2 of every order that has more points than unknowns allow for, as an array."""
+    if not all(2 <= k <= 6 for k in orders):
+        raise ValueError("orders must be 2..6")
+    wanted = F.array(*[F.lit(k) for k in sorted(set(orders))])
+    solved = F.arrays_zip(wanted.alias("order"), _solve(wanted, "_m", "_p", F.col("_s.low"), F.col("_s.high")).alias("solved"))
+    able = F.filter(solved, lambda f: (F.size(f["solved"]) > 0) & (f["order"] < F.col("_n")))
+    mean = F.col("_s.mean")
+    rest = F.col("_syy") if total == "_syy" else F.col("_square")
+    return F.transform(able, lambda f: F.struct(
+        f["order"].alias("order"),
+        F.transform(F.slice(f["solved"], 2, f["order"] + 1), lambda c, i: F.when(i == 0, c + mean).otherwise(c)).alias("coefficients"),
+        F.try_divide(f["solved"][0] + (rest - F.col("_syy")), rest).alias("r2"),
+    ))
+
+
+def polynomials(df: DataFrame, y: str, x: str, orders: Sequence[int] = ORDERS, keys: Sequence[str] = ()) -> DataFrame:
+    """Polynomial fits of all the orders: ``order``, ascending coefficients and r2, a row for each group and order.
+
+    Two passes whatever the orders: the range of x, then sums of Chebyshev polynomials up
+    to twice the highest order, whose products give the matrix of every order. Only the
+    small systems of each group are solved in Python. A group whose points or distinct x
+    are too few has no fit of that order.
+    """
+    return _sums(df, y, x, max(orders), keys).select(*keys, F.inline(_curves(orders)))
+
+
+def polynomial(df: DataFrame, y: str, x: str, order: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Polynomial fit of one order, 2..6: ascending coefficients and r2."""
+    return polynomials(df, y, x, [order], keys).drop("order")
 
 
 def polynomial_value(coefficients: Column, x: Column) -> Column:

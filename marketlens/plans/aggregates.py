@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import aggregates as A
 from marketlens.operators import ordered as O
+from marketlens.operators import trend as T
 from marketlens.registry import add, query
 
 KEYS = ["l_returnflag", "l_linestatus"]
@@ -192,6 +193,18 @@ def _(t):
     return new_x.join(fitted, "l_returnflag").select("l_returnflag", "x", F.round(F.col("b") * F.pow("m", "x"), 3).alias("fitted"))
 
 
+@query(
+    "agg_54_trend_through_origin",
+    """with f as (select l_returnflag, sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) as b, sum(l_quantity * ln(l_extendedprice)) / sum(l_quantity * l_quantity) as g from lineitem group by 1),
+    x as (select distinct l_returnflag, l_quantity from lineitem) select l_returnflag, l_quantity, round(b * l_quantity, 3) as trend, round(power(exp(g), l_quantity), 3) as growth from x join f using (l_returnflag)""",
+)
+def _(t):
+    rows = t.lineitem.select("l_returnflag", "l_quantity").distinct()
+    rows = T.fitted(t.lineitem, PRICE, "l_quantity", rows, ["l_returnflag"], const=False, name="trend")
+    rows = T.fitted(t.lineitem, PRICE, "l_quantity", rows, ["l_returnflag"], "exponential", const=False, name="growth")
+    return rows.select("l_returnflag", "l_quantity", F.round("trend", 3).alias("trend"), F.round("growth", 3).alias("growth"))
+
+
 # The SQL integrates the normal density by the midpoint rule.
 @query(
     "agg_56_ztest",

@@ -54,16 +54,93 @@ def _(t):
     return rows.select("l_returnflag", at(10.0).alias("at_10"), at(45.5).alias("at_45"), F.round("r2", 6).alias("r2"))
 
 
+def _orthogonal(column: str, table: str, first: str, y: str, x: str) -> str:
+    """SQL tables ``fits`` (r2 of every order) and ``e0..e6`` (the basis), by orthogonal polynomials built on the rows one order after the other."""
+    parts = [
+        f"base as (select {column} as g, {y}::double as y, {x}::double as x from {table} where {y} is not null and {x} is not null)",
+        "s as (select g, avg(x) as mx, stddev_pop(x) as sx, avg(y) as my, count(*) as n, regr_syy(y, x) as syy from base group by g)",
+        "r as (select g, (x - mx) / sx as u, y - my as y, 1.0::double as p0, 0.0::double as q0 from base join s using (g))",
+    ]
+    for k in range(7):
+        parts.append(f"e{k} as (select g, sum(y * p{k}) / sum(p{k} * p{k}) as c{k}, sum(u * p{k} * p{k}) / sum(p{k} * p{k}) as a{k}, sum(p{k} * p{k}) as w{k} from {'r' if k == 0 else f'r{k}'} group by g)")
+        if k < 6:
+            before = f"e{k}.w{k} / e{k - 1}.w{k - 1} * p{k - 1}" if k else "0"
+            joined = f" join e{k - 1} using (g)" if k else ""
+            parts.append(f"r{k + 1} as (select g, u, y, {', '.join(f'p{i}' for i in range(k + 1))}, (u - a{k}) * p{k} - {before} as p{k + 1} from {'r' if k == 0 else f'r{k}'} join e{k} using (g){joined})")
+    joins = " ".join(f"join e{k} using (g)" for k in range(7))
+    explained = " + ".join(f"case when o >= {k} then c{k} * c{k} * w{k} else 0 end" for k in range(7))
+    parts.append(f"fits as (select g, o, ({explained}) / syy as r2 from s {joins} cross join (select unnest([2, 3, 4, 5, 6]) as o))")
+    return f"with {first}" + ", ".join(parts)
+
+
+def _at(value: float) -> str:
+    """SQL of the fitted y at x: the basis by its recurrence, from the table of all coefficients."""
+    u, steps = f"(({value} - mx) / sx)", []
+    for k in range(7):
+        if k == 0:
+            steps.append("1.0::double as b0")
+        else:
+            before = f" - w{k - 1} / w{k - 2} * b{k - 2}" if k > 1 else ""
+            steps.append(f"({u} - a{k - 1}) * b{k - 1}{before} as b{k}")
+    return ", ".join(steps)
+
+
+def _curve_sql() -> str:
+    joins = " ".join(f"join e{k} using (g)" for k in range(7))
+    value = "my + " + " + ".join(f"case when o >= {k} then c{k} * b{k} else 0 end" for k in range(7))
+    parts = [f"v{i} as (select *, {_at(v)} from s {joins})" for i, v in enumerate((10, 45.5))]
+    return (_orthogonal("l_returnflag", "lineitem", "", Y, X) + ", " + ", ".join(parts) + f"""
+    select fits.g as l_returnflag, o as "order", round(x.at_10, 3) as at_10, round(y.at_45, 3) as at_45, round(r2, 6) as r2 from fits
+    join (select g, o, {value} as at_10 from v0 cross join (select unnest([2, 3, 4, 5, 6]) as o)) x using (g, o) join (select g, o, {value} as at_45 from v1 cross join (select unnest([2, 3, 4, 5, 6]) as o)) y using (g, o)""")
+
+
+@query("trd_5_polynomial_orders", _curve_sql())
+def _(t):
+    rows = T.polynomials(t.lineitem, Y, X, keys=KEYS)
+    at = lambda v: F.round(T.polynomial_value(F.col("coefficients"), F.lit(v)), 3)
+    return rows.select("l_returnflag", "order", at(10.0).alias("at_10"), at(45.5).alias("at_45"), F.round("r2", 6).alias("r2"))
+
+
+_LINES = f"select l_returnflag, regr_r2({Y}, {X}) as linear, regr_r2({Y}, {_LOGX}) as logarithmic, regr_r2({_LOGY}, {X}) as exponential, regr_r2({_LOGY}, {_LOGX}) as power from lineitem group by 1"
+
+
 @query(
     "trd_6_best_fit",
-    f"""with f as (select l_returnflag, regr_r2({Y}, {X}) as linear, regr_r2({Y}, {_LOGX}) as logarithmic, regr_r2({_LOGY}, {X}) as exponential, regr_r2({_LOGY}, {_LOGX}) as power from lineitem group by 1),
-    u as (unpivot f on linear, logarithmic, exponential, power into name kind value r2)
+    _orthogonal("l_returnflag", "lineitem", f"f as ({_LINES}), ", Y, X) + """, u as (select l_returnflag, kind, r2 from (unpivot f on linear, logarithmic, exponential, power into name kind value r2) union all select g, 'polynomial_' || o, r2 from fits)
     select l_returnflag, arg_max(kind, r2) as kind, round(max(r2), 6) as r2 from u group by 1""",
 )
 def _(t):
     return T.best_fit(t.lineitem, Y, X, KEYS).select("l_returnflag", "kind", F.round("r2", 6).alias("r2"))
 
 
+@query(
+    "trd_6_best_line",
+    f"with f as ({_LINES}), u as (unpivot f on linear, logarithmic, exponential, power into name kind value r2) select l_returnflag, arg_max(kind, r2) as kind, round(max(r2), 6) as r2 from u group by 1",
+)
+def _(t):
+    return T.best_fit(t.lineitem, Y, X, KEYS, orders=()).select("l_returnflag", "kind", F.round("r2", 6).alias("r2"))
+
+
+_ORIGIN = "select l_returnflag, '{kind}' as kind, {slope} as slope, {intercept} as intercept, sum({u} * {v}) * sum({u} * {v}) / (sum({u} * {u}) * sum({v} * {v})) as r2 from lineitem group by 1"
+
+
+def _origin(kind, v, u):
+    slope = f"sum({u} * {v}) / sum({u} * {u})"
+    return _ORIGIN.format(kind=kind, u=u, v=v, slope=f"exp({slope})" if kind == "exponential" else slope, intercept=1.0 if kind in ("exponential", "power") else 0.0)
+
+
+# Lines and curves without a constant, and the best of them.
+@query(
+    "trd_6_fits_through_origin",
+    "with f as (" + " union all ".join(_origin(k, v, u) for k, v, u in (("linear", Y, X), ("logarithmic", Y, _LOGX), ("exponential", _LOGY, X), ("power", _LOGY, _LOGX))) + """)
+    select l_returnflag, kind, round(slope, 5) as slope, intercept::double as intercept, round(r2, 6) as r2, r2 = max(r2) over (partition by l_returnflag) as best from f""",
+)
+def _(t):
+    fits = T.all_fits(t.lineitem, Y, X, KEYS, const=False)
+    best = T.best_fit(t.lineitem, Y, X, KEYS, orders=(), const=False).select("l_returnflag", F.col("kind").alias("_best"))
+    return fits.join(best, "l_returnflag").select("l_returnflag", "kind", F.round("slope", 5).alias("slope"), "intercept", F.round("r2", 6).alias("r2"), (F.col("kind") == F.col("_best")).alias("best"))
+
+
 @query(
     "trd_7_statistics",
     f"""with s as (select l_returnflag, regr_count({Y}, {X}) as n, regr_sxx({Y}, {X}) as sxx, regr_syy({Y}, {X}) as syy, regr_sxy({Y}, {X}) as sxy, regr_r2({Y}, {X}) as r2,

@@ -98,6 +98,40 @@ def test_polynomial_matches_numpy(spark):
     assert best["kind"] == "polynomial_3"
 
 
+def test_polynomials_of_all_orders(spark):
+    rng = np.random.default_rng(4)
+    wide = np.sort(rng.lognormal(3, 1.5, 60)) + 1e4  # far from 0 and skewed
+    rows = [("wide", float(x), float(y)) for x, y in zip(wide, np.sin(wide / 90) + rng.normal(0, 0.1, 60))]
+    rows += [("four", float(x), float(x * x)) for x in (1, 2, 3, 5)] + [("same", 7.0, float(i)) for i in range(9)] + [("few x", float(i % 3), float(i)) for i in range(30)]
+    rows += [("wide", None, 5.0), ("wide", 5.0, None), ("none", None, None), (None, 1.0, 2.0)]
+    frame = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r.g, r.order): r for r in T.polynomials(frame, "y", "x", keys=["g"]).collect()}
+    assert {k for k in got if k[0] != "wide"} == {("four", 2), ("four", 3), ("few x", 2)}
+    ys = np.array([r[2] for r in rows[:60]])
+    for order in range(2, 7):
+        best = np.polynomial.Polynomial.fit(wide, ys, order)
+        r = got["wide", order]
+        assert r.r2 == pytest.approx(1 - ((ys - best(wide)) ** 2).sum() / ((ys - ys.mean()) ** 2).sum(), abs=1e-9)
+    assert got["four", 2].coefficients == pytest.approx([0, 0, 1], abs=1e-9) and got["four", 2].r2 == pytest.approx(1)
+    kinds = {r.g: r.kind for r in T.best_fit(frame, "y", "x", ["g"]).collect()}
+    assert kinds["wide"] == "polynomial_6" and "same" not in kinds and "none" not in kinds
+
+
+def test_fits_through_the_origin(spark):
+    xs, ys = [1.0, 2.0, 4.0], [3.0, 5.0, 9.0]
+    frame = spark.createDataFrame([*zip(xs, ys), (None, 4.0), (9.0, None)], "x double, y double")
+    fits = {r.kind: r for r in T.all_fits(frame, "y", "x", const=False).collect()}
+    x, y = np.array(xs), np.array(ys)
+    for kind, u, v in (("linear", x, y), ("logarithmic", np.log(x), y), ("exponential", x, np.log(y)), ("power", np.log(x), np.log(y))):
+        slope = (u * v).sum() / (u * u).sum()
+        assert fits[kind].slope == pytest.approx(np.exp(slope) if kind == "exponential" else slope) and fits[kind].intercept == (1 if kind in ("exponential", "power") else 0)
+        assert fits[kind].r2 == pytest.approx(1 - ((v - slope * u) ** 2).sum() / (v * v).sum())
+    at = spark.createDataFrame([(0.0,), (10.0,)], "x double")
+    assert [r.fitted for r in T.fitted(frame, "y", "x", at, kind="exponential", const=False).orderBy("x").collect()] == pytest.approx([1.0, fits["exponential"].slope ** 10])
+    curve = T.best_fit(frame, "y", "x", orders=(2,), const=False).first()
+    assert curve.kind == "polynomial_2" and curve.r2 == pytest.approx(1)
+
+
 def test_runs_and_trees(spark):
     e = spark.createDataFrame([(1, "coupon", 5, 10), (1, "coupon", 9, 11), (1, "deal", 2, 12), (2, "deal", 1, 13)], "prom_id int, type string, query_time int, id int")
     assert sorted(r["id"] for r in R.latest_effects(e).collect()) == [11, 12, 13]

@@ -48,3 +48,12 @@ def test_group_figures_need_no_shuffle_of_the_rows(spark):
 
 def test_date_groups_reach_the_scan(spark):
     assert "GreaterThanOrEqual(ts" in plan(spark, "flt_12_date_groups")
+
+
+def test_all_orders_take_two_scans(spark):
+    from marketlens.operators import trend
+
+    rows = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    text = trend.best_fit(rows, "l_extendedprice", "l_quantity")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") <= 2
+    assert plan(spark, "trd_6_best_fit").count("Scan parquet") <= 4  # the figures of the groups are a written table, each node is listed twice
