@@ -8,6 +8,7 @@ with the aggregated groups; no window runs over ungrouped rows.
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -15,7 +16,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketlens.operators import ordered
+from marketlens.operators import ordered, selection
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
@@ -175,16 +176,14 @@ def group_edges(valued: DataFrame, column: str, n: int, top: bool, keys: Sequenc
 def top_percent(df: DataFrame, column: str, percent: float, top: bool = True) -> DataFrame:
     """As ``top_n`` with N = floor(percent * rows / 100), at least 1, however many rows that are.
 
-    The n-th value comes from the counts of equal values, totalled over range partitions.
+    The n-th value comes from counts of the value range, not from a sort.
     """
     x = F.col(column)
-    n = df.agg(F.greatest(F.floor(F.lit(percent) * F.count(F.lit(1)) / 100), F.lit(1))).scalar()
-    counts = ordered.positions(df.filter(x.isNotNull() & (x != 0)).select(column), column)
-    if top:
-        edge = counts.filter(F.col("before") + F.col("n") > F.col("total") - n).agg(F.min(column)).scalar()
-        return df.filter(x >= edge)
-    edge = counts.filter(F.col("before") < n).agg(F.max(column)).scalar()
-    return df.filter(x <= edge)
+    rows = df.agg(F.count(F.lit(1))).first()[0]
+    n = max(1, math.floor(percent * rows / 100))
+    place = lambda total: [F.greatest(total - n, F.lit(0)) if top else F.least(F.lit(n), total) - 1]
+    edge = selection.at_places(df.filter(x.isNotNull() & (x != 0)), column, place).select("value0").scalar()
+    return df.filter(x >= edge) if top else df.filter(x <= edge)
 
 
 # Row validation: every rule is one Column that is true for a valid row.

@@ -1,6 +1,6 @@
 """Ordered statistics without single-task groups.
 
-Ranks, percentiles, k-th values and row numbers need an order over a group that may
+Ranks, percent ranks and row numbers need an order over a group that may
 hold most of the rows. Here a group is spread over range partitions of its order, each
 part is totalled, and the running totals of the (few) parts are added to the running
 totals inside each part. Equal values are counted first, so a frequent value is one row.
@@ -82,54 +82,6 @@ def positions(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame
     return join_keys(counts, totals, keys)
 
 
-def _value_at(column: str, index: Column) -> Column:
-    """Aggregate: the value at a 0-based place of the sorted group."""
-    here = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
-    return F.max(F.when(here, F.col(column)))
-
-
-def percentile(df: DataFrame, column: str, p: float, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """Exact percentile with linear interpolation at p * (n - 1)."""
-    if not 0 <= p <= 1:
-        raise ValueError("p must be between 0 and 1")
-    at = F.lit(p) * (F.col("total") - 1)
-    low, high = F.floor(at), F.ceil(at)
-    rows = positions(df, column, keys).groupBy(*keys).agg(
-        _value_at(column, low).alias("_low"), _value_at(column, high).alias("_high"), F.max(at - low).alias("_part")
-    )
-    return rows.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(name))
-
-
-def median(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    return percentile(df, column, 0.5, keys, name)
-
-
-def quartile(df: DataFrame, column: str, q: int, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    return percentile(df, column, q / 4, keys, name)
-
-
-def kth_smallest(df: DataFrame, column: str, k: int, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """Null where the group has fewer than k values."""
-    return positions(df, column, keys).groupBy(*keys).agg(_value_at(column, F.lit(k - 1)).alias(name))
-
-
-def kth_largest(df: DataFrame, column: str, k: int, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    return positions(df, column, keys).groupBy(*keys).agg(_value_at(column, F.col("total") - k).alias(name))
-
-
-def trimmed_mean(df: DataFrame, column: str, share: float, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """Mean after floor(n * share / 2) values are cut from each end."""
-    if not 0 <= share <= 1:
-        raise ValueError("share must be between 0 and 1")
-    cut = F.floor(F.col("total") * share / 2)
-    low = F.greatest(F.col("before"), cut)
-    high = F.least(F.col("before") + F.col("n"), F.col("total") - cut)
-    kept = F.greatest(high - low, F.lit(0))
-    return positions(df, column, keys).groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col(column) * kept), F.sum(kept)).alias(name)
-    )
-
-
 def mode(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
     """Most frequent value, the smallest of ties; null where no value repeats."""
     counts = value_counts(df, column, keys)
@@ -152,18 +104,18 @@ def percent_ranked(df: DataFrame, column: str, keys: Sequence[str] = (), digits:
 
 
 def percent_rank_of(df: DataFrame, column: str, probe: float, keys: Sequence[str] = (), digits: int = 3, name: str = "percent_rank") -> DataFrame:
-    """Percent rank of one probe value, interpolated between its neighbours; null outside the values."""
+    """Percent rank of one probe value, interpolated between its neighbours; null outside the values.
+
+    One pass of counts and neighbours; nothing is sorted.
+    """
     x = F.col(column)
-    rows = positions(df, column, keys).groupBy(*keys).agg(
-        F.max(F.when(x <= probe, F.struct(x, (F.col("before") + F.when(x == probe, 0).otherwise(F.col("n") - 1)).alias("at")))).alias("_low"),
-        F.min(F.when(x >= probe, F.struct(x, F.col("before").alias("at")))).alias("_high"),
-        F.max("total").alias("_total"),
+    rows = df.groupBy(*keys).agg(
+        F.max(F.when(x <= probe, x)).alias("_low"), F.min(F.when(x >= probe, x)).alias("_high"), F.count_if(x < probe).alias("_below"), F.count(x).alias("_total"),
     )
     low, high = F.col("_low"), F.col("_high")
-    gap = F.try_divide(F.lit(probe) - low[column], high[column] - low[column])
-    place = F.when(low[column] == probe, low["at"].cast("double")).otherwise(low["at"] + gap)
-    inside = low.isNotNull() & high.isNotNull()
-    return rows.select(*keys, F.when(inside, F.round(F.try_divide(place, F.col("_total") - 1), digits)).alias(name))
+    gap = F.try_divide(F.lit(probe) - low, high - low)
+    place = F.when(low == probe, F.col("_below").cast("double")).otherwise(F.col("_below") - 1 + gap)
+    return rows.select(*keys, F.when(low.isNotNull() & high.isNotNull(), F.round(F.try_divide(place, F.col("_total") - 1), digits)).alias(name))
 
 
 def standardized(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "z") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import aggregates as A
 from marketlens.operators import ordered as O
+from marketlens.operators import selection as S
 from marketlens.operators import trend as T
 from marketlens.registry import add, query
 
@@ -116,18 +117,18 @@ def ordered(name: str, build, sql: str, digits: int = 6) -> None:
 
 
 PRICE = "l_extendedprice"
-ordered("agg_23_median", lambda d: O.median(d, PRICE, KEYS), "median(l_extendedprice)", 4)
-ordered("agg_25_percentile", lambda d: O.percentile(d, PRICE, 0.3, KEYS), "quantile_cont(l_extendedprice, 0.3)", 4)
-ordered("agg_26_quartile", lambda d: O.quartile(d, PRICE, 3, KEYS), "quantile_cont(l_extendedprice, 0.75)", 4)
+ordered("agg_23_median", lambda d: S.median(d, PRICE, KEYS), "median(l_extendedprice)", 4)
+ordered("agg_25_percentile", lambda d: S.percentile(d, PRICE, 0.3, KEYS), "quantile_cont(l_extendedprice, 0.3)", 4)
+ordered("agg_26_quartile", lambda d: S.quartile(d, PRICE, 3, KEYS), "quantile_cont(l_extendedprice, 0.75)", 4)
 
 _PLACED = "with p as (select *, row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice) as up, row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice desc) as down, count(*) over (partition by l_returnflag, l_linestatus) as n from lineitem)\n"
 add("agg_24_mode", lambda t: O.mode(t.lineitem, "l_quantity", KEYS),
     f"""with c as (select {GROUPS}, l_quantity, count(*) as n from lineitem group by all), r as (select *, row_number() over (partition by {GROUPS} order by n desc, l_quantity) as k from c)
     select {GROUPS}, case when n > 1 then l_quantity end as value from r where k = 1""")
-add("agg_27_trimmean", lambda t: O.trimmed_mean(t.lineitem, PRICE, 0.2, KEYS).select(*KEYS, F.round("value", 4).alias("value")),
+add("agg_27_trimmean", lambda t: S.trimmed_mean(t.lineitem, PRICE, 0.2, KEYS).select(*KEYS, F.round("value", 4).alias("value")),
     _PLACED + f"select {GROUPS}, round(avg(l_extendedprice), 4) as value from p where up > floor(n * 0.2 / 2) and down > floor(n * 0.2 / 2) group by {GROUPS}")
-add("agg_28_large", lambda t: O.kth_largest(t.lineitem, PRICE, 5, KEYS), _PLACED + f"select {GROUPS}, l_extendedprice as value from p where down = 5")
-add("agg_29_small", lambda t: O.kth_smallest(t.lineitem, PRICE, 5, KEYS), _PLACED + f"select {GROUPS}, l_extendedprice as value from p where up = 5")
+add("agg_28_large", lambda t: S.kth_largest(t.lineitem, PRICE, 5, KEYS), _PLACED + f"select {GROUPS}, l_extendedprice as value from p where down = 5")
+add("agg_29_small", lambda t: S.kth_smallest(t.lineitem, PRICE, 5, KEYS), _PLACED + f"select {GROUPS}, l_extendedprice as value from p where up = 5")
 add("agg_30_avedev", lambda t: O.mean_deviation(t.lineitem, PRICE, KEYS).select(*KEYS, F.round("value", 4).alias("value")),
     f"with m as (select {GROUPS}, avg(l_extendedprice) as m from lineitem group by all) select {GROUPS}, round(avg(abs(l_extendedprice - m)), 4) as value from lineitem join m using ({GROUPS}) group by all")
 

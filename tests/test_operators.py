@@ -12,6 +12,7 @@ from marketlens.operators import lookup as K
 from marketlens.operators import monitoring as M
 from marketlens.operators import ordered as O
 from marketlens.operators import runs as R
+from marketlens.operators import selection as S
 from marketlens.operators import trend as T
 from marketlens.operators.joins import salted_join
 
@@ -27,9 +28,9 @@ def skewed(spark):
 def test_ordered_statistics_match_brute_force(skewed):
     df, rows = skewed
     groups = {g: sorted(x for h, x, _ in rows if h == g) for g in "ab"}
-    got = {r["g"]: r["value"] for r in O.percentile(df, "x", 0.3, ["g"]).collect()}
+    got = {r["g"]: r["value"] for r in S.percentile(df, "x", 0.3, ["g"]).collect()}
     assert got == pytest.approx({g: float(np.percentile(v, 30)) for g, v in groups.items()})
-    assert {r["g"]: r["value"] for r in O.kth_largest(df, "x", 9, ["g"]).collect()} == {g: v[-9] for g, v in groups.items()}
+    assert {r["g"]: r["value"] for r in S.kth_largest(df, "x", 9, ["g"]).collect()} == {g: v[-9] for g, v in groups.items()}
     ranks = O.ranked(df, "x", ["g"]).collect()
     assert len(ranks) == 3000
     assert all(r["rank"] == 1 + sum(v > r["x"] for v in groups[r["g"]]) for r in ranks[::97])
@@ -40,7 +41,7 @@ def test_ordered_statistics_match_brute_force(skewed):
 def test_small_groups(spark):
     df = spark.createDataFrame([("e", None), ("o", 4.0), ("t", 1.0), ("t", 2.0), ("m", 3.0), ("m", 3.0), ("m", 5.0), ("m", 5.0)], "g string, x double")
     assert {r["g"]: r["value"] for r in O.mode(df, "x", ["g"]).collect()} == {"o": None, "t": None, "m": 3.0}
-    assert {r["g"]: r["value"] for r in O.median(df, "x", ["g"]).collect()} == {"o": 4.0, "t": 1.5, "m": 4.0}
+    assert {r["g"]: r["value"] for r in S.median(df, "x", ["g"]).collect()} == {"o": 4.0, "t": 1.5, "m": 4.0}
     assert O.ranked(df, "x", ["g"]).count() == 8
     assert O.shifted(df.filter("g = 'm'").withColumn("k", F.monotonically_increasing_id()), "x", 1, ["k"]).filter("shifted is null").count() == 1
 
