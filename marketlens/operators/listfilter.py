@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketlens.operators import ordered, selection
 
+#: Buckets for each of the n wanted values of a group.
+BUCKETS = 4
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
@@ -151,8 +155,8 @@ def beside_average(df: DataFrame, column: str, above: bool = True, keys: Sequenc
 def top_n(df: DataFrame, column: str, n: int, top: bool = True, keys: Sequence[str] = ()) -> DataFrame:
     """Rows at or beyond the n-th value, ties kept.
 
-    Zeros and blanks are left out when the n-th value is taken. Per group the row
-    numbers are limited before the shuffle, so no group reaches one task whole.
+    Zeros and blanks are left out when the n-th value is taken. No group reaches one task
+    whole: over all rows a task keeps its n best, per group see ``group_edges``.
     """
     n = max(1, n)
     x = F.col(column)
@@ -167,10 +171,22 @@ def top_n(df: DataFrame, column: str, n: int, top: bool = True, keys: Sequence[s
 
 
 def group_edges(valued: DataFrame, column: str, n: int, top: bool, keys: Sequence[str]) -> DataFrame:
-    """The n-th value of every group as ``_edge``; only n rows of a task's group are shuffled."""
-    w = Window.partitionBy(*keys).orderBy(F.col(column).desc() if top else F.col(column).asc())
-    numbered = valued.select(*keys, column).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
-    return numbered.groupBy(*keys).agg((F.min if top else F.max)(column).alias("_edge"))
+    """The n-th value of every group as ``_edge``.
+
+    The rows of a group are dealt to buckets and only the best of each is kept: the n-th
+    of these stands behind no more than the group's n-th value, so few rows beyond it are
+    left to be counted. No row is sorted.
+    """
+    x, best = F.col(column), F.max if top else F.min
+    rows = valued.select(*keys, column)
+    bucket = F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS * n))
+    bests = rows.groupBy(*keys, bucket.alias("_bucket")).agg(best(column).alias("_best"))
+    safe = bests.groupBy(*keys).agg(F.get(F.sort_array(F.collect_list("_best"), asc=not top), F.lit(n - 1)).alias("_safe"))
+    beyond = (x >= F.col("_safe") if top else x <= F.col("_safe")) | F.col("_safe").isNull()
+    counted = ordered.beside(rows, safe, keys).filter(beyond).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy(x.desc() if top else x.asc()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = counted.withColumn("_upto", F.sum("_n").over(upto)).filter(F.col("_upto") - F.col("_n") < n)
+    return reached.groupBy(*keys).agg((F.min if top else F.max)(column).alias("_edge"))
 
 
 def top_percent(df: DataFrame, column: str, percent: float, top: bool = True) -> DataFrame:

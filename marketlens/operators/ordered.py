@@ -27,15 +27,22 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def few_or_written(figures: DataFrame, name: str = "figures") -> tuple[DataFrame, bool]:
+    """Figures computed once: up to FEW_GROUPS rows are held by the driver and may be sent to all tasks, more are a written table."""
+    rows = figures.limit(FEW_GROUPS + 1).collect()
+    if len(rows) <= FEW_GROUPS:
+        return figures.sparkSession.createDataFrame(rows, figures.schema), True
+    return scratch_table(figures, name), False
+
+
 def beside(df: DataFrame, figures: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with the figures of their group; rows of groups without figures are dropped.
 
-    Groups are counted first: up to FEW_GROUPS rows of figures are sent to the rows, so
-    a few large groups need no shuffle of the rows. More groups are joined on the keys,
-    where adaptive execution splits the large ones.
+    Up to FEW_GROUPS rows of figures are sent to the rows, so a few large groups need no
+    shuffle of the rows. More groups are joined on the keys, where adaptive execution
+    splits the large ones.
     """
-    figures = scratch_table(figures, "figures")
-    few = figures.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    figures, few = few_or_written(figures)
     return join_keys(df, F.broadcast(figures) if few else figures, keys)
 
 

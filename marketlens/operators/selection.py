@@ -61,10 +61,10 @@ class _State:
 
     def __init__(self, rows: DataFrame, keys: Sequence[str], wanted: int, column: str):
         self.keys, self.wanted, self.column = list(keys), wanted, column
-        spark, kept = rows.sparkSession, rows.limit(FEW_GROUPS + 1).collect()
+        kept = rows.limit(FEW_GROUPS + 1).collect()
         #: Few groups are held here and sent to the rows, more are a written table.
         self.held = kept if len(kept) <= FEW_GROUPS else None
-        self.frame = spark.createDataFrame(kept, rows.schema) if self.held is not None else scratch_table(rows, "places")
+        self.frame = rows.sparkSession.createDataFrame(kept, rows.schema) if self.held is not None else scratch_table(rows, "places")
 
     def beside(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         if not self.keys:

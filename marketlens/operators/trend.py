@@ -91,13 +91,9 @@ def invert(kind: str, slope: Column, intercept: Column, y: Column) -> Column:
     }[kind]()
 
 
-def _kinds(y: Column, x: Column, const: bool) -> list[Column]:
-    return [F.struct(F.lit(k).alias("kind"), *[c.alias(n) for n, c in fit_columns(k, y, x, const).items()]).alias(k) for k in KINDS]
-
-
 def all_fits(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), const: bool = True) -> DataFrame:
     """Every kind of fit in one pass, one row per group and kind."""
-    wide = df.groupBy(*keys).agg(*_kinds(F.col(y), F.col(x), const))
+    wide = df.groupBy(*keys).agg(*[F.struct(F.lit(k).alias("kind"), *[c.alias(n) for n, c in fit_columns(k, F.col(y), F.col(x), const).items()]).alias(k) for k in KINDS])
     return wide.select(*keys, F.explode(F.array(*KINDS)).alias("f")).select(*keys, "f.*")
 
 
@@ -110,9 +106,9 @@ def best_fit(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), orders: Se
     if not orders:
         fits = all_fits(df, y, x, keys, const).select(*keys, "kind", F.array("intercept", "slope").alias("coefficients"), "r2")
     else:
-        sums = _sums(df, y, x, max(orders), keys, _kinds(F.col(y), F.col(x), const))
+        sums = _sums(df, y, x, max(orders), keys, lines=True)
         total = "_syy" if const else "_square"
-        lines = F.transform(F.array(*KINDS), lambda f: F.struct(f["kind"].alias("kind"), F.array(f["intercept"], f["slope"]).alias("coefficients"), f["r2"].alias("r2")))
+        lines = F.array(*[_line(kind, const) for kind in KINDS])
         curves = F.transform(_curves(orders, total), lambda c: F.struct(F.concat(F.lit("polynomial_"), c["order"].cast("string")).alias("kind"), c["coefficients"].alias("coefficients"), c["r2"].alias("r2")))
         fits = sums.select(*keys, F.inline(F.concat(lines, curves)))
     best = fits.filter(F.col("r2").isNotNull()).groupBy(*keys).agg(F.max_by(F.struct("kind", "coefficients", "r2"), "r2").alias("_b"))
@@ -129,10 +125,19 @@ def fit_statistics(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> D
 
 @pandas_udf(ArrayType(ArrayType(DoubleType())))
 def _solve(orders: pd.Series, sums: pd.Series, products: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    """For every order: the explained sum of squares and the ascending coefficients; empty where there is no fit."""
+    """For every order: the explained sum of squares and the ascending coefficients; empty where there is no fit.
+
+    Sums of powers become sums of Chebyshev polynomials, of which the product of two is the
+    mean of two others, so they give the matrix of every order.
+    """
     out = []
     for wanted, s, p, a, b in zip(orders, sums, products, low, high):
-        found, s, p = [], np.asarray(s, dtype=float), np.asarray(p, dtype=float)
+        top = len(p) - 1
+        basis = np.zeros((2 * top + 1, 2 * top + 1))
+        for k in range(2 * top + 1):
+            powers = np.polynomial.chebyshev.cheb2poly(np.eye(2 * top + 1)[k])
+            basis[k, : len(powers)] = powers
+        found, s, p = [], basis @ np.asarray(s, dtype=float), basis[: top + 1, : top + 1] @ np.asarray(p, dtype=float)
         for k in wanted:
             at = np.arange(k + 1)
             matrix = (s[at[:, None] + at] + s[np.abs(at[:, None] - at)]) / 2  # of products of two basis polynomials
@@ -140,39 +145,60 @@ def _solve(orders: pd.Series, sums: pd.Series, products: pd.Series, low: pd.Seri
                 found.append([])
                 continue
             c = np.linalg.solve(matrix, p[: k + 1])
-            powers = np.polynomial.Chebyshev(c, domain=[a, b]).convert(kind=np.polynomial.Polynomial).coef
-            found.append([float(c @ p[: k + 1]), *np.pad(powers, (0, k + 1 - len(powers)))])
+            curve = np.polynomial.Chebyshev(c, domain=[a, b]).convert(kind=np.polynomial.Polynomial).coef
+            found.append([float(c @ p[: k + 1]), *np.pad(curve, (0, k + 1 - len(curve)))])
         out.append(found)
     return pd.Series(out)
 
 
-def _chebyshev(angle: Column, degree: int) -> list[Column]:
-    """Polynomials in the cosine of the angle that stay between -1 and 1; the product of two is the mean of two others."""
-    return [F.cos(F.lit(i) * angle) for i in range(degree + 1)]
+#: Scales of x and y that lines are fitted on.
+_X, _Y = {False: "x", True: "lx"}, {False: "y", True: "ly"}
 
 
-def _sums(df: DataFrame, y: str, x: str, order: int, keys: Sequence[str], others: Sequence[Column] = ()) -> DataFrame:
-    """Per group, what polynomials up to ``order`` need and the ``others``, in one pass over the rows.
+def _sums(df: DataFrame, y: str, x: str, order: int, keys: Sequence[str], lines: bool = False) -> DataFrame:
+    """Per group, the sums that polynomials up to ``order`` need, and those of the ``lines``, in one pass over the rows.
 
-    An earlier pass takes the range of x and the mean of y, so that x is mapped to -1..1.
+    An earlier pass takes means and ranges, so that x is mapped to -1..1 for its powers and
+    the sums of products are those of deviations.
     """
     paired = F.col(x).isNotNull() & F.col(y).isNotNull()
-    x_, y_ = F.when(paired, F.col(x).cast("double")), F.when(paired, F.col(y).cast("double"))
-    figures = F.struct(F.min(x_).alias("low"), F.max(x_).alias("high"), F.avg(y_).alias("mean"))
-    needed = df.select(*dict.fromkeys([*keys, x, y]))
-    if keys:
-        rows = beside(needed, needed.groupBy(*keys).agg(figures.alias("_s")), keys)
-    else:
-        rows = needed.withColumn("_s", needed.agg(figures).scalar())
-    low, high = F.col("_s.low"), F.col("_s.high")
-    u = F.try_divide(2 * x_ - low - high, high - low)
-    u = F.when(u > 1, 1.0).when(u < -1, -1.0).otherwise(u)
-    rows = rows.withColumns({"_angle": F.acos(u), "_c": y_ - F.col("_s.mean")})
-    basis = _chebyshev(F.col("_angle"), 2 * order)
-    return rows.groupBy(*keys).agg(
-        F.array(*[F.sum(t) for t in basis]).alias("_m"), F.array(*[F.sum(F.col("_c") * t) for t in basis[: order + 1]]).alias("_p"),
-        F.sum(F.col("_c") * F.col("_c")).alias("_syy"), F.sum(y_ * y_).alias("_square"), F.count(y_).alias("_n"), F.max(F.col("_s")).alias("_s"), *others,
+    rows = df.filter(paired).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    names = ("x", "lx", "y", "ly") if lines else ("y",)
+    if lines:
+        rows = rows.withColumns({"_lx": signed_log(F.col("_x")), "_ly": signed_log(F.col("_y"))})
+    figures = F.struct(F.min("_x").alias("low"), F.max("_x").alias("high"), F.min("_y").alias("least"), F.max("_y").alias("most"), *[F.avg(f"_{c}").alias(c) for c in names])
+    rows = beside(rows, rows.groupBy(*keys).agg(figures.alias("_s")), keys) if keys else rows.withColumn("_s", rows.agg(figures).scalar())
+    share = F.try_divide(2 * F.col("_x") - F.col("_s.low") - F.col("_s.high"), F.col("_s.high") - F.col("_s.low"))
+    rows = rows.select(*keys, "_s", share.alias("_u"), *[(F.col(f"_{c}") - F.col(f"_s.{c}")).alias(f"_{c}") for c in names])
+    powers = [F.lit(1.0)]
+    for k in range(1, 2 * order + 1):  # each from two lower ones that are columns already
+        rows = rows.withColumn(f"_u{k}", F.col("_u") if k == 1 else F.col(f"_u{k // 2}") * F.col(f"_u{k - k // 2}"))
+        powers.append(F.col(f"_u{k}"))
+    pairs = ["y_y", *(["x_x", "lx_lx", "ly_ly", "x_y", "lx_y", "x_ly", "lx_ly"] if lines else [])]
+    sums = rows.groupBy(*keys).agg(
+        *[F.sum(p).alias(f"_m{k}") for k, p in enumerate(powers)], *[F.sum(F.col("_y") * p).alias(f"_p{k}") for k, p in enumerate(powers[: order + 1])],
+        *[F.sum(F.col(f"_{p.split('_')[0]}") * F.col(f"_{p.split('_')[1]}")).alias(f"_{p}") for p in pairs], F.count(F.lit(1)).alias("_n"), F.struct(*[F.max(f"_s.{c}").alias(c) for c in ("low", "high", "least", "most", *names)]).alias("_s"),
     )
+    arrays = {"_m": F.array(*[f"_m{k}" for k in range(2 * order + 1)]), "_p": F.array(*[f"_p{k}" for k in range(order + 1)])}
+    return sums.withColumns(arrays | {"_syy": F.col("_y_y"), "_square": F.col("_y_y") + F.col("_n") * F.col("_s.y") * F.col("_s.y")})
+
+
+def _line(kind: str, const: bool) -> Column:
+    """Kind, intercept and slope, and r2 of a line, from the sums of deviations."""
+    u, v = _X[kind in ("logarithmic", "power")], _Y[kind in ("exponential", "power")]
+    mu, mv, n = F.col(f"_s.{u}"), F.col(f"_s.{v}"), F.col("_n")
+    suu, svv, suv = F.col(f"_{u}_{u}"), F.col(f"_{v}_{v}"), F.col(f"_{u}_{v}")
+    if const:
+        slope = F.when(F.col("_s.low") < F.col("_s.high"), F.try_divide(suv, suu))
+        intercept = mv - slope * mu
+        r2 = F.when(F.col("_s.least") == F.col("_s.most"), F.when(slope.isNotNull(), 1.0)).otherwise(F.try_divide(slope * suv, svv))
+    else:
+        suu, svv, suv = suu + n * mu * mu, svv + n * mv * mv, suv + n * mu * mv
+        slope = F.try_divide(suv, suu)
+        intercept, r2 = F.when(slope.isNotNull(), 0.0), F.try_divide(suv * suv, suu * svv)
+    slope = F.exp(slope) if kind == "exponential" else slope
+    intercept = F.exp(intercept) if kind in ("exponential", "power") else intercept
+    return F.struct(F.lit(kind).alias("kind"), F.array(intercept, slope).alias("coefficients"), r2.alias("r2"))
 
 
 def _curves(orders: Sequence[int], total: str = "_syy") -> Column:
@@ -182,7 +208,7 @@ def _curves(orders: Sequence[int], total: str = "_syy") -> Column:
     wanted = F.array(*[F.lit(k) for k in sorted(set(orders))])
     solved = F.arrays_zip(wanted.alias("order"), _solve(wanted, "_m", "_p", F.col("_s.low"), F.col("_s.high")).alias("solved"))
     able = F.filter(solved, lambda f: (F.size(f["solved"]) > 0) & (f["order"] < F.col("_n")))
-    mean = F.col("_s.mean")
+    mean = F.col("_s.y")
     rest = F.col("_syy") if total == "_syy" else F.col("_square")
     return F.transform(able, lambda f: F.struct(
         f["order"].alias("order"),
@@ -194,9 +220,9 @@ def _curves(orders: Sequence[int], total: str = "_syy") -> Column:
 def polynomials(df: DataFrame, y: str, x: str, orders: Sequence[int] = ORDERS, keys: Sequence[str] = ()) -> DataFrame:
     """Polynomial fits of all the orders: ``order``, ascending coefficients and r2, a row for each group and order.
 
-    Two passes whatever the orders: the range of x, then sums of Chebyshev polynomials up
-    to twice the highest order, whose products give the matrix of every order. Only the
-    small systems of each group are solved in Python. A group whose points or distinct x
+    Two passes whatever the orders: the range of x, then sums of its powers up to twice the
+    highest order, which hold the matrix of every order. Only the small systems of each
+    group are solved in Python. A group whose points or distinct x
     are too few has no fit of that order.
     """
     return _sums(df, y, x, max(orders), keys).select(*keys, F.inline(_curves(orders)))

@@ -87,6 +87,20 @@ def test_cash_flows(spark):
     assert {r["id"]: r["npv"] for r in C.npv(flows, ["id"], "p", "v", 0.1).collect()}[1] == pytest.approx(-1000 / 1.1 + 600 / 1.21 + 600 / 1.331)
 
 
+@pytest.mark.parametrize("top", [True, False])
+def test_nth_value_of_groups(spark, top):
+    random.seed(9)
+    groups = {"a": [float(random.randrange(400)) for _ in range(3000)], "same": [2.0] * 900, "few": [1.0, 5.0, 3.0], None: [0.0, 0.0, 4.0, 9.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("a", None), ("blank", None)]
+    frame = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for n in (1, 3, 40):
+        want = []
+        for g, xs in groups.items():
+            edge = sorted((x for x in xs if x), reverse=top)[: n][-1]
+            want += [(g, x) for x in xs if (x >= edge if top else x <= edge)]
+        assert sorted(map(tuple, L.top_n(frame, "x", n, top, ["g"]).collect()), key=str) == sorted(want, key=str)
+
+
 def test_polynomial_matches_numpy(spark):
     random.seed(2)
     xs = [float(i) for i in range(40)]

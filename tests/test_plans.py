@@ -32,8 +32,12 @@ def test_no_pair_wise_joins_and_no_python_rows(spark):
 
 def test_top_rows_are_limited_before_the_shuffle(spark):
     assert "TakeOrderedAndProject" in plan(spark, "cat_1_visible_newest")
-    edges = listfilter.group_edges(spark.read.parquet(f"{FOLDER}/lineitem.parquet"), "l_extendedprice", 10, True, ["l_returnflag"])
-    assert "WindowGroupLimit" in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_edges_sort_no_rows(spark):
+    rows = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    text = listfilter.group_edges(rows, "l_extendedprice", 10, True, ["l_returnflag"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Sort [") == 1 and "WindowGroupLimit" not in text  # of the counted values
 
 
 def test_group_figures_need_no_shuffle_of_the_rows(spark):
