@@ -36,7 +36,7 @@ def audience_trades(d: Deal) -> DataFrame:
         F.col("id").alias("product_id"), "product_name", "display_rate", G.term_days("due_date", "inception_date").alias("invest_days")
     )
     people = d.audience.groupBy("member_no").agg(F.count(F.lit(1)).alias("_times"))
-    return salted_join(rows.join(named, "product_id"), people, ["member_no"], ["business_order_item_no"])
+    return salted_join(rows.join(named, "product_id"), people, ["member_no"], ["business_order_item_no"], counted=rows)
 
 
 def product_trades(d: Deal, trades: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Effect report of a coupon campaign.
 
-The row-level join of issues, trades, uses, coupons and rules is computed once, reduced
-to a member-day table (``MemberDays``) and written to scratch tables; every level of
-the report - per coupon and day, per coupon, grand total - is an aggregation of that
-much smaller table. The fact tables are read once per report.
+The row-level join of issues, trades, uses, coupons and rules is computed once and reduced
+to a table of coupons, members and days. All levels of the report - per coupon and day,
+per coupon, grand total - come from one aggregate by grouping sets over that much smaller
+table, first per member and then over the members, so that people are counted once in
+every level. The fact tables are read once per report.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marketlens.functions import figures as G
 from marketlens.functions import predicates as P
@@ -72,7 +73,7 @@ def recipient_trades(c: Campaign, given: DataFrame | None = None) -> DataFrame:
     rows = t.join(p, "product_id").join(used, "business_order_item_no", "left")
     first = given.select("member_no", F.col("activity_coupon_id").alias("issue_coupon_id"), "create_time")
     joined = salted_join(
-        rows, first, ["member_no"], ["business_order_item_no"], condition=F.col("trans_time") >= F.col("create_time")
+        rows, first, ["member_no"], ["business_order_item_no"], condition=F.col("trans_time") >= F.col("create_time"), counted=t
     )
     days = G.term_days("due_date", "inception_date")
     return joined.select(
@@ -87,18 +88,15 @@ def recipient_trades(c: Campaign, given: DataFrame | None = None) -> DataFrame:
     )
 
 
-@dataclass
-class MemberDays:
-    """Reduced trades: per coupon, member and day; and per member and day without repeats."""
-
-    coupon_days: DataFrame
-    spend_days: DataFrame
+def member_days(trades: DataFrame) -> DataFrame:
+    """Trades per coupon, member and day, beside all that the member spent that day.
 
-
-def member_days(trades: DataFrame) -> MemberDays:
+    ``spend`` and ``spend_n`` leave out repeats of a trade under several coupons. ``first``
+    marks one row of every member and day, a coupon-paid one if there is any.
+    """
     rows = trades.filter(F.col("fund_trans_type") == FIXED_TERM)
     paid = (F.col("is_coupon_trans") == 1) & (F.col("coupon_trans_eq_issue") == 1)
-    # One pass over the joined trades feeds both tables.
+    # One pass over the joined trades feeds both parts.
     base = rows.groupBy("member_no", "trans_time", "fund_trans_amount", "issue_coupon_id").agg(
         N().alias("n"), F.count_if(paid).alias("paid_n"),
         F.sum(F.when(paid, F.col("deduction_amt"))).alias("deduction"),
@@ -117,7 +115,10 @@ def member_days(trades: DataFrame) -> MemberDays:
         base.select("member_no", "trans_time", "fund_trans_amount").distinct()
         .groupBy("member_no", day).agg(F.sum("fund_trans_amount").alias("spend"), N().alias("spend_n"))
     )
-    return MemberDays(scratch_table(coupon_days, "coupon-days"), scratch_table(spend_days, "spend-days"))
+    # at most one row for each coupon of the campaign
+    of_day = Window.partitionBy("member_no", "trans_date").orderBy(F.desc(F.col("paid_n") > 0), "activity_coupon_id")
+    rows = coupon_days.join(spend_days, ["member_no", "trans_date"]).withColumn("first", F.row_number().over(of_day) == 1)
+    return scratch_table(rows, "member-days")
 
 
 def issue_totals(given: DataFrame) -> DataFrame:
@@ -138,78 +139,87 @@ def _paid_figures():
     )
 
 
-def investment(days: MemberDays) -> DataFrame:
+def investment(days: DataFrame) -> DataFrame:
     """Invested amount and people per coupon and day."""
-    return days.coupon_days.groupBy("activity_coupon_id", "trans_date").agg(*_invested())
+    return days.groupBy("activity_coupon_id", "trans_date").agg(*_invested())
 
 
-def paid_investment(days: MemberDays) -> DataFrame:
+def paid_investment(days: DataFrame) -> DataFrame:
     """Coupon-paid figures per coupon and day."""
-    paid = days.coupon_days.filter(F.col("paid_n") > 0)
+    paid = days.filter(F.col("paid_n") > 0)
     return paid.groupBy("activity_coupon_id", "trans_date").agg(*_paid_figures())
 
 
-def coupon_user_spend(days: MemberDays) -> DataFrame:
+def coupon_user_spend(days: DataFrame) -> DataFrame:
     """All spend of coupon users on the day they paid with a coupon, per coupon and day."""
-    return _user_days(days).groupBy("activity_coupon_id", "trans_date").agg(
+    return days.filter(F.col("paid_n") > 0).groupBy("activity_coupon_id", "trans_date").agg(
         F.sum("spend_n").alias("coupon_trans_cnt_all"), F.count_distinct("member_no").alias("coupon_trans_user_cnt_all"),
         F.sum("spend").alias("coupon_trans_amt_all"),
     )
 
 
-def _user_days(days: MemberDays) -> DataFrame:
-    users = days.coupon_days.filter(F.col("paid_n") > 0).select("activity_coupon_id", "member_no", "trans_date")
-    return users.join(days.spend_days, ["member_no", "trans_date"])
-
-
 FIGURES = (
     "issue_cnt", "issue_user_cnt", "trans_amt", "trans_user_cnt", "coupon_trans_amt", "coupon_trans_user_cnt",
     "coupon_trans_cnt", "coupon_deduction_amt", "coupon_add_rate_amt", "coupon_trans_amt_all",
 )
+#: Levels: per coupon and day, per coupon, over all.
+COUPON_DAY, COUPON, ALL = 0, 1, 3
 
 
-def per_coupon_day(given: DataFrame, days: MemberDays) -> DataFrame:
-    """A coupon without trades keeps one row with a null day."""
-    keys = ["activity_coupon_id", "trans_date"]
-    rows = issue_totals(given).join(investment(days), "activity_coupon_id", "left")
-    rows = rows.join(paid_investment(days), keys, "left")
-    rows = rows.join(coupon_user_spend(days).select(*keys, "coupon_trans_amt_all"), keys, "left")
-    return rows.select(
-        F.col("activity_coupon_id").cast("string").alias("activity_coupon_id"),
-        F.col("trans_date").cast("string").alias("trans_date"), *FIGURES,
-    )
+def levels(given: DataFrame, days: DataFrame, only: Sequence[int] = (COUPON_DAY, COUPON, ALL)) -> DataFrame:
+    """The levels stacked; keys are text in every level, a coupon without trades keeps one row with a null day.
 
+    Issues and trades are rows of one table. It is summed per member in each level, and
+    then over the members, which counts people once whatever their coupons and days.
+    """
+    paid = F.col("paid_n") > 0
+    trades = days.select(
+        "activity_coupon_id", "trans_date", "member_no", "amt", "paid_n", "paid_amt", "deduction", "add_rate",
+        F.when(paid, F.col("spend")).alias("user_spend"), F.when(F.col("first"), F.col("spend")).alias("whole_spend"),
+        F.when(F.col("first") & paid, F.col("spend")).alias("whole_user_spend"), F.lit(True).alias("traded"),
+    )
+    rows = trades.unionByName(given.select("activity_coupon_id", "member_no", F.col("cnt").alias("issued")), allowMissingColumns=True)
+    nobody = given.sparkSession.range(1).select(F.lit(None).cast(given.schema["member_no"].dataType).alias("member_no"))
+    rows = rows.unionByName(nobody, allowMissingColumns=True)  # so that the level over all always has its row
+    key, day, member = F.col("activity_coupon_id"), F.col("trans_date"), F.col("member_no")
+    sums = ("issued", "amt", "paid_n", "paid_amt", "deduction", "add_rate", "user_spend", "whole_spend", "whole_user_spend")
+    each = rows.groupingSets([[key, day, member], [key, member], [member]], key, day, member).agg(
+        (2 * F.grouping(key) + F.grouping(day)).cast("int").alias("_level"), F.max("traded").alias("traded"), *[F.sum(c).alias(c) for c in sums])
+    whole = F.col("_level") == ALL
+    people = lambda test: F.count_if(test)
+    summed = each.groupBy("_level", key, day).agg(
+        F.sum("issued").alias("issue_cnt"), people(F.col("issued").isNotNull()).alias("issue_user_cnt"), F.sum("amt").alias("amt"), people(F.col("traded")).alias("people"),
+        F.sum("paid_amt").alias("coupon_trans_amt"), people(paid).alias("payers"), F.sum("paid_n").alias("paid_n"), F.sum("deduction").alias("coupon_deduction_amt"),
+        F.sum("add_rate").alias("coupon_add_rate_amt"), *[F.sum(c).alias(c) for c in sums[6:]],
+    )
+    # a few rows for each coupon: its issues go to its days, and its row without a day goes where it has days
+    of_coupon = Window.partitionBy(key, F.col("_level") == ALL)
+    beside = lambda c: F.max(F.when(F.col("_level") == COUPON, F.col(c))).over(of_coupon)
+    placed = summed.withColumns({"_issue_cnt": beside("issue_cnt"), "_issue_user_cnt": beside("issue_user_cnt"), "_people": beside("people")})
+    placed = placed.filter(F.col("_level").isin(*only) & (whole | key.isNotNull()) & ~((F.col("_level") == COUPON_DAY) & day.isNull() & (F.col("_people") > 0)))
+    some = lambda c, n: F.when(whole | (F.col(n) > 0), F.col(c))
+    return placed.select(
+        F.when(whole, TOTAL).otherwise(key.cast("string")).alias("activity_coupon_id"), F.when(F.col("_level") == COUPON_DAY, day.cast("string")).otherwise(TOTAL).alias("trans_date"),
+        F.when(whole, F.col("issue_cnt")).otherwise(F.col("_issue_cnt")).alias("issue_cnt"), F.when(whole, F.col("issue_user_cnt")).otherwise(F.col("_issue_user_cnt")).alias("issue_user_cnt"),
+        F.when(whole, F.col("whole_spend")).otherwise(F.col("amt")).alias("trans_amt"), some("people", "people").alias("trans_user_cnt"),
+        "coupon_trans_amt", some("payers", "payers").alias("coupon_trans_user_cnt"), some("paid_n", "payers").alias("coupon_trans_cnt"), "coupon_deduction_amt", "coupon_add_rate_amt",
+        F.when(whole, F.col("whole_user_spend")).otherwise(F.col("user_spend")).alias("coupon_trans_amt_all"),
+    )
 
-def per_coupon(given: DataFrame, days: MemberDays) -> DataFrame:
-    """Totals over all days, recomputed: distinct people do not add up over days."""
-    key = "activity_coupon_id"
-    rows = issue_totals(given).join(days.coupon_days.groupBy(key).agg(*_invested()), key, "left")
-    rows = rows.join(days.coupon_days.filter(F.col("paid_n") > 0).groupBy(key).agg(*_paid_figures()), key, "left")
-    spend = _user_days(days).groupBy(key).agg(F.sum("spend").alias("coupon_trans_amt_all"))
-    rows = rows.join(spend, key, "left")
-    return rows.select(F.col(key).cast("string").alias(key), F.lit(TOTAL).alias("trans_date"), *FIGURES)
 
+def per_coupon_day(given: DataFrame, days: DataFrame) -> DataFrame:
+    """A coupon without trades keeps one row with a null day."""
+    return levels(given, days, [COUPON_DAY])
 
-def grand_total(given: DataFrame, days: MemberDays) -> DataFrame:
-    """One row over all coupons; repeats of one trade under several coupons are dropped first.
 
-    The four one-row parts meet as scalar subqueries, not as a join.
-    """
-    spent = days.spend_days.agg(F.struct(F.sum("spend").alias("amt"), F.count_distinct("member_no").alias("people"))).scalar()
-    paid = days.coupon_days.filter(F.col("paid_n") > 0).agg(F.struct(*_paid_figures())).scalar()
-    user_days = days.coupon_days.filter(F.col("paid_n") > 0).select("member_no", "trans_date").distinct()
-    spend = user_days.join(days.spend_days, ["member_no", "trans_date"]).agg(F.sum("spend")).scalar()
-    row = given.agg(F.sum("cnt").alias("issue_cnt"), F.count_distinct("member_no").alias("issue_user_cnt"))
-    return row.select(
-        F.lit(TOTAL).alias("activity_coupon_id"), F.lit(TOTAL).alias("trans_date"), "issue_cnt", "issue_user_cnt",
-        spent["amt"].alias("trans_amt"), spent["people"].alias("trans_user_cnt"),
-        *[paid[c].alias(c) for c in FIGURES[4:9]], spend.alias("coupon_trans_amt_all"),
-    )
+def per_coupon(given: DataFrame, days: DataFrame) -> DataFrame:
+    """Totals over all days: distinct people do not add up over days."""
+    return levels(given, days, [COUPON])
 
 
-def levels(given: DataFrame, days: MemberDays) -> DataFrame:
-    """The three levels stacked; keys are text in every level."""
-    return per_coupon_day(given, days).unionByName(per_coupon(given, days)).unionByName(grand_total(given, days))
+def grand_total(given: DataFrame, days: DataFrame) -> DataFrame:
+    """One row over all coupons; repeats of one trade under several coupons count once."""
+    return levels(given, days, [ALL])
 
 
 def market(c: Campaign) -> DataFrame:

@@ -78,3 +78,14 @@ def test_effect_report_edges(spark):
     # The trade before the first issue is out; the market total has settled states only.
     assert rows[("2", "TOTAL")]["trans_amt"] == 2500 and rows[("TOTAL", "TOTAL")]["trans_amt_all"] == 2700
     assert rows[("TOTAL", "TOTAL")]["sms_cost"] == 0.0 and rows[("TOTAL", "TOTAL")]["issue_user_cnt"] == 3
+
+
+def test_effect_report_of_nothing(spark):
+    c = campaign(spark)
+    c.issues = c.issues.limit(0)
+    rows = E.report(c).collect()
+    assert [(r["activity_coupon_id"], r["trans_date"], r["issue_cnt"], r["trans_amt"]) for r in rows] == [("TOTAL", "TOTAL", 0, 0.0)]
+    c = campaign(spark)
+    c.trades = c.trades.limit(0)
+    rows = {(r["activity_coupon_id"], r["trans_date"]): r["issue_user_cnt"] for r in E.report(c).collect()}
+    assert rows == {("1", None): 1, ("2", None): 2, ("3", None): 1, ("1", "TOTAL"): 1, ("2", "TOTAL"): 2, ("3", "TOTAL"): 1, ("TOTAL", "TOTAL"): 3}

@@ -14,7 +14,7 @@ from marketlens.operators import ordered as O
 from marketlens.operators import runs as R
 from marketlens.operators import selection as S
 from marketlens.operators import trend as T
-from marketlens.operators.joins import salted_join
+from marketlens.operators.joins import frequent_keys, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -59,10 +59,21 @@ def test_asof_matches_brute_force(spark):
         assert back[i] == (low[-1] * 10 if low else None) and ahead[i] == (high[0] * 10 if high else None)
 
 
-def test_salted_join_equals_plain_join(skewed, spark):
-    df, _ = skewed
-    side = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, n int")
-    assert sorted(salted_join(df, side, ["g"], ["i"]).select("i", "n").collect()) == sorted(df.join(side, "g").select("i", "n").collect())
+def test_salted_join_copies_frequent_keys_only(spark):
+    rows = [("hot" if i % 10 else f"m{i % 7}", i) for i in range(5000)] + [(None, 1)]  # one member holds 90%
+    facts = spark.createDataFrame(rows, "g string, i int").repartition(4)
+    side = spark.createDataFrame([("hot", 1), ("hot", 2), ("m0", 3), ("none", 4), (None, 5)], "g string, n int")
+    assert [tuple(r) for r in frequent_keys(facts, ["g"], 1000)[0].collect()] == [("hot", 5)]
+    assert frequent_keys(facts, ["g"], 5000) is None
+    plain = sorted(facts.join(side, "g").select("i", "n").collect())
+    joined = salted_join(facts, side, ["g"], ["i"], rows_per_part=1000)
+    assert sorted(joined.select("i", "n").collect()) == plain and joined.columns == ["g", "i", "n"]
+    assert sorted(salted_join(facts, side, ["g"], ["i"]).select("i", "n").collect()) == plain
+    assert "_salt" not in salted_join(facts, side, ["g"], ["i"])._jdf.queryExecution().optimizedPlan().toString()
+    kept = salted_join(facts, side, ["g"], ["i"], "left", rows_per_part=1000)
+    assert kept.count() == facts.join(side, "g", "left").count()
+    some = salted_join(facts, side, ["g"], ["i"], condition=F.col("n") < F.col("i"), rows_per_part=1000, counted=facts.select("g"))
+    assert some.count() == facts.join(side, "g").filter("n < i").count()
 
 
 def test_list_filters(spark):

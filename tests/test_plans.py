@@ -61,3 +61,14 @@ def test_all_orders_take_two_scans(spark):
     text = trend.best_fit(rows, "l_extendedprice", "l_quantity")._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") <= 2
     assert plan(spark, "trd_6_best_fit").count("Scan parquet") <= 4  # the figures of the groups are a written table, each node is listed twice
+
+
+def test_report_levels_are_one_aggregate(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = catalogue.queries()["eff_11_report"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange ") <= 16 and text.count("Expand") == 2  # the levels, and the market by day
+        assert "Join" not in catalogue.queries()["eff_9_stacked_levels"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
