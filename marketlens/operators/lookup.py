@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlens.operators.ordered import join_keys, spread
+from marketlens.operators.places import asof
 
 
 def folded(c: Column) -> Column:
@@ -20,34 +20,6 @@ def vlookup_exact(probes: DataFrame, probe: str, table: DataFrame, key: str, val
     return probes.withColumn("_key", folded(F.col(probe))).join(first, "_key", "left").drop("_key")
 
 
-def asof(
-    probes: DataFrame, probe: str, table: DataFrame, key: str, value: str, keys: Sequence[str] = (),
-    name: str = "found", forward: bool = False,
-) -> DataFrame:
-    """Adds the value of the largest key <= probe (``forward``: smallest key >= probe).
-
-    Distinct probes and distinct keys are range-partitioned together; inside a part the
-    last key seen is carried on, and each part starts with the last key of the parts
-    before it. Neither a frequent probe nor a group with most of the rows meets in one
-    task. Equal table keys keep the smallest value.
-    """
-    at = (lambda c: F.negative(F.col(c))) if forward else F.col
-    entries = table.filter(F.col(key).isNotNull()).groupBy(*keys, at(key).alias("_at")).agg(F.min(value).alias("_value"))
-    wanted = probes.filter(F.col(probe).isNotNull()).select(*keys, at(probe).alias("_at")).distinct()
-    both = entries.select(*keys, "_at", F.struct("_at", "_value").alias("_entry"), F.lit(0).alias("_side")).unionByName(
-        wanted.select(*keys, "_at", F.lit(1).alias("_side")), allowMissingColumns=True
-    )
-    parts = spread(both, keys, ["_at"], "asof")
-    ends = parts.groupBy(*keys, "_part").agg(F.max("_entry").alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*keys, "_part", F.max("_end").over(before).alias("_start"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = parts.withColumn("_seen", F.last("_entry", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
-    found = join_keys(seen, starts, [*keys, "_part"], "left")
-    found = found.select(*keys, at("_at").alias(probe), F.coalesce("_seen", "_start")["_value"].alias(name))
-    return join_keys(probes, found, [*keys, probe], "left")
-
-
 def hlookup(probes: DataFrame, probe: str, table: DataFrame, names: Sequence[str], row: Column, name: str = "found") -> DataFrame:
     """Lookup along the header: the value of the column named like the probe, in the row that ``row`` picks."""
     line = table.filter(row).select(*names).unpivot([], list(names), "_name", name)

@@ -1,9 +1,8 @@
 """Ordered statistics without single-task groups.
 
-Ranks, percent ranks and row numbers need an order over a group that may
-hold most of the rows. Here a group is spread over range partitions of its order, each
-part is totalled, and the running totals of the (few) parts are added to the running
-totals inside each part. Equal values are counted first, so a frequent value is one row.
+Row numbers and running totals need an order over a group that may hold most of the rows.
+Here a group is spread over range partitions of its order, each part is totalled, and the
+running totals of the (few) parts are added to the running totals inside each part.
 """
 
 from __future__ import annotations
@@ -78,17 +77,6 @@ def value_counts(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFr
     return df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def positions(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per group and value: ``n`` rows of it, ``before`` smaller ones, ``total`` in the group."""
-    counts = running_total(value_counts(df, column, keys), keys, [column], F.col("n"), "upto")
-    counts = counts.withColumn("before", F.col("upto") - F.col("n")).drop("upto")
-    if not keys:
-        total = df.agg(F.count(column)).scalar()
-        return counts.withColumn("total", total)
-    totals = df.groupBy(*keys).agg(F.count(column).alias("total"))
-    return join_keys(counts, totals, keys)
-
-
 def mode(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "value") -> DataFrame:
     """Most frequent value, the smallest of ties; null where no value repeats."""
     counts = value_counts(df, column, keys)
@@ -96,20 +84,6 @@ def mode(df: DataFrame, column: str, keys: Sequence[str] = (), name: str = "valu
     return best.select(*keys, F.when(F.col("_best.n") > 1, -F.col("_best.neg")).alias(name))
 
 
-def ranked(df: DataFrame, column: str, keys: Sequence[str] = (), descending: bool = True, name: str = "rank") -> DataFrame:
-    """Rank of every row; ties share the first place, rows without a value have none."""
-    places = positions(df, column, keys)
-    place = F.col("total") - F.col("before") - F.col("n") + 1 if descending else F.col("before") + 1
-    return join_keys(df, places.select(*keys, column, place.alias(name)), [*keys, column], "left")
-
-
-def percent_ranked(df: DataFrame, column: str, keys: Sequence[str] = (), digits: int = 3, name: str = "percent_rank") -> DataFrame:
-    """First place / (n - 1) of every row, rounded."""
-    places = positions(df, column, keys)
-    share = F.round(F.try_divide(F.col("before").cast("double"), F.col("total") - 1), digits)
-    return join_keys(df, places.select(*keys, column, share.alias(name)), [*keys, column], "left")
-
-
 def percent_rank_of(df: DataFrame, column: str, probe: float, keys: Sequence[str] = (), digits: int = 3, name: str = "percent_rank") -> DataFrame:
     """Percent rank of one probe value, interpolated between its neighbours; null outside the values.
 
@@ -143,10 +117,3 @@ def mean_deviation(df: DataFrame, column: str, keys: Sequence[str] = (), name: s
     means = df.groupBy(*keys).agg(F.avg(column).alias("_mean"))
     rows = beside(df.select(*keys, column), means, keys)
     return rows.groupBy(*keys).agg(F.avg(F.abs(F.col(column) - F.col("_mean"))).alias(name))
-
-
-def shifted(df: DataFrame, column: str, rows: int, order: Sequence[str], keys: Sequence[str] = (), name: str = "shifted") -> DataFrame:
-    """Value ``rows`` places further (negative: earlier) in the order; null beyond the ends."""
-    placed = scratch_table(numbered(df, order, keys, "_at"), "numbered")
-    other = placed.select(*keys, (F.col("_at") - rows).alias("_at"), F.col(column).alias(name))
-    return join_keys(placed, other, [*keys, "_at"], "left").drop("_at")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import lookup as L
 from marketlens.operators import ordered as O
+from marketlens.operators import places as P
 from marketlens.registry import query
 
 
@@ -19,7 +20,7 @@ from marketlens.registry import query
 def _(t):
     probes = t.part.select("p_partkey", F.upper("p_name").alias("name"), (F.col("p_retailprice") * 100).alias("price"))
     rows = L.vlookup_exact(probes, "name", t.part, "p_name", "p_brand", "p_partkey", "exact")
-    rows = L.asof(rows, "price", t.orders, "o_totalprice", "o_orderkey", name="approximate")
+    rows = P.asof(rows, "price", t.orders, "o_totalprice", "o_orderkey", name="approximate")
     return rows.select("p_partkey", "exact", "approximate")
 
 
@@ -42,7 +43,7 @@ def _(t):
 )
 def _(t):
     probes = t.events.select("event_id", F.col("user_id").alias("o_custkey"), (F.col("ts") - F.expr("interval 9500 days")).alias("at"))
-    return L.asof(probes, "at", t.orders, "o_orderdate", "o_orderkey", ["o_custkey"], "last_order").select("event_id", "last_order")
+    return P.asof(probes, "at", t.orders, "o_orderdate", "o_orderkey", ["o_custkey"], "last_order").select("event_id", "last_order")
 
 
 @query(
@@ -93,8 +94,8 @@ def _(t):
 )
 def _(t):
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
-    rows = O.shifted(rows, "o_totalprice", -1, ["o_orderdate", "o_orderkey"], ["o_orderstatus"], "earlier")
-    return O.shifted(rows, "o_totalprice", 2, ["o_orderdate", "o_orderkey"], name="later").select("o_orderkey", "earlier", "later")
+    rows = P.shifted(rows, "o_totalprice", -1, ["o_orderdate", "o_orderkey"], ["o_orderstatus"], "earlier")
+    return P.shifted(rows, "o_totalprice", 2, ["o_orderdate", "o_orderkey"], name="later").select("o_orderkey", "earlier", "later")
 
 
 @query(

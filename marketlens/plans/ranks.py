@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.operators import ordered as O
+from marketlens.operators import places as P
 from marketlens.registry import query
 
 
@@ -14,8 +15,8 @@ from marketlens.registry import query
 )
 def _(t):
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
-    rows = O.ranked(rows, "o_orderdate", name="rank_all")
-    rows = O.ranked(rows, "o_orderdate", ["o_orderstatus"], descending=False, name="rank_in_status")
+    rows = P.ranked(rows, "o_orderdate", name="rank_all")
+    rows = P.ranked(rows, "o_orderdate", ["o_orderstatus"], descending=False, name="rank_in_status")
     return rows.select("o_orderkey", "rank_all", "rank_in_status")
 
 
@@ -30,7 +31,7 @@ def _(t):
 def _(t):
     rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
     probe = O.percent_rank_of(rows, "o_totalprice", 250000.5, ["o_orderstatus"], name="probe_rank")
-    placed = O.percent_ranked(rows, "o_totalprice", ["o_orderstatus"])
+    placed = P.percent_ranked(rows, "o_totalprice", ["o_orderstatus"])
     return placed.join(probe, "o_orderstatus").select("o_orderkey", "percent_rank", "probe_rank")
 
 
