@@ -35,45 +35,42 @@ def _before(parts: DataFrame, keys: Sequence[str], **figures: Column) -> DataFra
 
 
 def _smaller(df: DataFrame, column: str, keys: Sequence[str], descending: bool = False) -> DataFrame:
-    """Rows with a value, and ``_smaller``: the rows of their group that come before all of this value."""
+    """``_smaller``: the rows of the group that come before all rows of this value; null without a value."""
     x, on = F.col(column), [*keys, "_part"]
-    order = x.desc() if descending else x.asc()
-    parts = in_ranges(df.filter(x.isNotNull()), keys, [order], "ranges")
-    first, last = (F.max, F.min) if descending else (F.min, F.max)
-    ends = scratch_table(parts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), first(column).alias("_first"), last(column).alias("_last")), "range-ends")
-    offsets = _before(ends, keys, _offset=F.sum("_n"))
+    order = x.desc_nulls_last() if descending else x.asc_nulls_last()
+    dealt = df.repartitionByRange(*keys, order, F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    inside = F.rank().over(Window.partitionBy(*on).orderBy(order)) - 1
+    parts = scratch_table(dealt.withColumn("_inside", inside), "ranges")
 
-    # values that are cut by the end of a range: what comes before the first of their rows
+    first, last = (F.max, F.min) if descending else (F.min, F.max)
+    ends = parts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), first(column).alias("_first"), last(column).alias("_last"), F.max(F.when(x.isNotNull(), F.col("_inside"))).alias("_of_last"))
     earlier = Window.partitionBy(*keys).orderBy("_part")
-    cut = ends.withColumn("_previous", F.lag("_last").over(earlier)).filter(F.col("_first") == F.col("_previous")).select(*keys, F.col("_first").alias("_value")).distinct()
-    of_cut = join_keys(parts.select(*on, x.alias("_value")), F.broadcast(cut), [*keys, "_value"]).groupBy(*keys, "_value", "_part").agg(F.count(F.lit(1)).alias("_equal"))
-    start = of_cut.groupBy(*keys, "_value").agg(F.min_by(F.struct("_part", "_equal"), "_part").alias("_s")).select(*keys, "_value", "_s.*")
-    start = join_keys(join_keys(start, ends.select(*on, "_n"), on), offsets, on, "left")
-    cut_before = start.select(*keys, F.col("_value").alias(column), (F.coalesce("_offset", F.lit(0)) + F.col("_n") - F.col("_equal")).alias("_cut"))
-
-    inside = F.rank().over(Window.partitionBy(*on).orderBy(order)) - 1
-    rows = parts.withColumn("_inside", inside)
-    rows = join_keys(rows, F.broadcast(offsets), on, "left")
-    rows = join_keys(rows, F.broadcast(cut_before), [*keys, column], "left")
-    before = F.coalesce("_cut", F.col("_inside") + F.coalesce("_offset", F.lit(0)))
-    return rows.withColumn("_smaller", before.cast("bigint")).drop("_part", "_inside", "_offset", "_cut")
+    offset = F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumn("_offset", offset)
+    # a value that the end of a range cuts: what comes before the first of its rows
+    ends = ends.withColumn("_start", F.min(F.col("_offset") + F.col("_of_last")).over(Window.partitionBy(*keys, "_last")))
+    cut = F.when(F.col("_first") == F.lag("_last").over(earlier), F.struct(F.col("_first").alias("value"), F.lag("_start").over(earlier).alias("before")))
+    # every end of a range cuts one group at most, so there are fewer rows than ranges
+    later = ends.select(*on, "_offset", cut.alias("_cut"), F.row_number().over(earlier).alias("_nth")).filter("_nth > 1").drop("_nth")
+    rows = join_keys(parts, F.broadcast(later), on, "left")
+    before = F.when(x == F.col("_cut.value"), F.col("_cut.before")).otherwise(F.col("_inside") + F.coalesce("_offset", F.lit(0)))
+    return rows.withColumn("_smaller", F.when(x.isNotNull(), before).cast("bigint")).drop("_part", "_inside", "_offset", "_cut")
 
 
 def ranked(df: DataFrame, column: str, keys: Sequence[str] = (), descending: bool = True, name: str = "rank") -> DataFrame:
     """Rank of every row; ties share the first place, rows without a value have none."""
-    rows = _smaller(df, column, keys, descending).withColumn(name, (F.col("_smaller") + 1).cast("bigint")).drop("_smaller")
-    return rows.unionByName(df.filter(F.col(column).isNull()), allowMissingColumns=True)
+    return _smaller(df, column, keys, descending).withColumn(name, (F.col("_smaller") + 1).cast("bigint")).drop("_smaller")
 
 
 def percent_ranked(df: DataFrame, column: str, keys: Sequence[str] = (), digits: int = 3, name: str = "percent_rank") -> DataFrame:
     """First place / (n - 1) of every row, rounded; null without a value or where it is the only one."""
     rows = _smaller(df, column, keys)
     if keys:
-        rows = beside(rows, df.filter(F.col(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")), keys)
+        rows = beside(rows, df.groupBy(*keys).agg(F.count(column).alias("_total")), keys)
     else:
         rows = rows.withColumn("_total", df.agg(F.count(column)).scalar())
     share = F.round(F.try_divide(F.col("_smaller").cast("double"), F.col("_total") - 1), digits)
-    return rows.withColumn(name, share).drop("_smaller", "_total").unionByName(df.filter(F.col(column).isNull()), allowMissingColumns=True)
+    return rows.withColumn(name, share).drop("_smaller", "_total")
 
 
 def shifted(df: DataFrame, column: str, rows: int, order: Sequence[str], keys: Sequence[str] = (), name: str = "shifted") -> DataFrame:
