@@ -1,4 +1,8 @@
-"""Transliteration of text by a phrase dictionary, and the forms made from it."""
+"""Transliteration of text by a few phrases, and the forms made from a romanized text.
+
+Dictionaries of any size are tables, see ``marketlens.operators.dictionary``; the forms
+below take the romanized column that it gives as well.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,6 @@ BEYOND = r"\x{80}-\x{10FFFF}"
 DROPPED = r"(?:[\x00-\x08\x0A-\x1F\x7F$+<=>^`|~]|[" + BEYOND + r"&&[^\p{IsHan}\p{P}\p{Z}\p{M}\p{N}\p{L}]])+"
 BETWEEN_WORDS = f"(?:[^A-Za-z0-9{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}]])+"
 DELIMITERS = ("_", "-", ".", "")
-MAX_PHRASES = 500_000  # a phrase dictionary is held by every task; larger ones are refused
 
 
 def prepare(text: Column) -> Column:
@@ -34,21 +37,6 @@ def prepare(text: Column) -> Column:
     return F.regexp_replace(words, DROPPED, "")
 
 
-def dictionary(phrases: DataFrame) -> list[dict[str, str]]:
-    """Phrases (part, phrase, reading) as one mapping per part, in part order.
-
-    The size is checked before anything is brought to the driver.
-    """
-    rows = phrases.select("part", "phrase", "reading").limit(MAX_PHRASES + 1)
-    found = rows.collect()
-    if len(found) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} phrases")
-    parts: dict[int, dict[str, str]] = {}
-    for row in found:
-        parts.setdefault(row["part"], {})[row["phrase"]] = row["reading"]
-    return [parts[p] for p in sorted(parts)]
-
-
 def replace_longest(text: str, words: dict[str, str], longest: dict[str, int], starts: re.Pattern) -> str:
     """Leftmost longest phrases replaced; replaced text is not read again.
 
@@ -72,15 +60,17 @@ def replace_longest(text: str, words: dict[str, str], longest: dict[str, int], s
     return "".join(out)
 
 
-def romanize(text: Column, parts: Sequence[dict[str, str]], surnames: Sequence[tuple[str, str]] = ()) -> Column:
-    """Readings for the phrases of the prepared text, part by part, longest phrase first.
+def with_surname(prepared: Column, surnames: Sequence[tuple[str, str]]) -> Column:
+    """Surnames (phrase, reading) apply to the beginning only, the first that fits."""
+    if not surnames:
+        return prepared
+    named = [F.when(F.startswith(prepared, F.lit(s)), F.concat(F.lit(r), F.substr(prepared, F.lit(len(s) + 1)))) for s, r in surnames]
+    return F.coalesce(*named, prepared)
 
-    ``surnames`` (phrase, reading) apply to the beginning only, the first that fits.
-    """
-    prepared = prepare(text)
-    if surnames:
-        named = [F.when(F.startswith(prepared, F.lit(s)), F.concat(F.lit(r), F.substr(prepared, F.lit(len(s) + 1)))) for s, r in surnames]
-        prepared = F.coalesce(*named, prepared)
+
+def romanize(text: Column, parts: Sequence[dict[str, str]], surnames: Sequence[tuple[str, str]] = ()) -> Column:
+    """Readings for the phrases of the prepared text, part by part, longest phrase first."""
+    prepared = with_surname(prepare(text), surnames)
     lengths, starts = [], []
     parts = [words for words in parts if words]
     for words in parts:
@@ -137,22 +127,31 @@ def convert(text: Column, parts, option: str = "none") -> Column: return tokens(
 def name(text: Column, parts, surnames, option: str = "none") -> Column: return tokens(romanize(text, parts, surnames), option)
 
 
-def permalink(text: Column, parts, delimiter: str = "-") -> Column:
+def permalink(text: Column, parts, delimiter: str = "-") -> Column: return slug(romanize(text, parts), delimiter)
+
+
+def slug(romanized: Column, delimiter: str = "-") -> Column:
     if delimiter not in DELIMITERS:
         raise ValueError("delimiter must be one of '_', '-', '.' or empty")
-    joined = F.regexp_replace(plain(romanize(text, parts)), BETWEEN_WORDS, "\n")
+    joined = F.regexp_replace(plain(romanized), BETWEEN_WORDS, "\n")
     return F.translate(F.trim(joined, F.lit("\n")), "\n", delimiter)
 
 
-def abbr(text: Column, parts, delimiter: str = "") -> Column:
-    return F.array_join(F.transform(convert(text, parts), lambda w: F.left(w, F.lit(1))), delimiter)
+def abbr(text: Column, parts, delimiter: str = "") -> Column: return initials(romanize(text, parts), delimiter)
+
+
+def initials(romanized: Column, delimiter: str = "") -> Column:
+    return F.array_join(F.transform(tokens(romanized), lambda w: F.left(w, F.lit(1))), delimiter)
+
+
+def sentence(text: Column, parts, with_tone: bool = False) -> Column: return readable(romanize(text, parts), with_tone)
 
 
-def sentence(text: Column, parts, with_tone: bool = False) -> Column:
+def readable(romanized: Column, with_tone: bool = False) -> Column:
     """Readable line: other characters out, punctuation plain, tabs and double spaces to one space."""
     ascii_marks = "".join(dict.fromkeys(PUNCTUATION.values()))
     unwanted = f"(?:[^A-Za-z0-9{ascii_marks}\\s_{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}{''.join(PUNCTUATION)}]])+"
-    kept = F.regexp_replace(romanize(text, parts), unwanted, "")
+    kept = F.regexp_replace(romanized, unwanted, "")
     for full, simple in PUNCTUATION.items():
         kept = F.replace(kept, F.lit(full), F.lit(simple))
     kept = F.replace(F.replace(kept, F.lit("\t"), F.lit(" ")), F.lit("  "), F.lit(" "))

@@ -79,8 +79,20 @@ def test_transliteration(spark):
     assert v(Z.name(F.lit("单希"), parts, [("单于", "\tchán\tyú"), ("单", "\tshàn")])) == ["shan", "xi"]
     assert v(Z.permalink(F.lit("希望"), parts, "_")) == "xi_wang" and v(Z.abbr(text, parts, "-")) == "d-z-x-w-c-q-G-z"
     assert v(Z.sentence(F.lit("希望，重庆！"), parts, True)) == "xī wàng, chóng qìng!" and v(Z.sentence(F.lit("希望。"), parts)) == "xi wang."
-    table = spark.createDataFrame([(0, "希望", "\txī\twàng"), (1, "望", "\twàng")], "part int, phrase string, reading string")
-    assert Z.dictionary(table) == [{"希望": "\txī\twàng"}, {"望": "\twàng"}]
+
+
+def test_dictionary_of_a_table(spark):
+    from marketlens.operators import dictionary as D
+
+    table = [(1, "望", "\twàng"), (0, "希望", "\txī\twàng"), (0, "希", "\txī"), (0, "希", "\tzz"), (0, "cat", "\tdog"), (0, "ca", "x."), (0, "a-b", None), (1, "dog", "cow"), (0, "", "y"), (0, None, "y"), (2, "]", "\tb"), (2, "^", "\tc")]
+    phrases = spark.createDataFrame(table, "part int, phrase string, reading string")
+    parts = [{"希望": "\txī\twàng", "希": "\txī", "cat": "\tdog", "ca": "x.", "a-b": ""}, {"望": "\twàng", "dog": "cow"}, {"]": "\tb", "^": "\tc"}]
+    texts = ["希望希 cat caca-b 望] 希望", None, "", "none", "cat " * 3000 + "concat", "望望希望。cacat", "cat"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, text string, piece string").repartition(3)
+    got = {r.i: r.romanized for r in D.romanize(rows, "text", phrases, [("no", "\tyes")]).collect()}
+    want = {r.i: r.w for r in rows.select("i", Z.romanize(F.col("text"), parts, [("no", "\tyes")]).alias("w")).collect()}
+    assert got == want and got[1] is None
+    assert D.romanize(rows, "text", phrases.limit(0)).count() == 7 and D.romanize(rows.limit(0), "text", phrases).count() == 0
 
 
 def test_schedules(spark):
