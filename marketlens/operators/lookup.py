@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketlens.operators.ordered import few_or_written
 from marketlens.operators.places import asof
 
 
@@ -49,9 +50,28 @@ def transpose(table: DataFrame, header: str, columns: Sequence[str], new_headers
     return cells.groupBy("field").pivot("_row", list(new_headers)).agg(F.first("_cell"))
 
 
-def matrix_product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sparse product of (i, j, v) tables: join on the inner index, sum per cell."""
+#: Entries of one inner index, on either side, that meet in one task.
+BLOCK = 10_000
+
+
+def matrix_product(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Sparse product of (i, j, v) tables: join on the inner index, sum per cell.
+
+    An inner index with many entries is cut into blocks of rows and blocks of columns, and
+    each is repeated along the other axis, so that no index is the work of one task.
+    """
     a = left.select("i", F.col("j").alias("k"), F.col("v").alias("a"))
     b = right.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
-    return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-
+    sizes = a.groupBy("k").agg(F.count(F.lit(1)).alias("_a")).join(b.groupBy("k").agg(F.count(F.lit(1)).alias("_b")), "k")
+    large = sizes.filter((F.col("_a") > block) | (F.col("_b") > block))
+    blocks, few = few_or_written(large.select("k", F.ceil(F.col("_a") / block).cast("int").alias("_rows"), F.ceil(F.col("_b") / block).cast("int").alias("_columns")), "blocks")
+    if few and blocks.isEmpty():
+        joined = a.join(b, "k")
+    else:
+        blocks = F.broadcast(blocks) if few else blocks
+        part = lambda of, count: F.pmod(F.xxhash64(of), F.coalesce(count, F.lit(1))).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1))
+        a = a.join(blocks, "k", "left").withColumn("_i", part("i", "_rows")).withColumn("_j", every("_columns")).drop("_rows", "_columns")
+        b = b.join(blocks, "k", "left").withColumn("_j", part("j", "_columns")).withColumn("_i", every("_rows")).drop("_rows", "_columns")
+        joined = a.join(b, ["k", "_i", "_j"])
+    return joined.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from marketlens.functions import dates as D
 from marketlens.operators.scratch import shared_folder
@@ -94,11 +94,23 @@ def _(t):
     return t.spark.table("large_orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_10_byte_order_marks", "select page_id, cast(page_id % 3 = 0 as integer) as had_mark, url as content from pages")
+# The pages as twenty text files, every third one with a mark at its start; cleaned files are read again as bytes.
+@query(
+    "src_10_byte_order_marks",
+    """select page_id % 20 as file, cast(page_id % 20 % 3 = 0 as integer) as had_mark, cast(sum(strlen(coalesce(url, '') || chr(9) || coalesce(html, '')) + 1) as bigint) as bytes,
+    md5(string_agg(coalesce(url, '') || chr(9) || coalesce(html, ''), chr(10) order by page_id) || chr(10)) as digest from pages group by 1, 2""",
+)
 def _(t):
-    content = F.encode(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\ufeff"), F.col("url"))).otherwise(F.col("url")), "UTF-8")
-    rows = t.pages.select("page_id", content.alias("c"))
-    return rows.select("page_id", marks.has_mark(F.col("c")).cast("int").alias("had_mark"), F.decode(marks.without_mark(F.col("c")), "UTF-8").alias("content"))
+    line = F.concat(F.coalesce("url", F.lit("")), F.lit("\t"), F.coalesce("html", F.lit("")))
+    rows = t.pages.select((F.col("page_id") % 20).alias("file"), "page_id", line.alias("value"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("page_id")) == 1
+    marked = rows.withColumn("value", F.when(first & (F.col("file") % 3 == 0), F.concat(F.lit("\ufeff"), F.col("value"))).otherwise(F.col("value")))
+    raw, clean = fresh(t, "marked"), fresh(t, "unmarked")
+    marked.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").text(raw)
+    number = F.regexp_extract("path", r"file=(\d+)/", 1).cast("bigint")
+    report = marks.clean_folder(t.spark, raw, clean).withColumnRenamed("file", "path").select(number.alias("file"), F.col("had_mark").cast("int").alias("had_mark"), "bytes")
+    again = marks.folder_report(t.spark, clean).filter(~F.col("had_mark")).select(number.alias("file"), F.md5("content").alias("digest"))
+    return report.join(again, "file")
 
 
 # Messy cells made from order keys and prices: ten notations in turn.
@@ -146,9 +158,15 @@ def _(t):
 
 @query(
     "src_14_embedded_rows",
-    """select page_id, r as row, case when r = 1 then cast(page_id as varchar) else 'second' end as first_field, case when r = 1 then 'len' || cast(length(html) as varchar) else 'x y' end as second_field from pages, (values (1), (2)) v(r)""",
+    """select page_id, r as row, case when r = 1 then cast(page_id as varchar) else 'a, "b" [c]' end as first_field, case when r = 1 then 'len ' || cast(length(html) as varchar) else url end as second_field,
+    case when r = 1 then '7' else '[1,2]' end as third_field from pages, (values (1), (2)) v(r) where html is not null and url is not null""",
 )
 def _(t):
-    body = F.concat(F.lit('head = 1; appsTableData=[ ["'), F.col("page_id").cast("string"), F.lit('", "len'), F.length("html").cast("string"), F.lit('"],["second","x_y"] ]; tail = [[1]]'))
+    # in the middle of the page, behind another literal
+    cut = F.floor(F.length("html") / 2).cast("int")
+    literal = F.concat(
+        F.lit('<script>var other = [[1]]; appsTableData = [ ["'), F.col("page_id").cast("string"), F.lit('", "len '), F.length("html").cast("string"),
+        F.lit('", 7 ],\n ["a, \\"b\\" [c]", \''), F.col("url"), F.lit("', [1,2]] ]; tail = [[1]]</script>"))
+    body = F.concat(F.left("html", cut), literal, F.substring("html", cut + 1, F.length("html")))
     rows = markup.embedded_rows(t.pages.select("page_id", body.alias("text")), "page_id", "text", "appsTableData")
-    return rows.select("page_id", "row", F.get("fields", F.lit(0)).alias("first_field"), F.replace(F.get("fields", F.lit(1)), F.lit("_"), F.lit(" ")).alias("second_field"))
+    return rows.select("page_id", "row", *[F.get("fields", F.lit(i)).alias(f"{n}_field") for i, n in enumerate(("first", "second", "third"))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -91,11 +92,44 @@ def lenient_cells(pages: DataFrame, key: str, markup: str) -> DataFrame:
     return pages.select(key, markup).mapInPandas(parse, f"{key} {kind}, table int, row int, col int, text string")
 
 
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|\'[^\'\\]*(?:\\.[^\'\\]*)*\'|[\[\],]|[^\[\],"\']+|["\']')
+
+
+def literal_rows(text: str, name: str) -> list[list[str]]:
+    """Fields of the rows of the first array literal ``name = [[..], ..]``; quotes and brackets inside fields are kept.
+
+    Quoted fields lose their quotes and the backslashes before characters, others the space around them.
+    """
+    begin = re.search(rf"(?<![\w$]){re.escape(name)}\s*=\s*\[", text)
+    rows, depth, field = [], 1, None
+    for token in _TOKEN.finditer(text, begin.end()) if begin else ():
+        t = token.group()
+        if depth == 2 and t in (",", "]"):
+            if field is not None or t == "," or rows[-1]:
+                rows[-1].append(field or "")
+            field = None
+            depth -= t == "]"
+        elif depth == 1 and t == "[":
+            rows.append([])
+            depth = 2
+        elif depth == 1 and t == "]":
+            return rows
+        elif depth >= 2:
+            depth += (t == "[") - (t == "]")
+            quoted = len(t) > 1 and t[0] in "\"'" and depth == 2
+            part = re.sub(r"\\(.)", r"\1", t[1:-1]) if quoted else t.strip() if depth == 2 and t not in "[]" else t
+            if part or quoted:
+                field = (field or "") + part
+    return []  # the literal never ends
+
+
 def embedded_rows(pages: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """Rows of an array literal ``name=[[..],[..]]`` inside a text: (key, row, fields)."""
-    squeezed = F.replace(F.col(text), F.lit(" "), F.lit(""))
-    literal = F.regexp_extract(squeezed, name + r"=\[(\[.*?\])\]", 1)
-    rows = pages.select(key, F.posexplode(_all(literal, r"\[(.*?)\]")).alias("row", "_r"))
-    fields = F.split(F.replace(F.col("_r"), F.lit('"'), F.lit("")), ",")
-    return rows.select(key, (F.col("row") + 1).alias("row"), fields.alias("fields"))
+    """Rows of an array literal ``name=[[..],[..]]`` anywhere in a page: (key, row, fields)."""
+    kind = dict(pages.dtypes)[key]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, n, fields) for k, page in zip(batch[key], batch[text]) for n, fields in enumerate(literal_rows(page or "", name), 1)]
+            yield pd.DataFrame(found, columns=[key, "row", "fields"])
 
+    return pages.select(key, text).mapInPandas(scan, f"{key} {kind}, row int, fields array<string>")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import cashflow as C
 from marketlens.operators import listfilter as L
+from marketlens.operators import lookup as K
 from marketlens.operators import monitoring as M
 from marketlens.operators import ordered as O
 from marketlens.operators import runs as R
@@ -199,3 +200,17 @@ def test_passes_bear_late_flows_of_both_signs(spark, monkeypatch):
     for k in (1, 2, 3, 5):
         assert passes[k] == pytest.approx(listed[k], rel=1e-7, abs=1e-10), k
     assert 0 < passes[1] < 0.001 and -0.01 < passes[2] < 0 and passes[3] == pytest.approx(7.0)
+
+
+def test_matrix_product_of_a_narrow_inner_index(spark):
+    random.seed(8)
+    left = [(i, k, float(random.randrange(9))) for i in range(300) for k in (0, 1)] + [(5, 7, 2.0), (6, None, 1.0)]
+    right = [(k, j, float(random.randrange(9))) for k in (0, 1) for j in range(40)] + [(7, 3, 4.0), (8, 1, 1.0), (None, 2, 1.0)]
+    want = {}
+    for i, k, a in left:
+        for h, j, b in right:
+            if k is not None and k == h:
+                want[i, j] = want.get((i, j), 0.0) + a * b
+    frames = [spark.createDataFrame(rows, "i int, j int, v double").repartition(4) for rows in (left, right)]
+    for block in (25, 10_000):
+        assert {(r.i, r.j): r.v for r in K.matrix_product(*frames, block).collect()} == want

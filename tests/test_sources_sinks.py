@@ -75,3 +75,26 @@ def test_stream_drops_late_rows_and_restarts(spark, tmp_path):
     arrive([(at(8, 30), 100.0), (at(9, 50), 200.0), (at(10, 30), 16.0), (at(14), 32.0)])
     got = {r["hour"].hour: (r["n"], r["amount"]) for r in spark.read.parquet(out).collect()}
     assert got == {8: (2, 3.0), 9: (1, 4.0), 10: (1, 16.0), 11: (1, 8.0)}
+
+
+def test_literals_in_pages():
+    from marketlens.sources.markup import literal_rows
+
+    page = """<p>x[1]</p> myrows = [[9]]; rows = [ ["a, b", 'c"]', 3 ], [], ["",], [ "\\"q\\"", [1,[2,"]"]], x y ] ]; rows = [[8]]"""
+    assert literal_rows(page, "rows") == [["a, b", 'c"]', "3"], [], ["", ""], ['"q"', '[1,[2,"]"]]', "x y"]]
+    assert literal_rows("rows = [[1, 2", "rows") == [] and literal_rows("no", "rows") == [] and literal_rows("rows=[]", "rows") == []
+
+
+def test_marks_are_taken_off_files(spark, tmp_path):
+    from marketlens.sources import marks
+
+    mark = b"\xef\xbb\xbf"
+    files = {"a.txt": mark + b"x\xff\x00\n", "deep/b.bin": b"\x00\x01" + mark, "deep/c'd.txt": mark, "two.txt": mark + mark + b"y"}
+    for name, content in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    report = {r.file: (r.had_mark, r.bytes) for r in marks.clean_folder(spark, f"{tmp_path}/in", f"{tmp_path}/out").collect()}
+    cleaned = {name: content.removeprefix(mark) for name, content in files.items()}
+    assert report == {name: (files[name] != cleaned[name], len(cleaned[name])) for name in files}
+    assert {name: (tmp_path / "out" / name).read_bytes() for name in files} == cleaned
+    assert all((tmp_path / "in" / name).read_bytes() == content for name, content in files.items())
