@@ -189,28 +189,47 @@ def sorted_by(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last())
 
 
-def channel_clusters(df: DataFrame, channel: str, measures: Sequence[str], k: int, seed: int = 1) -> DataFrame:
-    """Label per channel, size of its cluster and the channel nearest to the centre."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    df = scratch_table(df.select(channel, *measures), "channels")  # the fit reads it once per step
-    stages = [
-        VectorAssembler(inputCols=list(measures), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-        KMeans(featuresCol="_scaled", predictionCol="clus_label", k=k, seed=seed),
-    ]
-    model = Pipeline(stages=stages).fit(df)
-    labelled = model.transform(df)
-    centres = F.array(*[F.array(*[F.lit(float(v)) for v in centre]) for centre in model.stages[-1].clusterCenters()])
-    centre = F.element_at(centres, F.col("clus_label") + 1)
-    gaps = F.zip_with(vector_to_array("_scaled"), centre, lambda a, b: (a - b) * (a - b))
-    distance = F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v)
-    rows = labelled.select(channel, "clus_label", *measures, distance.alias("_d"))
-    sizes = rows.groupBy("clus_label").agg(N().alias("channel_count"), F.min_by(channel, F.struct("_d", channel)).alias("cent_channel"))
-    return rows.drop("_d").join(sizes, "clus_label")
+def channel_clusters(df: DataFrame, channel: str, measures: Sequence[str], k: int, rounds: int = 12) -> DataFrame:
+    """Label per channel, size of its cluster and the channel nearest to the centre.
+
+    Measures are standardised (a missing one counts as the mean). The first centre is the
+    channel farthest from the mean, each further one the channel farthest from all centres
+    so far; labels follow that order. Then channels go to the nearest centre and centres to
+    the mean of their channels, until no centre moves or the rounds are over. Ties go to
+    the smaller label or channel; a cluster without channels keeps its centre. Only the k
+    centres reach the driver.
+    """
+    figures = df.agg(F.struct(*[F.avg(m).alias(f"a_{m}") for m in measures], *[F.stddev_samp(m).alias(f"s_{m}") for m in measures]).alias("f")).first().f
+    scaled = [F.coalesce(F.try_divide(F.col(m) - F.lit(figures[f"a_{m}"]), F.lit(figures[f"s_{m}"])), F.lit(0.0)) for m in measures]
+    rows = scratch_table(df.select(channel, *measures, F.array(*scaled).alias("_z")), "channels")
+
+    def distance(centre: Sequence[float]) -> Column:
+        return sum(((F.get("_z", F.lit(i)) - F.lit(float(v))) * (F.get("_z", F.lit(i)) - F.lit(float(v))) for i, v in enumerate(centre)), F.lit(0.0))
+
+    centres: list[list[float]] = []
+    for _ in range(k):
+        gaps = [distance(c) for c in centres or [[0.0] * len(measures)]]
+        far = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+        found = rows.agg(F.min_by("_z", F.struct(-far, channel)).alias("z"), F.max(far).alias("d")).first()
+        if found.z is None or (centres and found.d == 0):
+            break  # fewer distinct channels than clusters
+        centres.append(list(found.z))
+    if not centres:
+        return df.select(channel, F.lit(0).alias("clus_label"), *measures, F.lit(0).cast("bigint").alias("channel_count"), F.col(channel).alias("cent_channel"))
+
+    def labelled() -> DataFrame:
+        nearest = F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("label")) for i, c in enumerate(centres)]))
+        return rows.withColumn("_near", nearest).select(channel, F.col("_near.label").alias("clus_label"), *measures, "_z", F.col("_near.d").alias("_d"))
+
+    for _ in range(rounds):
+        means = labelled().groupBy("clus_label").agg(F.array(*[F.avg(F.get("_z", F.lit(i))) for i in range(len(measures))]).alias("z")).collect()
+        moved = [next((list(r.z) for r in means if r.clus_label == i), c) for i, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    final = labelled().drop("_z")
+    sizes = final.groupBy("clus_label").agg(N().alias("channel_count"), F.min_by(channel, F.struct("_d", channel)).alias("cent_channel"))
+    return final.drop("_d").join(sizes, "clus_label")
 
 
 def cluster_profile(df: DataFrame, label: str, measures: Sequence[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 """Scratch tables: results that several later steps read, written once to shared storage.
 
 A written table cuts the lineage, survives lost executors and is read back with column
-pruning and known size. Tables go below the folder in ``spark.checkpoint.dir``; where
-that is unset they go below the warehouse folder, which a cluster shares as well. No
-machine-local temporary folder is ever taken.
+pruning and known size. Tables go below the folder in ``spark.checkpoint.dir``, which a
+cluster must set to shared storage. Where it is unset, as in tests on one machine, they go
+below the warehouse folder, by default a local folder below the working one.
 """
 
 from __future__ import annotations

@@ -224,9 +224,34 @@ def _channels(t):
         F.count(F.lit(1)).cast("double").alias("members"), F.avg("c_acctbal").alias("balance"), F.avg("n").alias("orders"), F.avg("s").alias("amount"))
 
 
-@query("mon_18_channel_clusters")
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Farthest-first centres and a fixed number of rounds, one table after the other."""
+    z = lambda m: f"coalesce(({m} - avg({m}) over ()) / stddev_samp({m}) over (), 0)"
+    gap = lambda a, b: " + ".join(f"({a}.{m} - {b}.{m}) * ({a}.{m} - {b}.{m})" for m in _MEASURES)
+    parts = [
+        """channels as materialized (select 'nation' || c_nationkey as channel, count(*)::double as members, avg(c_acctbal) as balance, avg(n) as orders, avg(s) as amount from customer
+        left join (select o_custkey, count(*) as n, sum(o_totalprice) as s from orders group by 1) on c_custkey = o_custkey group by 1)""",
+        "z as materialized (select channel, " + ", ".join(f"{z(m)} as {m}" for m in _MEASURES) + " from channels)",
+        "s0 as materialized (select 0 as label, * exclude (channel) from z order by " + " + ".join(f"{m} * {m}" for m in _MEASURES) + " desc, channel limit 1)",
+    ]
+    for i in range(1, k):
+        parts.append(f"""s{i} as materialized (select * from s{i - 1} union all (select {i}, {', '.join(f'z.{m}' for m in _MEASURES)} from z, s{i - 1} s group by all
+            order by (select min({gap('y', 's')}) from z y, s{i - 1} s where y.channel = any_value(z.channel)) desc, any_value(z.channel) limit 1))""")
+    before = f"s{k - 1}"
+    for r in range(rounds + 1):
+        parts.append(f"l{r} as materialized (select z.*, arg_min(label, (d, label)) as clus_label, min(d) as d from z join (select channel, label, {gap('z', 'c')} as d from z, {before} c) g using (channel) group by all)"
+                     .replace("select z.*, arg_min", f"select channel, {', '.join(_MEASURES)}, arg_min"))
+        if r < rounds:
+            parts.append(f"c{r} as materialized (select b.label, " + ", ".join(f"coalesce(m.{m}, b.{m}) as {m}" for m in _MEASURES) + f" from {before} b left join (select clus_label as label, "
+                         + ", ".join(f"avg({m}) as {m}" for m in _MEASURES) + f" from l{r} group by 1) m using (label))")
+            before = f"c{r}"
+    return "with " + ", ".join(parts) + f""" select channel, clus_label::integer as clus_label, count(*) over (partition by clus_label) as channel_count,
+        first(channel) over (partition by clus_label order by d, channel) as cent_channel from l{rounds}"""
+
+
+@query("mon_18_channel_clusters", _clusters_sql(4, 12))
 def _(t):
-    return M.channel_clusters(_channels(t), "channel", _MEASURES, 4).select("channel", "clus_label", "channel_count", "cent_channel")
+    return M.channel_clusters(_channels(t), "channel", _MEASURES, 4, 12).select("channel", "clus_label", "channel_count", "cent_channel")
 
 
 @query(
