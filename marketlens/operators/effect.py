@@ -61,8 +61,8 @@ def recipient_trades(c: Campaign, given: DataFrame | None = None) -> DataFrame:
     never meet on a null key; the issues, which repeat the trades, come last.
     """
     given = issued(c) if given is None else given
-    t = c.trades.filter(F.col("status").isin(*SETTLED_OR_PENDING) & P.in_date_ranges("trans_time", c.trade_days))
-    t = t.join(given.select("member_no").distinct(), "member_no", "left_semi")
+    settled = c.trades.filter(F.col("status").isin(*SETTLED_OR_PENDING) & P.in_date_ranges("trans_time", c.trade_days))
+    t = settled.join(given.select("member_no").distinct(), "member_no", "left_semi")
     p = c.products.select(F.col("id").alias("product_id"), "product_name", "inception_date", "due_date")
     u = c.uses.select(
         F.col("order_no").alias("business_order_item_no"), F.col("activity_coupon_id").alias("trans_coupon_id"), "deduction_amt"
@@ -73,7 +73,7 @@ def recipient_trades(c: Campaign, given: DataFrame | None = None) -> DataFrame:
     rows = t.join(p, "product_id").join(used, "business_order_item_no", "left")
     first = given.select("member_no", F.col("activity_coupon_id").alias("issue_coupon_id"), "create_time")
     joined = salted_join(
-        rows, first, ["member_no"], ["business_order_item_no"], condition=F.col("trans_time") >= F.col("create_time"), counted=t
+        rows, first, ["member_no"], ["business_order_item_no"], condition=F.col("trans_time") >= F.col("create_time"), counted=settled
     )
     days = G.term_days("due_date", "inception_date")
     return joined.select(
