@@ -23,16 +23,18 @@ empty file set.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marketlens.llm.bpe import WordCoder, byte_letters, default_path
+from marketlens.llm.bpe import WordCoder, _little, byte_letters, default_path
 from marketlens.operators.scratch import scratch_path
 from marketlens.tables import Tables
 
@@ -130,12 +132,31 @@ def decode_blocks(starts: bytes, payload: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+#: White space beside a space, or at an end of the text: its spaces don't all begin a word.
+_UNEVEN = r"\A{0}|{0}\z|{0} | {0}".format(r"[\t-\r\x1c-\x20\x{85}\pZ]")
+#: Marks that form one word when they follow letters; an apostrophe may begin a word with letters.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that are taken apart at once.
+_SLICE = 8 << 20
+
+
+def _refuse_unsupported(spec: str) -> None:
+    """Only plain byte-level files give the same ids word by word as for whole texts."""
+    file = json.loads(spec)
+    first = file["pre_tokenizer"] or {}
+    if file["normalizer"] or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+        raise ValueError("only byte-level files without normalizer and prefix space are supported")
+    if any(token["lstrip"] or token["rstrip"] or token["single_word"] for token in file["added_tokens"]):
+        raise ValueError("added tokens that take white space with them are not supported")
+
+
 class LibraryCoder(WordCoder):
     """Ids by the tokenizers library, word by word."""
 
     def __init__(self, spec: str, remembered: int = 800_000):
         from tokenizers import Tokenizer
 
+        _refuse_unsupported(spec)
         tokenizer = Tokenizer.from_str(spec)
         super().__init__({t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, remembered)
         self.model = tokenizer.model
@@ -144,6 +165,99 @@ class LibraryCoder(WordCoder):
     def word_ids(self, word: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
 
+    def _piece(self, table: dict[str, bytes], key: str, text: str) -> bytes:
+        words = [text] if key.isalpha() else _plain_words(text)
+        if words is None:
+            return super()._piece(table, key, text)
+        if len(words) == 1:
+            letters = self.letters[32] + key if key.isascii() and key != text else text.encode().decode("latin-1").translate(self.letters)
+            found = _little([t.id for t in self.model.tokenize(letters)])
+        else:
+            first, spaced, piece, found = self.first, self.spaced, self._piece, b""
+            for w in words:
+                if w[0] == " ":
+                    found += spaced.get(w[1:]) or piece(spaced, w[1:], w)
+                else:
+                    found += first.get(w) or piece(first, w, w)
+        if len(table) >= self.remembered:
+            table.clear()
+        table[key] = found
+        return found
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a column.
+
+        Texts whose spaces all begin a word are cut there by Arrow, each distinct piece
+        is looked up once, and the ids are gathered in numpy. The others go one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        easy = pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.match_substring_regex(texts, _UNEVEN)))
+        for mark in self.specials:
+            easy = pc.and_(easy, pc.invert(pc.match_substring(texts, mark)))
+        found: list[np.ndarray | None] = [None] * len(texts)
+        for i in np.flatnonzero(~easy.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = np.frombuffer(self.encode(texts[i].as_py()), "<u4")
+        places = np.flatnonzero(easy.to_numpy(zero_copy_only=False))
+        for i, ids in zip(places.tolist(), self._gathered(texts.take(pa.array(places)))):
+            found[i] = ids
+        return found
+
+    def _gathered(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        pieces = cut.flatten().dictionary_encode()
+        codes = pieces.indices.to_numpy().astype(np.int64)
+        heads = _strings(pieces.dictionary.take(pieces.indices.take(pa.array(starts))))
+        size = len(pieces.dictionary)
+        codes[starts] = size + np.arange(len(starts))  # the first piece of a text has no space before it
+        used = np.zeros(size, bool)
+        used[codes[codes < size]] = True
+        first, spaced, piece = self.first, self.spaced, self._piece
+        table = [b""] * size
+        at = np.flatnonzero(used)
+        for i, w in zip(at.tolist(), _strings(pieces.dictionary.take(pa.array(at)))):
+            table[i] = spaced.get(w) or piece(spaced, w, " " + w)
+        table += [first.get(w) or piece(first, w, w) for w in heads]
+        flat = np.frombuffer(b"".join(table), "<u4")
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begins = np.cumsum(lengths) - lengths
+        taken = lengths[codes]
+        ends = np.cumsum(taken)
+        ids = flat[np.repeat(begins[codes] - ends + taken, taken) + np.arange(ends[-1])]
+        return np.split(ids, (ends - taken)[starts[1:]])
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _plain_words(text: str) -> list[str] | None:
+    """Words of a piece made of letters with marks after them, line by line; None for any other piece."""
+    words: list[str] = []
+    for i, line in enumerate(text.split("\n")):
+        stem = line.rstrip(_TAIL)
+        if not (stem[1:] if not i and stem[:1] == " " else stem).isalpha():
+            return None
+        if i:
+            words.append("\n")
+        words.append(stem)
+        if len(stem) < len(line):
+            words.append(line[len(stem) :])
+    return words
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``_SLICE`` bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + _SLICE, "right")))
+        yield start, stop
+        start = stop
+
 
 _coders: dict[int, LibraryCoder] = {}
 
@@ -162,33 +276,35 @@ def pages(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary file
     keys = [F.col("doc_id"), F.xxhash64("text")]
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
-    mark = np.array([end], "<u4").tobytes()
+    mark = np.array([end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, page = _coder(shared), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
+        sizes: list[int] = []
         held = 0
 
         def closed() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(ids), "<u4")
+            values = np.concatenate(ids)
             starts, payload = encode_blocks(values)
             columns = [
-                pa.array([shard], pa.int32()), pa.array([page], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())),
+                pa.array([shard], pa.int32()), pa.array([page], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([len(values)], pa.int64()), pa.array([starts], pa.binary()), pa.array([payload], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "page", "doc_ids", "n_tokens", "n_ids", "block_starts", "payload"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                some = batch.slice(start, 500)
-                for name, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids.append(coder.encode(text) + mark)
+            for start, stop in _slices(batch.column(1)):
+                some = batch.slice(start, stop - start)
+                for name, found in zip(some.column(0).to_pylist(), coder.encode_column(some.column(1))):
+                    ids += [found, mark]
                     names.append(name)
-                    held += len(ids[-1])
-                    if held >= 4 * PAGE:
+                    sizes.append(len(found) + 1)
+                    held += sizes[-1]
+                    if held >= PAGE:
                         yield closed()
-                        ids, names, held, page = [], [], 0, page + 1
+                        ids, names, sizes, held, page = [], [], [], 0, page + 1
         if ids:
             yield closed()
 

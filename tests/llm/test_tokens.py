@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -130,3 +131,25 @@ def test_token_files(spark, odd, nothing, library, monkeypatch):
             at += r.n_tokens
         order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
         assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+
+
+def test_columns_are_encoded_like_whole_texts_by_the_library():
+    spec = open(bpe.default_path(), encoding="utf-8").read()
+    library, draw = Tokenizer.from_str(spec), random.Random(8)
+    letters = [*"ab'sté \n\t.,*\"!?　\xa0\x85\x1c12é漢🙂", " ", " ", "the", "'ll", "\n", "<|endoftext|>", " don't"]
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 25))) for _ in range(3000)]
+    texts += [None, "", " ", "\n", "a\nb", "a.\nB***", "a'\nb", " a", "a ", "x" * 5000, "word " * 4000 + "end"]
+    for remembered in (3, 10_000):
+        coder = B.LibraryCoder(spec, remembered)
+        for text, ids in zip(texts, coder.encode_column(pa.array(texts)), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert coder.encode_column(pa.array([], pa.string())) == []
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"prefix": True}])
+def test_files_whose_words_are_not_independent_are_refused(change):
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    if change.pop("prefix", False):
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    with pytest.raises(ValueError):
+        B.LibraryCoder(json.dumps(spec | change))
