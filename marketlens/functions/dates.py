@@ -154,36 +154,41 @@ def networkdays(start: Column, end: Column, holidays: Sequence[dt.date] = ()) ->
     return F.when(F.to_date(start) > F.to_date(end), -count).otherwise(count)
 
 
-def workday(start: Column, days: int, holidays: Sequence[dt.date] = ()) -> Column:
-    """The date ``days`` working days after (negative: before) the start.
+def _weekdays_on(d: Column, n: Column | int, ahead: bool) -> Column:
+    """The weekday ``n`` weekdays ahead (n positive) or back (n negative).
+
+    Weekends count as their Friday (ahead) or Monday (back), so that the first step lands on a weekday.
+    """
+    dow = F.weekday(d)
+    if ahead:
+        place = F.least(dow, F.lit(4)) + n
+        return F.date_add(F.date_sub(d, dow), (F.floor(place / 5) * 7 + place % 5).cast("int"))
+    base = F.date_add(d, F.when(dow > 4, 7 - dow).otherwise(0))
+    left = 4 - F.when(dow > 4, 0).otherwise(dow)
+    place = left - n
+    return F.date_sub(F.date_add(base, left), (F.floor(place / 5) * 7 + place % 5).cast("int"))
+
+
+def workday(start: Column, days: Column | int, holidays: Sequence[dt.date] = ()) -> Column:
+    """The date ``days`` working days after (negative: before) the start; fractions of days are rounded down.
 
     Weekdays by arithmetic; then the holidays between start and result are passed in
     order, each moving the result one weekday on.
     """
-    start = F.to_date(start)
-    if days == 0:
-        return start
-    step = 1 if days > 0 else -1
-
-    def add_weekdays(d: Column, n: int) -> Column:
-        # From Friday (forward) or Monday (back) on a weekend, so that the first step lands on a weekday.
-        dow = F.weekday(d)
-        if n > 0:
-            base = F.date_sub(d, F.greatest(dow - 4, F.lit(0)))
-            place = F.least(dow, F.lit(4)) + n
-            return F.date_add(F.date_sub(base, F.least(dow, F.lit(4))), (F.floor(place / 5) * 7 + place % 5).cast("int"))
-        base = F.date_add(d, F.when(dow > 4, 7 - dow).otherwise(0))
-        place = 4 - F.when(dow > 4, 0).otherwise(dow) - n
-        friday = F.date_add(base, 4 - F.when(dow > 4, 0).otherwise(dow))
-        return F.date_sub(friday, (F.floor(place / 5) * 7 + place % 5).cast("int"))
-
-    found = add_weekdays(start, days)
-    free = _holidays(holidays)
-    if not free:
-        return found
-    ordered = F.array(*[F.lit(h) for h in (free if step > 0 else reversed(free))])
-    passed = (lambda h, d: (h > start) & (h <= d)) if step > 0 else (lambda h, d: (h < start) & (h >= d))
-    return F.aggregate(ordered, found, lambda d, h: F.when(passed(h, d), add_weekdays(d, step)).otherwise(d))
+    start, free = F.to_date(start), _holidays(holidays)
+
+    def moved(ahead: bool) -> Column:
+        found = _weekdays_on(start, days, ahead)
+        if not free:
+            return found
+        ordered = F.array(*[F.lit(h) for h in (free if ahead else reversed(free))])
+        passed = (lambda h, d: (h > start) & (h <= d)) if ahead else (lambda h, d: (h < start) & (h >= d))
+        return F.aggregate(ordered, found, lambda d, h: F.when(passed(h, d), _weekdays_on(d, 1 if ahead else -1, ahead)).otherwise(d))
+
+    if isinstance(days, Column):
+        days = F.floor(days).cast("int")
+        return F.when(days == 0, start).when(days > 0, moved(True)).when(days < 0, moved(False))
+    return moved(days > 0) if days else start
 
 
 def day(d: Column) -> Column: return F.dayofmonth(d)

@@ -112,14 +112,19 @@ def proper(x: Column) -> Column:
 def replace(x: Column, start: Column | int, chars: Column | int, new) -> Column: return F.overlay(x, _col(new), _col(start), _col(chars))
 
 
-def substitute(x: Column, old: str, new: str, instance: int = 0) -> Column:
-    """Every occurrence, or the n-th one only."""
-    if instance == 0:
-        return F.replace(x, F.lit(old), F.lit(new))
-    parts = F.split(x, r"\Q" + old + r"\E", -1)
-    head = F.array_join(F.slice(parts, 1, instance), old)
-    tail = F.array_join(F.slice(parts, F.lit(instance + 1), F.size(parts)), old)
-    return F.when(F.size(parts) > instance, F.concat(head, F.lit(new), tail)).otherwise(x)
+def substitute(x: Column, old: Column | str, new: Column | str, instance: Column | int = 0) -> Column:
+    """Every occurrence (instance 0), or the n-th one only.
+
+    For the n-th, occurrences may overlap; a text that has fewer, or an empty ``old``,
+    leaves the text as it is. Fractions of an instance are rounded down.
+    """
+    old, new, n = _col(old), _col(new), F.floor(_col(instance)).cast("int")
+    head = F.call_function("substring_index", x, old, n)
+    size = F.char_length(head)
+    one = F.concat(head, new, F.substr(x, size + F.char_length(old) + 1))
+    found = (old != "") & (size < F.char_length(x))
+    nothing = x.isNull() | old.isNull() | new.isNull() | n.isNull()
+    return F.when(nothing, None).when(n == 0, F.replace(x, old, new)).when((n > 0) & found, one).otherwise(x)
 
 
 def rept(x: Column, times: Column | int) -> Column: return F.repeat(x, _col(times))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketlens.operators.scratch import scratch_table
+
 
 def active(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("recycle") == 0)
@@ -63,14 +65,21 @@ def due(runs: DataFrame, at) -> DataFrame:
     return active(runs).filter((F.col("task_status") == 0) & (F.col("start_time") < F.lit(at)))
 
 
-def nested_tree(rows: DataFrame, levels: Sequence[str], leaf: Sequence[str]) -> DataFrame:
+#: Distinct leaves that may be nested below one root, which is one row.
+NESTED_LEAVES = 1_000_000
+
+
+def nested_tree(rows: DataFrame, levels: Sequence[str], leaf: Sequence[str], most: int = NESTED_LEAVES) -> DataFrame:
     """Path rows to a tree: one row per root, children nested below it.
 
-    Rows are made distinct first, so a node holds at most its distinct children; the
-    collected arrays are as large as the menu, not as the table behind it.
+    Rows are made distinct and written first. A root with more than ``most`` leaves is
+    refused before anything is collected: such trees are tables of edges (``tree_edges``).
     """
     names = list(levels)
-    rows = rows.select(*names, *leaf).distinct()
+    rows = scratch_table(rows.select(*names, *leaf).distinct(), "tree")
+    largest = rows.groupBy(names[0]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    if largest is not None and largest > most:
+        raise ValueError(f"{largest} leaves below one root; a row holds at most {most}, use tree_edges")
     item = F.struct(*[F.col(c) for c in (names[-1:] + list(leaf))])
     tree = rows.groupBy(*names[:-1]).agg(F.sort_array(F.collect_list(item)).alias("children"))
     for depth in range(len(names) - 2, 0, -1):

@@ -107,6 +107,17 @@ def _(t):
     return t.orders.select("o_orderkey", _text(D.workday(DAY(), 8, HOLIDAYS)).alias("after_8"), _text(D.workday(DAY(), -13, HOLIDAYS)).alias("before_13"))
 
 
+@query(
+    "dt_9_workday_of_columns",
+    f"""with {_CALENDAR}, works as (select n, min(d) as d from counted where w group by n),
+    steps as (select o_orderkey, cast(o_orderdate as date) as s, o_orderkey % 41 - 20 as k from orders)
+    select o_orderkey, cast(case when k = 0 then s else f.d end as varchar) as value
+    from steps join counted c on c.d = s join works f on f.n = c.n + k + case when k < 0 then 1 - c.w::int else 0 end""",
+)
+def _(t):
+    return t.orders.select("o_orderkey", _text(D.workday(DAY(), F.col("o_orderkey") % 41 - 20, HOLIDAYS)).alias("value"))
+
+
 order("dt_10_day", lambda: D.day(DAY()), "cast(day(o_orderdate) as integer)")
 order("dt_11_month", lambda: D.month(DAY()), "cast(month(o_orderdate) as integer)")
 order("dt_12_year", lambda: D.year(DAY()), "cast(year(o_orderdate) as integer)")

@@ -9,6 +9,7 @@ from marketlens.plans import standins as S
 from marketlens.plans.scans import fresh
 from marketlens.registry import query
 from marketlens.sinks import audience, files
+from marketlens.sources import marks
 from marketlens.sources.delimited import read_delimited
 
 _SIX = ", ".join(AUDIENCE_COLUMNS)
@@ -70,6 +71,25 @@ def _(t):
     return back.select(clean.alias("line")).filter(F.col("line") != "sep=;")
 
 
+@query("snk_7_heads_of_files", "select count(*) as n_lines, 1 as marks, 1 as heads, 0 as strays from orders")
+def _(t):
+    """Every file starts with one mark and one ``sep=`` line, and holds no other.
+
+    Lines come without the mark at the start of a file, so that one is tested on the bytes;
+    files are as large as the parts of the scan behind them.
+    """
+    path = fresh(t, "heads")
+    files.write_csv(t.orders.select("o_orderkey", "o_orderstatus"), path, spreadsheet=True)
+    lines = t.spark.read.option("lineSep", "\r\n").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    count = lambda test: F.sum(test.cast("int"))
+    head = F.col("value") == "sep=;"
+    each = lines.groupBy("file").agg(count(head).alias("heads"), count(F.contains("value", F.lit("\ufeff"))).alias("strays"), count(~head).alias("n"))
+    marked = marks.folder_report(t.spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("had_mark").cast("int").alias("marks"))
+    both = each.join(marked, "file", "full")
+    all_one = lambda c: F.min((F.coalesce(F.col(c), F.lit(0)) == 1).cast("int")).alias(c)
+    return both.agg(F.sum("n").alias("n_lines"), all_one("marks"), all_one("heads"), F.max("strays").cast("int").alias("strays"))
+
+
 @query("snk_8_preview", """select 'row' as kind, o_orderkey as key from (select * from orders order by o_totalprice desc, o_orderkey limit 200) union all select 'count', count(*) from orders""")
 def _(t):
     head, count = files.preview(t.orders, [F.col("o_totalprice").desc(), "o_orderkey"])

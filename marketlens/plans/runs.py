@@ -130,6 +130,18 @@ def _(t):
     return tree.select("t1", F.array_join(F.transform("children", branch), "|").alias("tree"))
 
 
+@query(
+    "cat_7_tree_edges",
+    """with m as (select distinct p_type as t1, p_brand as t2, p_name as t3, 'field_' || replace(p_name, ' ', '_') as t4 from part)
+    select 1 as level, '' as parent, t1 as node, count(*) as leaves from m group by t1
+    union all select 2, t1, t2, count(*) from m group by t1, t2
+    union all select 3, t1 || '/' || t2, t3, count(*) from m group by t1, t2, t3
+    union all select 4, t1 || '/' || t2 || '/' || t3, t4, count(*) from m group by t1, t2, t3, t4""",
+)
+def _(t):
+    return R.tree_edges(menu(t), ["t1", "t2", "t3", "t4"])
+
+
 @query("cat_8_whole_listing", "select p_type as t1, p_brand as t2, p_name as t3 from part")
 def _(t):
     return menu(t).select("t1", "t2", "t3")

@@ -65,6 +65,14 @@ doc(
     "txt_26_substitute_second", lambda: X.substitute(TEXT(), "an", "<AN>", 2),
     """case when len(string_split(text, 'an')) > 2 then array_to_string(string_split(text, 'an')[1:2], 'an') || '<AN>' || array_to_string(string_split(text, 'an')[3:], 'an') else text end""",
 )
+part(
+    "txt_26_substitute_of_columns", lambda: X.substitute(NAME(), F.substr(NAME(), F.lit(2), F.lit(1)), F.col("p_brand"), F.col("p_size") % 3),
+    """case when p_size % 3 = 0 then replace(p_name, p_name[2], p_brand)
+      when p_size % 3 = 1 then p_name[:strpos(p_name, p_name[2]) - 1] || p_brand || p_name[strpos(p_name, p_name[2]) + 1:]
+      when strpos(p_name[strpos(p_name, p_name[2]) + 1:], p_name[2]) = 0 then p_name
+      else p_name[:strpos(p_name, p_name[2]) + strpos(p_name[strpos(p_name, p_name[2]) + 1:], p_name[2]) - 1] || p_brand
+        || p_name[strpos(p_name, p_name[2]) + strpos(p_name[strpos(p_name, p_name[2]) + 1:], p_name[2]) + 1:] end""",
+)
 part("txt_27_rept", lambda: X.rept(NAME(), 3), "repeat(p_name, 3)")
 part("txt_28_t", lambda: X.t(F.when(F.col("p_size") % 2 == 0, NAME()).otherwise(F.col("p_size").cast("string"))), "case when p_size % 2 = 0 then p_name else '' end")
 

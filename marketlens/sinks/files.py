@@ -66,7 +66,7 @@ def write_csv(
                 yield batch
 
         lines = lines.mapInPandas(with_head, "value string")
-    lines.write.mode("overwrite").option("lineSep", line_ending).text(path)
+    lines.write.mode("overwrite").option("lineSep", line_ending).option("maxRecordsPerFile", 0).text(path)  # a task writes one file, with one head
 
 
 def preview(df: DataFrame, order: Sequence[Column | str], n: int = 200) -> tuple[DataFrame, DataFrame]:

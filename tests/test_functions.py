@@ -118,3 +118,18 @@ def test_aggregates_of_small_and_mixed_groups(spark):
     people = spark.createDataFrame([("Ann", 30), ("bob", 40), ("ANN", 50), (None, 60)], "name string, age int")
     assert people.filter(criteria_table([{"name": "ann", "age": ">35"}, {"age": "<20"}])).count() == 1
     assert people.filter(criteria_table([{"name": "<>ann"}])).count() == 1 and people.filter(criteria_table([{"name": "="}])).count() == 1
+
+
+def test_substitute_and_workday_take_columns(spark):
+    rows = [("a.b.c", ".", "-", 2.9), ("aaa", "aa", "x", 2.0), ("abc", "z", "x", 1.0), ("abc", "", "x", 0.0), ("abc", "", "x", 1.0), ("abc", "b", "", 1.0), (None, "b", "x", 0.0), ("abc", None, "x", 0.0),
+            ("abc", "b", "x", None), ("abc", "b", "x", -1.0), ("\u6f22\U0001f642\u6f22", "\u6f22", "k", 2.0), ("a\\Eb", "\\E", "+", 1.0), ("", "a", "b", 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x string, old string, new string, n double")
+    got = [r["v"] for r in df.select("i", X.substitute(F.col("x"), F.col("old"), F.col("new"), F.col("n")).alias("v")).orderBy("i").collect()]
+    assert got == ["a.b-c", "ax", "abc", "abc", "abc", "ac", None, None, None, "abc", "\u6f22\U0001f642k", "a+b", ""]
+    free = [dt.date(2024, 1, 1), dt.date(2024, 1, 8), dt.date(2024, 1, 9)]
+    starts = [dt.date(2023, 12, 25) + dt.timedelta(days=i) for i in range(25)]
+    df = spark.createDataFrame([(d, float(n)) for d in starts for n in (-9, -2, -1, 0, 1, 4, 8)] + [(None, 1.0), (starts[0], None)], "d date, n double")
+    same = df.select("n", D.workday(F.col("d"), F.col("n"), free).alias("v"), *[D.workday(F.col("d"), n, free).alias(f"n{n}") for n in (-9, -2, -1, 0, 1, 4, 8)])
+    for row in same.collect():
+        assert row["v"] == (None if row["n"] is None else row[f"n{int(row['n'])}"])
+    assert value(spark, D.workday(F.lit(dt.date(2024, 1, 2)), F.lit(1.7))) == dt.date(2024, 1, 3)

@@ -145,6 +145,11 @@ def test_runs_and_trees(spark):
     assert sorted(r["id"] for r in R.latest_effects(e).collect()) == [11, 12, 13]
     tree = R.nested_tree(spark.createDataFrame([("a", "x", "l1"), ("a", "x", "l2"), ("a", "y", "l3"), ("a", "x", "l1")], "t1 string, t2 string, t3 string"), ["t1", "t2", "t3"], [])
     assert [(b["t2"], [leaf["t3"] for leaf in b["children"]]) for b in tree.first()["children"]] == [("x", ["l1", "l2"]), ("y", ["l3"])]
+    wide = spark.range(5).select(F.lit("a").alias("t1"), F.col("id").alias("t2"))
+    assert len(R.nested_tree(wide, ["t1", "t2"], [], most=5).first()["children"]) == 5
+    with pytest.raises(ValueError):
+        R.nested_tree(wide, ["t1", "t2"], [], most=4)
+    assert R.nested_tree(wide.limit(0), ["t1", "t2"], []).count() == 0
 
 
 def test_masked_trend_and_clusters(spark):

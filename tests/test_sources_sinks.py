@@ -60,6 +60,13 @@ def test_sinks(spark, tmp_path):
     files.write_csv(df.select("member_no").coalesce(1), str(tmp_path / "sheet"), spreadsheet=True)
     text = next((tmp_path / "sheet").glob("*.txt")).read_bytes()
     assert text.startswith(b'\xef\xbb\xbfsep=;\r\n"0"\r\n"1"\r\n')
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "4")
+    try:
+        files.write_csv(df.select("member_no").repartition(3), str(tmp_path / "sheets"), spreadsheet=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    heads = [f.read_bytes() for f in (tmp_path / "sheets").glob("*.txt")]
+    assert len(heads) == 3 and all(x.startswith(b"\xef\xbb\xbfsep=;\r\n") and x.count(b"\xef\xbb\xbf") == 1 for x in heads)
 
 
 def test_stream_drops_late_rows_and_restarts(spark, tmp_path):
