@@ -105,6 +105,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     linked = 0
     # open elements: name, dropped, rank, dropped only by its name and no place for remarks
     stack: list[tuple[str, bool, int, bool]] = []
+    named: Counter[str] = Counter()  # how many of each name are open
     dropped, rank, links = False, 0, 0
     at, end = 0, len(page)
     lacking: set[str] | None = None  # elements without an end tag, looked for when needed
@@ -163,9 +164,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if name not in _HELD or name in _VOID:
             continue
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if named[name]:
+                last = ""
+                while last != name:
+                    last = stack.pop()[0]
+                    named[last] -= 1
                 dropped, rank = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             continue
         if attributes.endswith("/") and name == "svg":
@@ -177,12 +180,13 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             lacking = left_open(page) if lacking is None else lacking
             if all(x[0] in lacking for x in stack if x[1]):
                 while stack and stack[-1][1]:  # an advert or notice that was never closed
-                    stack.pop()
+                    named[stack.pop()[0]] -= 1
                 dropped, rank = False, stack[-1][2] if stack else 0
         inner = rank
         if not furniture and not dropped:
             inner = max(rank, 3 if name == "article" else 2 if name == "main" or "main" in words and "role" in attributes else 1 if words & _ARTICLE and name in ("div", "section") else 0)
         stack.append((name, dropped or furniture, inner, not dropped and furniture and name in ("div", "span", "section") and not remarks or dropped and bool(stack) and stack[-1][3]))
+        named[name] += 1
         dropped, rank = stack[-1][1], stack[-1][2]
     finish()
     return lines

@@ -1,3 +1,5 @@
+import time
+
 from marketlens.llm import html_text as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header>Site <b>name</b></header>
@@ -66,3 +68,10 @@ def test_one_long_block_and_closing_lists_lose_nothing():
     recipe = "<p>" + "Mix it all and bake it. " * 20 + "</p><p>" + "Serve it warm. " * 20 + "</p><ul>" + "".join(f"<li>item {i}</li>" for i in range(20)) + "</ul>"
     assert H.main_text(recipe).count("\n") == 21
     assert H.main_text(recipe + "<div><a>Link one</a> <a>Link two</a></div><p>&copy; 2020</p>") == H.main_text(recipe)
+
+
+def test_end_tags_without_an_open_element_are_passed_over_in_linear_time():
+    page = "<article>" + "<div>" * 40_000 + "<p>The text stays where it stands.</p>" + "</span>" * 40_000 + "</article>"
+    start = time.process_time()
+    assert H.main_text(page) == "The text stays where it stands."
+    assert time.process_time() - start < 10
