@@ -14,7 +14,10 @@ def _col(x) -> Column:
 
 
 def char(code: Column) -> Column:
-    return F.when(code >= 0, F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32"))
+    """Character of a code point; null where there is none (below 0, surrogates, beyond 0x10FFFF)."""
+    valid = (code >= 0) & (code < 0x110000) & ((code < 0xD800) | (code >= 0xE000))
+    # The byte order mark in front is dropped by the decoder, so that U+FEFF itself stays.
+    return F.when(valid, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code.cast("bigint")), 8, "0"))), "UTF-32"))
 
 
 def code(x: Column) -> Column:

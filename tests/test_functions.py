@@ -81,6 +81,13 @@ def test_transliteration(spark):
     assert v(Z.sentence(F.lit("希望，重庆！"), parts, True)) == "xī wàng, chóng qìng!" and v(Z.sentence(F.lit("希望。"), parts)) == "xi wang."
 
 
+def test_char_beyond_the_code_points(spark):
+    codes = [-1, 0, 65, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFEFF, 0xFFFE, 0x1F600, 0x10FFFF, 0x110000, 1_200_033, 2**40, None]
+    rows = spark.createDataFrame([(c,) for c in codes], "c long").select("c", X.char(F.col("c")).alias("v"))
+    valid = lambda c: c is not None and 0 <= c <= 0x10FFFF and not 0xD800 <= c <= 0xDFFF
+    assert {r.c: r.v for r in rows.collect()} == {c: chr(c) if valid(c) else None for c in codes}
+
+
 def test_dictionary_of_a_table(spark):
     from marketlens.operators import dictionary as D
 
