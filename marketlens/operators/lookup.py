@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketlens.operators.ordered import few_or_written
+from marketlens.operators.ordered import FEW_GROUPS, few_or_written, join_keys
 from marketlens.operators.places import asof
+from marketlens.operators.scratch import scratch_table
 
 
 def folded(c: Column) -> Column:
@@ -52,16 +53,51 @@ def transpose(table: DataFrame, header: str, columns: Sequence[str], new_headers
 
 #: Entries of one inner index, on either side, that meet in one task.
 BLOCK = 10_000
+#: Products that one task adds up where one side has few entries.
+PRODUCTS_PER_PART = 16_000_000
 
 
-def matrix_product(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+def matrix_product(left: DataFrame, right: DataFrame, block: int = BLOCK, few: int = FEW_GROUPS) -> DataFrame:
     """Sparse product of (i, j, v) tables: join on the inner index, sum per cell.
 
-    An inner index with many entries is cut into blocks of rows and blocks of columns, and
-    each is repeated along the other axis, so that no index is the work of one task.
+    A side with few entries is sent to all tasks, and the rows (or columns) of the other
+    side are kept together, so the products are added up where they are made. Otherwise an
+    inner index with many entries is cut into blocks of rows and blocks of columns, and each
+    is repeated along the other axis, so that no index is the work of one task.
     """
-    a = left.select("i", F.col("j").alias("k"), F.col("v").alias("a"))
-    b = right.select(F.col("i").alias("k"), "j", F.col("v").alias("b"))
+    a = scratch_table(left.select("i", F.col("j").alias("k"), F.col("v").alias("a")), "left")
+    b = scratch_table(right.select(F.col("i").alias("k"), "j", F.col("v").alias("b")), "right")
+    for long, short, kept in ((a, b, "i"), (b, a, "j")):
+        if short.limit(few + 1).count() <= few:
+            return _with_few(long, short, kept)
+    return _in_blocks(a, b, block)
+
+
+def _with_few(long: DataFrame, few: DataFrame, kept: str, products_per_part: int | None = None) -> DataFrame:
+    """Product with a side of few entries; what has the same ``kept`` index on the long side meets in one task.
+
+    The number of tasks follows the number of products. A kept index with more products than
+    one task may have is spread, and its sums are added.
+    """
+    products_per_part = products_per_part or PRODUCTS_PER_PART
+    made = long.join(F.broadcast(few.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))), "k")
+    total = made.agg(F.sum("_n")).first()[0] or 0
+    parts = max(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // products_per_part))
+    cells = lambda rows, *on: rows.join(F.broadcast(few), "k").groupBy(*on).agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    plain = cells(long.repartition(parts, kept), "i", "j")
+    if total <= products_per_part:
+        return plain
+    heavy = made.groupBy(kept).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > products_per_part)
+    heavy, held = few_or_written(heavy.select(kept, F.ceil(F.col("_n") / products_per_part).cast("int").alias("_parts")), "heavy")
+    if held and heavy.isEmpty():
+        return plain
+    spread = join_keys(long, F.broadcast(heavy) if held else heavy, [kept], "left")
+    spread = spread.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    summed = cells(spread.repartition(parts, kept, "_salt"), "i", "j", "_salt")
+    return summed.groupBy("i", "j").agg(F.sum("v").cast(plain.schema["v"].dataType).alias("v"))
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
     sizes = a.groupBy("k").agg(F.count(F.lit(1)).alias("_a")).join(b.groupBy("k").agg(F.count(F.lit(1)).alias("_b")), "k")
     large = sizes.filter((F.col("_a") > block) | (F.col("_b") > block))
     blocks, few = few_or_written(large.select("k", F.ceil(F.col("_a") / block).cast("int").alias("_rows"), F.ceil(F.col("_b") / block).cast("int").alias("_columns")), "blocks")

@@ -219,3 +219,26 @@ def test_matrix_product_of_a_narrow_inner_index(spark):
     frames = [spark.createDataFrame(rows, "i int, j int, v double").repartition(4) for rows in (left, right)]
     for block in (25, 10_000):
         assert {(r.i, r.j): r.v for r in K.matrix_product(*frames, block).collect()} == want
+
+
+def test_matrix_product_moves_no_products(spark, monkeypatch):
+    random.seed(9)
+    left = [(random.choice([None, 1, 1, 1, i]), k, float(random.randrange(9))) for i in range(60) for k in range(5) for _ in range(2)] + [(5, 70, 2.0), (6, None, 1.0)]
+    right = [(k, j, float(random.randrange(9))) for k in range(5) for j in (*range(7), None)] + [(None, 2, 1.0), (71, 3, 1.0)]
+    want = {}
+    for i, k, a in left:
+        for h, j, b in right:
+            if k is not None and k == h:
+                want[i, j] = want.get((i, j), 0.0) + a * b
+    long, short = (spark.createDataFrame(rows, "i int, j int, v double").repartition(4) for rows in (left, right))
+    turned = [df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") for df in (short, long)]
+    plain = K.matrix_product(long, short)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if " Exchange " in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0] and "Join" not in plan[: plan.index("BroadcastHashJoin")]
+    assert {(r.i, r.j): r.v for r in plain.collect()} == want
+    for per_part in (16_000_000, 40):  # with 40, the rows of index 1 and of null are spread
+        monkeypatch.setattr(K, "PRODUCTS_PER_PART", per_part)
+        for few in (0, 50, 10_000):
+            assert {(r.i, r.j): r.v for r in K.matrix_product(long, short, 25, few).collect()} == want
+            assert {(r.j, r.i): r.v for r in K.matrix_product(*turned, 25, few).collect()} == want
