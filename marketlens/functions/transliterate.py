@@ -29,6 +29,8 @@ BEYOND = r"\x{80}-\x{10FFFF}"
 DROPPED = r"(?:[\x00-\x08\x0A-\x1F\x7F$+<=>^`|~]|[" + BEYOND + r"&&[^\p{IsHan}\p{P}\p{Z}\p{M}\p{N}\p{L}]])+"
 BETWEEN_WORDS = f"(?:[^A-Za-z0-9{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}]])+"
 DELIMITERS = ("_", "-", ".", "")
+#: Phrases of a part that one pattern tries in turn.
+FEW_PHRASES = 200
 
 
 def prepare(text: Column) -> Column:
@@ -68,30 +70,39 @@ def with_surname(prepared: Column, surnames: Sequence[tuple[str, str]]) -> Colum
     return F.coalesce(*named, prepared)
 
 
+def _read_natively(text: Column, words: dict[str, str]) -> Column:
+    """One part's leftmost longest phrases replaced, as an expression: the text is cut into phrases, runs without a first character, and first characters of no phrase."""
+    literal = lambda s: "".join(f"\\x{{{ord(c):X}}}" for c in s)
+    phrases = "|".join(map(literal, sorted(words, key=len, reverse=True)))
+    firsts = "".join(literal(c) for c in dict.fromkeys(phrase[0] for phrase in words))
+    pieces = F.regexp_extract_all(text, F.lit(f"{phrases}|[^{firsts}]+|[{firsts}]"), F.lit(0))
+    readings = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(readings, p), p)), "")
+
+
 def romanize(text: Column, parts: Sequence[dict[str, str]], surnames: Sequence[tuple[str, str]] = ()) -> Column:
-    """Readings for the phrases of the prepared text, part by part, longest phrase first."""
+    """Readings for the phrases of the prepared text, part by part, longest phrase first.
+
+    Parts of up to FEW_PHRASES are expressions and hold one text at a time; only larger
+    ones are read in Python, by their first characters.
+    """
     prepared = with_surname(prepare(text), surnames)
-    lengths, starts = [], []
-    parts = [words for words in parts if words]
     for words in parts:
-        longest: dict[str, int] = {}
-        for phrase in words:
-            longest[phrase[0]] = max(longest.get(phrase[0], 0), len(phrase))
-        lengths.append(longest)
-        starts.append("[" + "".join(re.escape(c) for c in longest) + "]")
-    if not parts:
-        return prepared
+        if words:
+            prepared = _read_natively(prepared, words) if len(words) <= FEW_PHRASES else _read_in_python(prepared, words)
+    return prepared
 
-    @pandas_udf("string")
-    def read(values: pd.Series) -> pd.Series:
-        finders = [re.compile(s) for s in starts]
 
-        def one(value):
-            for words, longest, finder in zip(parts, lengths, finders):
-                value = replace_longest(value, words, longest, finder)
-            return value
+def _read_in_python(prepared: Column, words: dict[str, str]) -> Column:
+    longest: dict[str, int] = {}
+    for phrase in words:
+        longest[phrase[0]] = max(longest.get(phrase[0], 0), len(phrase))
+    starts = "[" + "".join(re.escape(c) for c in longest) + "]"
 
-        return values.map(one, na_action="ignore")
+    @pandas_udf("string")
+    def read(values: pd.Series) -> pd.Series:
+        finder = re.compile(starts)
+        return values.map(lambda value: replace_longest(value, words, longest, finder), na_action="ignore")
 
     return read(prepared)
 
@@ -112,7 +123,8 @@ def numbered_tones(text: Column) -> Column:
     for marked, letters, _ in TONES[:4]:
         rest = F.replace(rest, F.lit(marked), F.lit(letters))
     digits[4:] = [F.when(F.contains(rest, F.lit(m)), F.lit(str(tone))).otherwise("") for m, _, tone in TONES[4:]]
-    return F.concat(plain(text), *digits)
+    # most words have no mark and stay as they are
+    return F.when(F.rlike(text, F.lit("[" + "".join(m for m, _, _ in TONES[4:]) + "]")), F.concat(plain(text), *digits)).otherwise(text)
 
 
 def tokens(romanized: Column, option: str = "none") -> Column:

@@ -88,6 +88,28 @@ def test_char_beyond_the_code_points(spark):
     assert {r.c: r.v for r in rows.collect()} == {c: chr(c) if valid(c) else None for c in codes}
 
 
+def test_few_phrases_are_read_without_python(spark, monkeypatch):
+    import random
+
+    from marketlens.plans import catalogue
+
+    random.seed(3)
+    parts = [{"ab": "\tā", "abc": "x\n", "b": "", "😀c": "é", "-]": "^", "\\E": "c"}, {}, {"^": "a.", "é": "bb", "x": "\tx"}]
+    texts = ["".join(random.choice(["a", "b", "c", "-", "]", "é", "😀", "\\", "E", " ", "\t", "\n", "^", "中"]) for _ in range(random.randrange(60))) for _ in range(300)] + [None, "", "abc" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    native = rows.select("i", Z.romanize(F.col("text"), parts).alias("w"))
+    assert "EvalPython" not in native._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.w for r in native.collect()}
+    monkeypatch.setattr(Z, "FEW_PHRASES", 0)
+    assert got == {r.i: r.w for r in rows.select("i", Z.romanize(F.col("text"), parts).alias("w")).collect()}
+    monkeypatch.undo()
+    for name in ("text_1_convert", "text_1_tone_numbers"):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan
+    words = spark.createDataFrame([(w,) for w in ["lüē", "lüè", "ü", "abc", "", "Xiǎoā", None]], "w string").select(Z.numbered_tones(F.col("w")).alias("v"))
+    assert [r.v for r in words.collect()] == ["lue1", "lue4", "ü", "abc", "", "Xiaoa13", None]
+
+
 def test_dictionary_of_a_table(spark):
     from marketlens.operators import dictionary as D
 
