@@ -124,6 +124,32 @@ def test_dictionary_of_a_table(spark):
     assert D.romanize(rows, "text", phrases.limit(0)).count() == 7 and D.romanize(rows.limit(0), "text", phrases).count() == 0
 
 
+def test_dictionary_sent_to_tasks_or_joined(spark, monkeypatch):
+    import random
+
+    from marketlens.operators import dictionary as D
+
+    random.seed(4)
+    table = [(0, "ab", "\tcé"), (0, "abc", "-b"), (0, "a", "ab"), (0, "é", "x\t"), (1, "cé", "ā"), (1, "b-", "no"), (1, "bx", None), (1, "x", "c"), (None, "-]", "a"), (2, "ac", "^")]
+    phrases = spark.createDataFrame(table, "part int, phrase string, reading string")
+    parts = [{p: r or "" for n, p, r in table if n == part} for part in (None, 0, 1, 2)]
+    texts = ["".join(random.choice("aabbccé-]x z.") for _ in range(random.randrange(50))) for _ in range(300)] + [None, "", "abcab" * 4000, "z" * 100]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    want = {r.i: r.w for r in rows.select("i", Z.romanize(F.col("text"), parts).alias("w")).collect()}
+    held = D.romanize(rows, "text", phrases)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Join" not in plan  # no text is moved
+    assert {r.i: r.romanized for r in held.collect()} == want
+    monkeypatch.setattr(D, "KEPT_PIECES", 3)
+    assert {r.i: r.romanized for r in D.romanize(rows, "text", phrases).collect()} == want
+    for limit in ("HELD_PHRASES", "HELD_CHARACTERS"):
+        monkeypatch.setattr(D, limit, 5)
+        joined = D.romanize(rows, "text", phrases)
+        assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+        assert {r.i: r.romanized for r in joined.collect()} == want
+        monkeypatch.undo()
+
+
 def test_schedules(spark):
     loans = spark.createDataFrame([(1, 0.01, 12, 1000.0), (2, 0.0, 4, 100.0)], "id int, r double, n int, pv double")
     rows = C.schedule(loans, "n")
