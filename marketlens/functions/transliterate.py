@@ -24,10 +24,11 @@ TONES = (
 # Full-width punctuation and its plain form.
 PUNCTUATION = {"，": ",", "。": ".", "！": "!", "？": "?", "：": ":", "“": '"', "”": '"', "‘": "'", "’": "'"}
 MARKED = "üāēīōūǖáéíóúǘǎěǐǒǔǚàèìòùǜ"
-# Character classes are split into an ASCII part, which is one table lookup, and the rest.
+# Character classes are split into an ASCII part, which is one table lookup, and the rest. Runs of
+# either stand side by side: a repeated group would take a stack frame for every character.
 BEYOND = r"\x{80}-\x{10FFFF}"
-DROPPED = r"(?:[\x00-\x08\x0A-\x1F\x7F$+<=>^`|~]|[" + BEYOND + r"&&[^\p{IsHan}\p{P}\p{Z}\p{M}\p{N}\p{L}]])+"
-BETWEEN_WORDS = f"(?:[^A-Za-z0-9{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}]])+"
+DROPPED = r"[\x00-\x08\x0A-\x1F\x7F$+<=>^`|~]+|[" + BEYOND + r"&&[^\p{IsHan}\p{P}\p{Z}\p{M}\p{N}\p{L}]]+"
+BETWEEN_WORDS = f"[^A-Za-z0-9{BEYOND}]+|[{BEYOND}&&[^{MARKED}{MARKED.upper()}]]+"
 DELIMITERS = ("_", "-", ".", "")
 #: Phrases of a part that one pattern tries in turn.
 FEW_PHRASES = 200
@@ -145,7 +146,7 @@ def permalink(text: Column, parts, delimiter: str = "-") -> Column: return slug(
 def slug(romanized: Column, delimiter: str = "-") -> Column:
     if delimiter not in DELIMITERS:
         raise ValueError("delimiter must be one of '_', '-', '.' or empty")
-    joined = F.regexp_replace(plain(romanized), BETWEEN_WORDS, "\n")
+    joined = F.regexp_replace(F.regexp_replace(plain(romanized), BETWEEN_WORDS, "\n"), "\n+", "\n")
     return F.translate(F.trim(joined, F.lit("\n")), "\n", delimiter)
 
 
@@ -162,7 +163,7 @@ def sentence(text: Column, parts, with_tone: bool = False) -> Column: return rea
 def readable(romanized: Column, with_tone: bool = False) -> Column:
     """Readable line: other characters out, punctuation plain, tabs and double spaces to one space."""
     ascii_marks = "".join(dict.fromkeys(PUNCTUATION.values()))
-    unwanted = f"(?:[^A-Za-z0-9{ascii_marks}\\s_{BEYOND}]|[{BEYOND}&&[^{MARKED}{MARKED.upper()}{''.join(PUNCTUATION)}]])+"
+    unwanted = f"[^A-Za-z0-9{ascii_marks}\\s_{BEYOND}]+|[{BEYOND}&&[^{MARKED}{MARKED.upper()}{''.join(PUNCTUATION)}]]+"
     kept = F.regexp_replace(romanized, unwanted, "")
     for full, simple in PUNCTUATION.items():
         kept = F.replace(kept, F.lit(full), F.lit(simple))

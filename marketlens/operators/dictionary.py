@@ -22,8 +22,9 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import StringType
 
 from marketlens.functions.transliterate import prepare, with_surname
@@ -33,7 +34,9 @@ from marketlens.operators.scratch import scratch_table
 #: Phrases, and characters in them and their readings, that may be sent to all tasks.
 HELD_PHRASES, HELD_CHARACTERS = 100_000, 4_000_000
 #: Readings of short pieces that a task keeps.
-KEPT_PIECES, KEPT_LENGTH = 400_000, 64
+KEPT_PIECES, KEPT_LENGTH = 200_000, 64
+#: Texts of an Arrow batch that are Python strings at a time.
+SLICE = 100
 
 
 @pandas_udf(StringType())
@@ -147,17 +150,21 @@ def _read_here(text: Column, parts: Sequence[dict[str, str]]) -> Column:
     run = "([" + "".join(re.escape(c) for c in sorted(characters)) + "]+)"
     parts = [(words, _sizes(words)) for words in parts]
 
-    @pandas_udf(StringType())
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(StringType())
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, readings = re.compile(run), _Readings(parts)
 
         def one(value):
+            if value is None:
+                return None
             cut = pieces.split(value)  # every second one is a piece
             cut[1::2] = map(readings.__getitem__, cut[1::2])
             return "".join(cut)
 
         for texts in batches:
-            yield texts.map(one, na_action="ignore")
+            # of a batch only a slice at a time is held as Python strings
+            slices = (texts.slice(at, SLICE) for at in range(0, len(texts), SLICE))
+            yield pa.concat_arrays([pa.array([one(t.as_py()) for t in part], pa.string()) for part in slices] or [pa.array([], pa.string())])
 
     return read(text)
 

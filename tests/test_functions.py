@@ -150,6 +150,15 @@ def test_dictionary_sent_to_tasks_or_joined(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_long_runs_between_words(spark):
+    v = lambda c: value(spark, c)
+    run = F.repeat(F.lit("é.«= \t€"), 30_000)
+    text = F.concat(F.lit("ab"), run, F.lit("cd"))
+    assert v(Z.slug(text)) == "abe-" + "e-" * 29_999 + "cd" and v(Z.tokens(text)) == ["abe", *["e"] * 29_999, "cd"]
+    assert v(Z.slug(F.concat(F.lit("ab"), F.repeat(F.lit("«= €"), 30_000), F.lit("cd")), "_")) == "ab_cd"
+    assert v(Z.prepare(F.repeat(F.lit("€=€"), 30_000))) == "" and v(Z.readable(F.repeat(F.lit("«="), 30_000))) == ""
+
+
 def test_schedules(spark):
     loans = spark.createDataFrame([(1, 0.01, 12, 1000.0), (2, 0.0, 4, 100.0)], "id int, r double, n int, pv double")
     rows = C.schedule(loans, "n")
