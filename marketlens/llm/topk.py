@@ -3,18 +3,19 @@
 The dimensions are cut into ``SLICES`` slices, and each slice is a list of local scores
 whose sum is the score of a vector. For every query:
 
-1. the best local scores of each slice are gathered. A vector seen there has at least the
-   sum of its gathered scores and the smallest local scores of the other slices; the k-th
-   largest of these sums is a safe cutoff;
+1. the best local scores of each slice are gathered, and the vectors seen there are added
+   up over all slices; the k-th largest of these sums is a safe cutoff;
 2. the cutoff, spread evenly over the slices, is sent back. Every vector with a local
    score of that share or more (counted from the slice's smallest) is collected; no other
    vector can reach the cutoff;
 3. collected vectors whose known local scores still allow the cutoff get their exact
    score, and the k best are ranked.
 
-Vectors lie in blocks of ``BLOCK`` rows and queries in blocks of ``QUERY_BLOCK``; local
-scores of a pair of blocks come from one matrix product per slice. Query blocks are sent
-to groups of candidate blocks by an equi join, so nothing is gathered as a whole.
+Vectors lie in blocks of ``BLOCK`` rows and queries in blocks of ``QUERY_BLOCK``, as the
+narrowest whole numbers that hold them. Parts of the queries and parts of the candidates
+meet in cells, dealt by one exchange of both: a task holds the queries of its cell (at
+most about ``HELD_BYTES``) and reads the candidates block by block. No join is planned
+and nothing but sums reaches the driver, so it holds as little for any number of vectors.
 
 Defined results: components count as ``floor(256 * x)`` in double precision; a vector that
 is null, or holds a null or non-finite component, or has no id, takes no part; vectors
@@ -26,6 +27,8 @@ must fit 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +40,25 @@ from marketlens.tables import Tables
 
 K, EVERY, SLICES = 5, 50, 4
 BLOCK, QUERY_BLOCK = 2048, 512
-#: Candidate blocks to which one copy of the queries is sent.
-BLOCKS_PER_GROUP = 8
+#: Pairs of a query and a candidate in a cell, copies of a vector that cells may take on average, and bytes of queries held by a task.
+CELL_PAIRS, COPIES, HELD_BYTES = 1 << 26, 4, 32_000_000
+#: Queries compared with a block at once: their scores stay in the processor's cache.
+_AT_ONCE = 128
 _HELD = 50_000
 NONE = np.iinfo(np.int64).min
 
 _BLOCK_SCHEMA = "block bigint, dim int, ids binary, rows array<bigint>, vectors binary"
 
 
+def _narrow(data: np.ndarray) -> np.ndarray:
+    low, high = data.min(initial=0), data.max(initial=0)
+    return data.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _packed(pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]], names: list[int], dim: int) -> pa.RecordBatch:
     columns = [pa.array(names, pa.int64()), pa.array([dim] * len(names), pa.int32())]
-    ids, vectors = (pa.array([np.ascontiguousarray(p[i]).tobytes() for p in pieces], pa.binary()) for i in (0, 2))
+    ids = pa.array([np.ascontiguousarray(p[0]).tobytes() for p in pieces], pa.binary())
+    vectors = pa.array([_narrow(p[2]).tobytes() for p in pieces], pa.binary())
     columns += [ids, pa.array([p[1] for p in pieces], pa.list_(pa.int64())), vectors]
     return pa.RecordBatch.from_arrays(columns, names=["block", "dim", "ids", "rows", "vectors"])
 
@@ -96,8 +107,8 @@ def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def _parse(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.array(row["rows"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"])
+    ids, width = np.frombuffer(row["ids"], np.int64), len(row["vectors"]) * 8 // max(1, len(row["ids"]) * row["dim"])
+    return ids, np.array(row["rows"], np.int64), np.frombuffer(row["vectors"], f"i{width or 8}").reshape(len(ids), row["dim"])
 
 
 def query_blocks(candidates: DataFrame, every: int = EVERY, size: int = QUERY_BLOCK) -> DataFrame:
@@ -128,91 +139,154 @@ def query_blocks(candidates: DataFrame, every: int = EVERY, size: int = QUERY_BL
     return candidates.mapInArrow(run, _BLOCK_SCHEMA)
 
 
-def local_scores(queries: np.ndarray, vectors: np.ndarray, slices: int = SLICES) -> list[np.ndarray]:
+def _reach(vectors: np.ndarray) -> float:
+    """The greatest length of a vector."""
+    return max(1.0, float(np.sqrt(np.square(vectors.astype(float)).sum(axis=1)).max(initial=0)))
+
+
+def _exact_type(reach: float, slices: int) -> type:
+    """The fastest type for scores up to ``reach``: their sums and multiples by the slices are whole numbers that it holds."""
+    most = 2.001 * max(slices, 1) * reach
+    return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
+
+
+def local_scores(queries: np.ndarray, vectors: np.ndarray, slices: int = SLICES, kind: type | None = None) -> list[np.ndarray]:
     """Local scores (query, vector) of every slice, exact."""
     dim = vectors.shape[1]
     bounds = [dim * s // slices for s in range(slices + 1)]
-    top = max(1.0, float(np.abs(queries).max(initial=0))) * max(1.0, float(np.abs(vectors).max(initial=0)))
-    exact = top * max(dim, 1) < 2.0**53
-    out = []
-    for a, b in zip(bounds, bounds[1:]):
-        q, v = queries[:, a:b], vectors[:, a:b]
-        out.append((q.astype(float) @ v.T.astype(float)).astype(np.int64) if exact else q @ v.T)
-    return out
+    kind = kind or _exact_type(_reach(queries) * _reach(vectors), slices)
+    queries, vectors = queries.astype(kind, copy=False), vectors.astype(kind, copy=False)
+    return [queries[:, a:b] @ vectors[:, a:b].T for a, b in zip(bounds, bounds[1:])]
 
 
 def gathered(scores: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Phase 1 on one pair of blocks: the k best lower bounds and the smallest local score of each slice, per query.
+    """Phase 1 on one pair of blocks: the k best sums of vectors seen among the best of a slice, from the largest on, and the smallest local score of each slice, per query.
 
     ``own`` marks a query's own row, which is no candidate. Where fewer than k candidates
-    exist, the missing bounds are the smallest number.
+    exist, the missing sums are the smallest number.
     """
-    least = np.stack([s.min(axis=1) for s in scores], axis=1)
+    least = np.stack([s.min(axis=1) for s in scores], axis=1).astype(np.int64)
     n = scores[0].shape[1]
-    lists = min(n, k + 1)
-    bound = np.repeat(least.sum(axis=1)[:, None], n, axis=1)
-    for i, s in enumerate(scores):
-        at = np.argpartition(s, n - lists, axis=1)[:, n - lists :]
-        seen = np.take_along_axis(s, at, axis=1) - least[:, i : i + 1]
-        np.put_along_axis(bound, at, np.take_along_axis(bound, at, axis=1) + seen, axis=1)
-    bound[own] = NONE
-    if n < k:
-        bound = np.concatenate([bound, np.full((len(bound), k - n), NONE)], axis=1)
-    return -np.partition(-bound, k - 1, axis=1)[:, :k], least
+    at = n - min(n, k + 1)
+    seen = reduce(np.logical_or, (s >= np.partition(s, at, axis=1)[:, at : at + 1] for s in scores)) & ~own
+    total = reduce(np.add, scores)
+    none = NONE if total.dtype == np.int64 else -np.inf
+    best = np.partition(np.where(seen, total, none), max(n - k, 0), axis=1)[:, max(n - k, 0) :][:, ::-1]
+    sums = np.full((len(best), k), NONE)
+    there = best > none
+    sums[:, : best.shape[1]][there] = best[there].astype(np.int64)
+    return np.sort(sums, axis=1)[:, ::-1], least
+
+
+def _shares(cutoff: np.ndarray, least: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a query's candidates must reach above the smallest scores in all, and the local score of each slice that is its share."""
+    above = np.where(cutoff == NONE, 0, cutoff - least.sum(axis=1))  # with fewer candidates than k all are collected
+    return above, least - (-above // slices)[:, None]
+
+
+def collected(scores: list[np.ndarray], own: np.ndarray, cutoff: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Phase 2 on one pair of blocks: the pairs with a local score of the cutoff's share or more."""
+    share = _shares(cutoff, least, len(scores))[1]
+    return reduce(np.logical_or, (s >= share[:, i : i + 1].astype(s.dtype) for i, s in enumerate(scores))) & ~own
 
 
 def resolved(scores: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Phases 2 and 3 on one pair of blocks: ``(query, places, scores)`` of the k best that can reach the cutoff."""
     m = len(scores)
-    above = np.where(cutoff == NONE, 0, cutoff - least.sum(axis=1))  # with fewer candidates than k all are collected
-    known = [m * (s - least[:, i : i + 1]) >= above[:, None] for i, s in enumerate(scores)]
-    collected = np.logical_or.reduce(known) & ~own
-    for q in np.flatnonzero(collected.any(axis=1)):
-        at = np.flatnonzero(collected[q])
-        # a local score that was not collected is below its share of the cutoff
-        most = sum(np.where(known[i][q, at], m * (s[q, at] - least[q, i]), above[q]) for i, s in enumerate(scores))
-        at = at[most >= m * above[q]]
-        total = sum(s[q, at] for s in scores)
-        order = np.lexsort((ids[at], -total))[:k]
-        order = order[total[order] >= cutoff[q]]
-        yield int(q), at[order], total[order]
-
-
-def _pairs(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
-    sent = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    placed = candidates.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    return placed.join(sent, (F.col("group") == F.col("q_group")) & (F.col("dim") == F.col("q_dim"))).drop("group", "q_group", "q_dim")
-
-
-def cutoffs(pairs: DataFrame, k: int, slices: int) -> DataFrame:
+    above, share = _shares(cutoff, least, m)
+    found = np.flatnonzero(collected(scores, own, cutoff, least))
+    q, at = np.divmod(found, scores[0].shape[1])
+    local = [s.ravel()[found].astype(np.int64) for s in scores]
+    # a local score that was not collected is below its share of the cutoff
+    most = sum(np.where(x >= share[q, i], m * (x - least[q, i]), above[q]) for i, x in enumerate(local))
+    total = sum(local)
+    can = (most >= m * above[q]) & (total >= cutoff[q])
+    q, at, total = q[can], at[can], total[can]
+    order = np.lexsort((ids[at], -total, q))
+    q, at, total = q[order], at[order], total[order]
+    starts = np.flatnonzero(np.diff(q, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(q)]):
+        some = slice(a, min(b, a + k))
+        yield int(q[a]), at[some], total[some]
+
+
+def grid(candidates: int, queries: int, query_bytes: int, cores: int) -> tuple[int, int]:
+    """Parts of the queries and of the candidates, so that their cells take few copies of both.
+
+    Cells hold about ``CELL_PAIRS`` pairs. More are put into one where the copies would
+    otherwise outgrow the vectors, as long as every core has cells to work on.
+    """
+    cells = min(-(-candidates * queries // CELL_PAIRS), max(4 * cores, COPIES * COPIES * candidates // (4 * max(queries, 1))))
+    of_queries = max(round((cells * queries / max(candidates, 1)) ** 0.5), -(-query_bytes // HELD_BYTES), 1)
+    return of_queries, max(1, -(-cells // of_queries))
+
+
+def _cells(candidates: DataFrame, queries: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """The blocks of every cell, those of its queries first."""
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(n: int):
+        return F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+
+    extra = {c: F.lit(None).cast("array<bigint>") for c in ("cutoff", "least")}
+    rows = ["dim", "q_part", "c_part", "found", "ids", "rows", "vectors", "cutoff", "least"]
+    asked = queries.withColumns({c: x for c, x in extra.items() if c not in queries.columns})
+    asked = asked.withColumns({"q_part": dealt(parts[0]), "found": F.lit(False)}).withColumn("c_part", every(parts[1]))
+    placed = candidates.withColumns(extra | {"c_part": dealt(parts[1]), "found": F.lit(True)}).withColumn("q_part", every(parts[0]))
+    both = asked.select(rows).unionByName(placed.select(rows))
+    return both.repartition(2 * parts[0] * parts[1], "dim", "q_part", "c_part").sortWithinPartitions("dim", "q_part", "c_part", "found")
+
+
+def _compared(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[tuple[dict[str, np.ndarray], Iterator[tuple]]]:
+    """For every cell its queries and, block by block, ``(some of the queries, local scores, own, ids, rows)``."""
+    lines = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
+    for _, cell in groupby(lines, lambda x: (x["dim"], x["q_part"], x["c_part"])):
+        asked, first = [], None
+        for row in cell:
+            if row["found"]:
+                first = row
+                break
+            asked.append((*_parse(row), row["cutoff"] or [], row["least"] or []))
+        if asked and first is not None:
+            ids, rows, vectors, cutoff, least = (np.concatenate(x) for x in zip(*asked))
+            held = {"ids": ids, "rows": rows, "vectors": vectors, "cutoff": cutoff.astype(np.int64), "least": least.astype(np.int64).reshape(-1, slices)}
+            yield held, _block_scores(held, chain([first], cell), slices)
+
+
+def _block_scores(held: dict[str, np.ndarray], found: Iterator[dict], slices: int) -> Iterator[tuple]:
+    reach = _reach(held["vectors"])
+    for row in found:
+        ids, rows, vectors = _parse(row)
+        kind = _exact_type(reach * _reach(vectors), slices)
+        vectors = vectors.astype(kind)
+        for start in range(0, len(held["ids"]), _AT_ONCE):
+            some = slice(start, start + _AT_ONCE)
+            mine = held["rows"][some]
+            own = np.zeros((len(mine), len(rows)), bool)
+            at = np.minimum(np.searchsorted(rows, mine), len(rows) - 1)  # a block's rows are in order
+            own[np.arange(len(mine)), at] = rows[at] == mine
+            yield some, local_scores(held["vectors"][some], vectors, slices, kind), own, ids, rows
+
+
+def cutoffs(cells: DataFrame, k: int, slices: int) -> DataFrame:
     """``q, cutoff, least``: the safe cutoff and the smallest local scores of every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(best), pa.int64()), pa.array([b.tolist() for b, _ in best.values()], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in best.values()], pa.list_(pa.int64()))],
-                names=["q", "bounds", "least"],
-            )
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, rows, vectors = _parse(row)
-                _, q_rows, q_vectors = _parse({"ids": row["q_ids"], "rows": row["q_rows"], "vectors": row["q_vectors"], "dim": row["dim"]})
-                scores = local_scores(q_vectors, vectors, slices)
-                bounds, least = gathered(scores, q_rows[:, None] == rows[None, :], k)
-                for q, b, x in zip(q_rows.tolist(), bounds, least):
-                    if q in best:
-                        b, x = np.sort(np.concatenate([best[q][0], b]))[::-1][:k], np.minimum(best[q][1], x)
-                    best[q] = (b, x)
-            if len(best) >= _HELD:
-                yield told()
-                best.clear()
-        if best:
-            yield told()
-
-    rows = pairs.mapInArrow(run, "q bigint, bounds array<bigint>, least array<bigint>")
+        for held, compared in _compared(batches, slices):
+            n = len(held["ids"])
+            best, smallest = np.full((n, k), NONE), np.full((n, slices), np.iinfo(np.int64).max)
+            for some, scores, own, _, _ in compared:
+                sums, least = gathered(scores, own, k)
+                best[some] = np.sort(np.concatenate([best[some], sums], axis=1), axis=1)[:, -k:]
+                smallest[some] = np.minimum(smallest[some], least)
+            for start in range(0, n, _HELD):
+                some = slice(start, start + _HELD)
+                lists = [pa.array(list(x[some]), pa.list_(pa.int64())) for x in (best, smallest)]
+                yield pa.RecordBatch.from_arrays([pa.array(held["rows"][some]), *lists], names=["q", "bounds", "least"])
+
+    rows = cells.mapInArrow(run, "q bigint, bounds array<bigint>, least array<bigint>")
     least = [F.min(F.col("least")[i]).alias(f"l{i}") for i in range(slices)]
     merged = rows.groupBy("q").agg(F.flatten(F.collect_list("bounds")).alias("bounds"), *least)
     return merged.select("q", F.get(F.sort_array("bounds", asc=False), F.lit(k - 1)).alias("cutoff"), F.array(*[f"l{i}" for i in range(slices)]).alias("least"))
@@ -221,33 +295,48 @@ def cutoffs(pairs: DataFrame, k: int, slices: int) -> DataFrame:
 def _with_cutoffs(queries: DataFrame, found: DataFrame) -> DataFrame:
     """Query blocks with the cutoffs of their rows beside them."""
     placed = queries.select("block", F.posexplode("rows").alias("at", "q"))
-    lists = placed.join(found, "q").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "cutoff", "least"))).alias("cut"))  # a block's rows
-    return queries.join(lists, "block").withColumns({"cutoff": F.col("cut.cutoff"), "least": F.flatten("cut.least")}).drop("cut")
+    # blocks are estimated far too small, as they are packed and as they have many rows: no side is for the driver to send
+    lists = placed.join(found.hint("merge"), "q").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "cutoff", "least"))).alias("cut"))  # a block's rows
+    return queries.join(lists.hint("merge"), "block").withColumns({"cutoff": F.col("cut.cutoff"), "least": F.flatten("cut.least")}).drop("cut")
+
+
+def _best(hits: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """The k best hits ``(query, score, id, row)`` of every query."""
+    q, score, ids, rows = (np.concatenate(x) for x in zip(*hits))
+    order = np.lexsort((rows, ids, -score, q))
+    starts = np.flatnonzero(np.diff(q[order], prepend=-1))
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(starts, append=len(q)))
+    order = order[place < k]
+    return [(q[order], score[order], ids[order], rows[order])]
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, slices: int = SLICES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best of every row whose id is divisible by ``every``."""
     candidates = scratch_table(blocks(vectors), "vector-blocks")
     queries = scratch_table(query_blocks(candidates, every), "query-blocks")
-    groups = max(1, -(-candidates.count() // BLOCKS_PER_GROUP))
-    found = scratch_table(cutoffs(_pairs(candidates, queries, groups), k, slices), "cutoffs")
+    number = F.coalesce(F.sum(F.size("rows")), F.lit(0))
+    n_queries, size = queries.agg(number, F.coalesce(F.sum(F.octet_length("vectors") + 128 * F.size("rows")), F.lit(0))).first()
+    parts = grid(candidates.agg(number).first()[0], n_queries, size, vectors.sparkSession.sparkContext.defaultParallelism)
+    found = scratch_table(cutoffs(_cells(candidates, queries, parts), k, slices), "cutoffs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for row in batch.to_pylist():
-                ids, rows, data = _parse(row)
-                q_ids, q_rows, q_data = _parse({"ids": row["q_ids"], "rows": row["q_rows"], "vectors": row["q_vectors"], "dim": row["dim"]})
-                scores = local_scores(q_data, data, slices)
-                cutoff = np.array(row["q_cutoff"], np.int64)
-                least = np.array(row["q_least"], np.int64).reshape(len(q_ids), slices)
-                for q, places, values in resolved(scores, q_rows[:, None] == rows[None, :], ids, cutoff, least, k):
-                    out += zip([int(q_rows[q])] * len(places), [int(q_ids[q])] * len(places), ids[places].tolist(), rows[places].tolist(), values.tolist())
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "query_id", "vec_id", "row", "score"])
+        for held, compared in _compared(batches, slices):
+            hits, n, most = [], 0, _HELD
+            for some, scores, own, ids, rows in compared:
+                for q, places, values in resolved(scores, own, ids, held["cutoff"][some], held["least"][some], k):
+                    hits.append((np.full(len(places), some.start + q), values, ids[places], rows[places]))
+                    n += len(places)
+                if n > most:
+                    hits = _best(hits, k)
+                    n = len(hits[0][0])
+                    most = _HELD + 2 * n
+            if hits:
+                q, score, ids, rows = _best(hits, k)[0]
+                columns = [held["rows"][q], held["ids"][q], ids, rows, score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "query_id", "vec_id", "row", "score"])
 
     asked = scratch_table(_with_cutoffs(queries, found), "asked")
-    hits = _pairs(candidates, asked, groups).mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
+    hits = _cells(candidates, asked, parts).mapInArrow(run, "q bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
