@@ -8,8 +8,8 @@ whose sum is the score of a vector. For every query:
 2. the cutoff, spread evenly over the slices, is sent back. Every vector with a local
    score of that share or more (counted from the slice's smallest) is collected; no other
    vector can reach the cutoff;
-3. collected vectors whose known local scores still allow the cutoff get their exact
-   score, and the k best are ranked.
+3. collected vectors get their exact score, and the k best of those that reach the
+   cutoff are ranked.
 
 Vectors lie in blocks of ``BLOCK`` rows and queries in blocks of ``QUERY_BLOCK``, as the
 narrowest whole numbers that hold them. Parts of the queries and parts of the candidates
@@ -41,7 +41,7 @@ from marketlens.tables import Tables
 K, EVERY, SLICES = 5, 50, 4
 BLOCK, QUERY_BLOCK = 2048, 512
 #: Pairs of a query and a candidate in a cell, copies of a vector that cells may take on average, and bytes of queries held by a task.
-CELL_PAIRS, COPIES, HELD_BYTES = 1 << 26, 4, 32_000_000
+CELL_PAIRS, COPIES, HELD_BYTES = 1 << 26, 3, 32_000_000
 #: Queries compared with a block at once: their scores stay in the processor's cache.
 _AT_ONCE = 128
 _HELD = 50_000
@@ -150,13 +150,30 @@ def _exact_type(reach: float, slices: int) -> type:
     return np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64
 
 
-def local_scores(queries: np.ndarray, vectors: np.ndarray, slices: int = SLICES, kind: type | None = None) -> list[np.ndarray]:
-    """Local scores (query, vector) of every slice, exact."""
+def local_scores(queries: np.ndarray, vectors: np.ndarray, slices: int = SLICES, kind: type | None = None, room: np.ndarray | None = None) -> list[np.ndarray]:
+    """Local scores (query, vector) of every slice, exact; ``room`` (slice, query, vector) takes them where given."""
     dim = vectors.shape[1]
     bounds = [dim * s // slices for s in range(slices + 1)]
     kind = kind or _exact_type(_reach(queries) * _reach(vectors), slices)
     queries, vectors = queries.astype(kind, copy=False), vectors.astype(kind, copy=False)
-    return [queries[:, a:b] @ vectors[:, a:b].T for a, b in zip(bounds, bounds[1:])]
+    room = [None] * slices if room is None else room[:, : len(queries)]
+    return [np.matmul(queries[:, a:b], vectors[:, a:b].T, out=x) for a, b, x in zip(bounds, bounds[1:], room)]
+
+
+def _floor(scores: np.ndarray, number: int) -> np.ndarray:
+    """For every row a limit that its ``number`` best reach, and few others: the best of that many of its strides."""
+    n, strides = scores.shape[1], 16 * number
+    if n >= 4 * strides:
+        scores = scores[:, : n - n % strides].reshape(len(scores), -1, strides).max(axis=1)
+    at = scores.shape[1] - number
+    return np.partition(scores, at, axis=1)[:, at : at + 1]
+
+
+def _ranked(q: np.ndarray, score: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hits by query, falling score and rising ties, and their places among those of their query."""
+    order = np.lexsort((*ties[::-1], -score, q))
+    starts = np.flatnonzero(np.diff(q[order], prepend=-1))
+    return order, np.arange(len(q)) - np.repeat(starts, np.diff(starts, append=len(q)))
 
 
 def gathered(scores: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,47 +184,37 @@ def gathered(scores: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np.ndar
     """
     least = np.stack([s.min(axis=1) for s in scores], axis=1).astype(np.int64)
     n = scores[0].shape[1]
-    at = n - min(n, k + 1)
-    seen = reduce(np.logical_or, (s >= np.partition(s, at, axis=1)[:, at : at + 1] for s in scores)) & ~own
-    total = reduce(np.add, scores)
-    none = NONE if total.dtype == np.int64 else -np.inf
-    best = np.partition(np.where(seen, total, none), max(n - k, 0), axis=1)[:, max(n - k, 0) :][:, ::-1]
-    sums = np.full((len(best), k), NONE)
-    there = best > none
-    sums[:, : best.shape[1]][there] = best[there].astype(np.int64)
-    return np.sort(sums, axis=1)[:, ::-1], least
-
-
-def _shares(cutoff: np.ndarray, least: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a query's candidates must reach above the smallest scores in all, and the local score of each slice that is its share."""
-    above = np.where(cutoff == NONE, 0, cutoff - least.sum(axis=1))  # with fewer candidates than k all are collected
-    return above, least - (-above // slices)[:, None]
+    seen = np.flatnonzero(reduce(np.logical_or, (s >= _floor(s, min(n, k + 1)) for s in scores)) & ~own)
+    q, total = seen // n, sum(s.ravel()[seen].astype(np.int64) for s in scores)
+    order, place = _ranked(q, total)
+    order, place = order[place < k], place[place < k]
+    sums = np.full((len(own), k), NONE)
+    sums[q[order], place] = total[order]
+    return sums, least
 
 
 def collected(scores: list[np.ndarray], own: np.ndarray, cutoff: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Phase 2 on one pair of blocks: the pairs with a local score of the cutoff's share or more."""
-    share = _shares(cutoff, least, len(scores))[1]
+    above = np.where(cutoff == NONE, 0, cutoff - least.sum(axis=1))  # with fewer candidates than k all are collected
+    share = least - (-above // len(scores))[:, None]
     return reduce(np.logical_or, (s >= share[:, i : i + 1].astype(s.dtype) for i, s in enumerate(scores))) & ~own
 
 
 def resolved(scores: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Phases 2 and 3 on one pair of blocks: ``(query, places, scores)`` of the k best that can reach the cutoff."""
-    m = len(scores)
-    above, share = _shares(cutoff, least, m)
-    found = np.flatnonzero(collected(scores, own, cutoff, least))
-    q, at = np.divmod(found, scores[0].shape[1])
-    local = [s.ravel()[found].astype(np.int64) for s in scores]
-    # a local score that was not collected is below its share of the cutoff
-    most = sum(np.where(x >= share[q, i], m * (x - least[q, i]), above[q]) for i, x in enumerate(local))
-    total = sum(local)
-    can = (most >= m * above[q]) & (total >= cutoff[q])
-    q, at, total = q[can], at[can], total[can]
-    order = np.lexsort((ids[at], -total, q))
+    exact = scores[0].copy()
+    for s in scores[1:]:
+        exact += s
+    # one known share and the others just below theirs allow the cutoff, so all collected pairs are held against it
+    found = np.flatnonzero(collected(scores, own, cutoff, least) & (exact >= cutoff[:, None].astype(exact.dtype)))
+    q, at = np.divmod(found, exact.shape[1])
+    total = exact.ravel()[found].astype(np.int64)
+    order, place = _ranked(q, total, ids[at])
+    order = order[place < k]
     q, at, total = q[order], at[order], total[order]
     starts = np.flatnonzero(np.diff(q, prepend=-1))
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(q)]):
-        some = slice(a, min(b, a + k))
-        yield int(q[a]), at[some], total[some]
+        yield int(q[a]), at[a:b], total[a:b]
 
 
 def grid(candidates: int, queries: int, query_bytes: int, cores: int) -> tuple[int, int]:
@@ -256,18 +263,21 @@ def _compared(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[tuple[
 
 
 def _block_scores(held: dict[str, np.ndarray], found: Iterator[dict], slices: int) -> Iterator[tuple]:
-    reach = _reach(held["vectors"])
+    """Scores stay valid up to the next ones."""
+    reach, room = _reach(held["vectors"]), None
     for row in found:
         ids, rows, vectors = _parse(row)
         kind = _exact_type(reach * _reach(vectors), slices)
         vectors = vectors.astype(kind)
+        if room is None or room.dtype != kind or room.shape[2] != len(ids):
+            room = np.empty((slices, _AT_ONCE, len(ids)), kind)
         for start in range(0, len(held["ids"]), _AT_ONCE):
             some = slice(start, start + _AT_ONCE)
             mine = held["rows"][some]
             own = np.zeros((len(mine), len(rows)), bool)
             at = np.minimum(np.searchsorted(rows, mine), len(rows) - 1)  # a block's rows are in order
             own[np.arange(len(mine)), at] = rows[at] == mine
-            yield some, local_scores(held["vectors"][some], vectors, slices, kind), own, ids, rows
+            yield some, local_scores(held["vectors"][some], vectors, slices, kind, room), own, ids, rows
 
 
 def cutoffs(cells: DataFrame, k: int, slices: int) -> DataFrame:
@@ -303,9 +313,7 @@ def _with_cutoffs(queries: DataFrame, found: DataFrame) -> DataFrame:
 def _best(hits: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
     """The k best hits ``(query, score, id, row)`` of every query."""
     q, score, ids, rows = (np.concatenate(x) for x in zip(*hits))
-    order = np.lexsort((rows, ids, -score, q))
-    starts = np.flatnonzero(np.diff(q[order], prepend=-1))
-    place = np.arange(len(q)) - np.repeat(starts, np.diff(starts, append=len(q)))
+    order, place = _ranked(q, score, ids, rows)
     order = order[place < k]
     return [(q[order], score[order], ids[order], rows[order])]
 

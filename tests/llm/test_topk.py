@@ -126,3 +126,13 @@ def test_fewer_candidates_than_k():
     bounds, least = K.gathered(scores, own, 5)
     assert bounds.tolist() == [[17, -5, *[K.NONE] * 3]]
     assert [x.tolist() for _, *two in K.resolved(scores, own, np.arange(3), bounds[:, 4], least, 5) for x in two] == [[2, 1], [17, -5]]
+
+
+def test_floor_lets_the_best_through():
+    rng = np.random.default_rng(9)
+    for n in (6, 100, 384, 2000, 2048):
+        s = rng.integers(-50_000, 50_000, (30, n))
+        s[3], s[4, : n // 2] = 7, 9
+        floor = K._floor(s, 6)
+        assert (floor[:, 0] <= np.sort(s, axis=1)[:, -6]).all()
+        assert ((s >= floor).sum(axis=1)[5:] < 40).all()
